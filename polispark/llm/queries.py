@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polispark.llm import encoding, leakage
+from polispark.llm import encoding, language, leakage
 from polispark.session import durable, table
 
 
@@ -35,6 +35,19 @@ def p9_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked(_hits(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (p8_ids, p8_roundtrip, p9_found, p9_overlaps)}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.unnamed(language.segments(table(spark, sf_dir, "documents")))
+
+
+def p10_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = language.segments(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "seg", "lang", "words", F.round("confidence", 6).alias("confidence"), "whole")
+
+
+def p10_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.documents(language.segments(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (p8_ids, p8_roundtrip, p9_found, p9_overlaps, p10_found, p10_segments, p10_documents)}
 
 ORACLE: dict[str, str] = {}
