@@ -5,10 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polispark.llm import encoding, language, leakage
+from polispark.llm import canonical, encoding, language, leakage
 from polispark.session import durable, table
 
 
+def _free_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = (("industry", "financial_relationships", "industry"), ("occupation", "fec_contributions", "contributor_occupation"), ("organization", "committee_master", "connectedorg"))
+    parts = [table(spark, sf_dir, name).select(F.lit(kind).alias("kind"), F.col(col).alias("raw_value")) for kind, name, col in fields]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = canonical.map_values(_free_entries(spark, sf_dir), table(spark, sf_dir, "canonical_entries"))
+    return got.select("kind", "raw_value", "entry_id")
+
+
+def p7_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per kind and way: distinct values and rows."""
+    rows = _free_entries(spark, sf_dir).where(F.col("raw_value").isNotNull()).groupBy("kind", "raw_value").agg(F.count("*").alias("n"))
+    got = canonical.map_values(rows, table(spark, sf_dir, "canonical_entries")).join(rows, ["kind", "raw_value"])
+    return got.groupBy("kind", "way").agg(F.count("*").alias("n_values"), F.sum("n").alias("n_rows"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode(table(spark, sf_dir, "documents"))
 
@@ -48,6 +66,6 @@ def p10_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.documents(language.segments(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (p8_ids, p8_roundtrip, p9_found, p9_overlaps, p10_found, p10_segments, p10_documents)}
+QUERIES = {f.__name__: f for f in (p7_found, p7_unmatched, p8_ids, p8_roundtrip, p9_found, p9_overlaps, p10_found, p10_segments, p10_documents)}
 
 ORACLE: dict[str, str] = {}
