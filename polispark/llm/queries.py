@@ -5,10 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polispark.llm import canonical, encoding, language, leakage
+from polispark.llm import canonical, encoding, language, leakage, variants
 from polispark.session import durable, table
 
 
+def _name_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """name, n, is_org (null: unknown) of all distinct strings of the three fields; whoever a field holds is told by its type."""
+    fin, fec = table(spark, sf_dir, "financial_relationships"), table(spark, sf_dir, "fec_contributions")
+    rows = fin.select(F.col("donor_name").alias("name"), (F.col("donor_type") != "individual").cast("int").alias("org"))
+    rows = rows.unionByName(fec.select(F.col("contributor_name").alias("name"), (F.upper("entity_type") != "IND").cast("int").alias("org")))
+    rows = rows.unionByName(fec.select(F.col("contributor_employer").alias("name"), F.lit(1).alias("org")))
+    return rows.where(F.col("name").isNotNull()).groupBy("name").agg(F.count("*").alias("n"), (F.max("org") == 1).alias("is_org"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.pairs(durable(variants.cluster(durable(_name_strings(spark, sf_dir), "strings")), "clusters"))
+
+
+def p5_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per spelling: its entity and the entity's number of spellings."""
+    got = durable(variants.cluster(durable(_name_strings(spark, sf_dir), "strings")), "clusters")
+    return got.join(got.groupBy("entity").agg(F.count("*").alias("n_spellings")), "entity").select("name", "entity", "n_spellings")
+
+
 def _free_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = (("industry", "financial_relationships", "industry"), ("occupation", "fec_contributions", "contributor_occupation"), ("organization", "committee_master", "connectedorg"))
     parts = [table(spark, sf_dir, name).select(F.lit(kind).alias("kind"), F.col(col).alias("raw_value")) for kind, name, col in fields]
@@ -66,6 +85,6 @@ def p10_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.documents(language.segments(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (p7_found, p7_unmatched, p8_ids, p8_roundtrip, p9_found, p9_overlaps, p10_found, p10_segments, p10_documents)}
+QUERIES = {f.__name__: f for f in (p5_found, p5_clusters, p7_found, p7_unmatched, p8_ids, p8_roundtrip, p9_found, p9_overlaps, p10_found, p10_segments, p10_documents)}
 
 ORACLE: dict[str, str] = {}
