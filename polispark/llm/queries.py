@@ -5,10 +5,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polispark.llm import canonical, encoding, language, leakage, variants
+from polispark.functions.keys import clean_key
+from polispark.llm import canonical, encoding, language, leakage, linkage, variants
 from polispark.session import durable, table
 
 
+def _people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four sources in one form: src, key, name, state, district, level, party, year."""
+    text = F.create_map(*[F.lit(x) for code, name in linkage.STATES.items() for x in (name.replace("_", " "), code)])
+    codes = list(linkage.STATES)
+    party = lambda c: F.nullif(F.upper(F.substring(F.trim(c), 1, 1)), F.lit(""))
+    number = lambda c: F.regexp_extract(F.col(c).cast("string"), r"0*(\d+)\s*$", 1)
+    blank = lambda c: F.nullif(c, F.lit(""))
+    code = lambda c: F.when(F.upper(F.trim(c)).isin(codes), F.upper(F.trim(c)))
+    none = F.lit(None).cast("string")
+    rows = table(spark, sf_dir, "officials")
+    role = F.lower("role_title")
+    level = F.when(role.startswith("state rep"), "sl").when(role.startswith("state sen"), "su").when(role.startswith("rep"), "fl").when(role.startswith("sen"), "fu").when(role.isNotNull(), "o?")
+    off = rows.select(F.lit("officials").alias("src"), clean_key("id").alias("key"), F.col("full_name").alias("name"), code(F.col("state")).alias("state"), blank(number("district_name")).alias("district"), level.alias("level"), party(F.col("party")).alias("party"), F.year("term_start").alias("year"))
+    rows = table(spark, sf_dir, "weball_rows")
+    state = F.coalesce(code(F.substring("candid", 3, 2)), code(F.col("candofficest")))
+    web = rows.select(F.lit("weball").alias("src"), F.col("candid").alias("key"), F.col("candname").alias("name"), state.alias("state"), none.alias("district"), F.when(F.col("candid").startswith("S"), "fu").otherwise("fl").alias("level"), none.alias("party"), F.lit(None).cast("int").alias("year"))
+    rows = table(spark, sf_dir, "os_people")
+    house = F.when(F.col("division_id").contains("/sldu:") | (F.col("org_classification") == "upper"), "su").when(F.col("division_id").contains("/sldl:") | (F.col("org_classification") == "lower"), "sl").otherwise("s?")
+    ppl = rows.select(F.lit("openstates").alias("src"), F.col("id").alias("key"), "name", code(F.regexp_extract("division_id", "state:([a-z]{2})", 1)).alias("state"), blank(number("district")).alias("district"), house.alias("level"), party(F.col("party")).alias("party"), F.substring("start_date", 1, 4).try_cast("int").alias("year"))
+    rows = table(spark, sf_dir, "congress_members")
+    state = F.coalesce(code(F.col("state")), F.try_element_at(text, F.lower(F.trim("state"))))
+    con = rows.select(F.lit("congress").alias("src"), F.col("bioguideid").alias("key"), "name", state.alias("state"), blank(number("district")).alias("district"), F.when(F.lower("chamber").startswith("sen"), "fu").otherwise("fl").alias("level"), party(F.col("partyname")).alias("party"), F.col("startyear").cast("int").alias("year"))
+    return off.unionByName(web).unionByName(ppl).unionByName(con)
+
+
+def p2_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All matching pairs with their sources and confidence."""
+    return linkage.link(durable(linkage.records(_people(spark, sf_dir)), "records"), many=("weball",))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_links(spark, sf_dir).select("key_a", "key_b")
+
+
 def _name_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """name, n, is_org (null: unknown) of all distinct strings of the three fields; whoever a field holds is told by its type."""
     fin, fec = table(spark, sf_dir, "financial_relationships"), table(spark, sf_dir, "fec_contributions")
@@ -85,6 +120,6 @@ def p10_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.documents(language.segments(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_clusters, p7_found, p7_unmatched, p8_ids, p8_roundtrip, p9_found, p9_overlaps, p10_found, p10_segments, p10_documents)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_links, p5_found, p5_clusters, p7_found, p7_unmatched, p8_ids, p8_roundtrip, p9_found, p9_overlaps, p10_found, p10_segments, p10_documents)}
 
 ORACLE: dict[str, str] = {}
