@@ -6,10 +6,13 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +37,21 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _OWN[app]
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers once per application, so that they need not have it installed."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    _SHIPPED.add(app)
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="polispark-zip-")) / "polispark-workers.zip"
+    atexit.register(shutil.rmtree, target.parent, ignore_errors=True)
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, Path("polispark") / p.relative_to(root))
+    spark.sparkContext.addPyFile(str(target))  # served by the driver to every executor
+
+
 def durable(df: DataFrame, name: str = "step") -> DataFrame:
     """Writes `df` once to the shared folder and returns a reader of it.
 
