@@ -584,11 +584,11 @@ def ranked_search(spark, d):
     return got.select("type", "id", "label", F.coalesce("degree", F.lit(0)).alias("degree"), tier.alias("tier")).orderBy("tier", F.desc("degree"), "label", "id").limit(50)
 
 
-@query(sql("pro") + """SELECT id FROM pro WHERE list_contains(regexp_split_to_array(lower(title), '[^\\p{L}\\p{N}]+'), 'board') AND list_contains(regexp_split_to_array(lower(title), '[^\\p{L}\\p{N}]+'), 'the')""")
+@query(sql("pro") + """SELECT id FROM pro WHERE list_contains(regexp_split_to_array(lower(title), '[^\\p{L}\\p{N}]+'), 'wildfire') AND list_contains(regexp_split_to_array(lower(title), '[^\\p{L}\\p{N}]+'), 'act')""")
 def fulltext_search(spark, d):
     """All query words must occur as words; there is no stemming."""
     words = F.split(F.lower("title"), "[^\\p{L}\\p{N}]+")
-    return rows(spark, d, "pro").where(F.array_contains(words, "board") & F.array_contains(words, "the")).select("id")
+    return rows(spark, d, "pro").where(F.array_contains(words, "wildfire") & F.array_contains(words, "act")).select("id")
 
 
 # -- traffic, spending, usage -----------------------------------------------------------------------------------------------
@@ -642,3 +642,134 @@ def usage_by_model(spark, d):
 def latest_runs(spark, d):
     """The last five rows of each key."""
     return G.top_per_group(table(spark, d, "events").select("event_type", "event_id", "ts"), ["event_type"], [F.desc("ts"), F.desc("event_id")], 5)
+
+
+# -- streams, matching, places, more search ----------------------------------------------------------------------------------
+
+
+@query("SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2")
+def stream_daily(spark, d):
+    """The event files as a stream: daily windows, drained once."""
+    from polispark.streaming import events as S
+
+    stream = S.read_events(spark, d, "events.parquet")
+    return S.run_complete(S.windowed(stream), "daily").withColumn("value", F.round("value", 4))
+
+
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events),
+  s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, fresh ROWS UNBOUNDED PRECEDING) AS k FROM g)
+  SELECT user_id, min(ts)::TIMESTAMP AS start, count(*) AS n FROM s GROUP BY user_id, k""")
+def stream_sessions(spark, d):
+    from polispark.streaming import events as S
+
+    stream = S.read_events(spark, d, "events.parquet")
+    return S.run_complete(S.sessions(stream, "6 hours"), "sessions").select("user_id", "start", "n")
+
+
+_LAST = "upper(regexp_replace({}, '[^A-Za-z]', '', 'g'))".format
+
+
+@query(f"""WITH l AS (SELECT DISTINCT candid, {_LAST("split_part(candname, ',', 1)")} AS last, substr(candid, 3, 2) AS st, substr({_LAST("split_part(candname, ',', 2)")}, 1, 3) AS f3 FROM weball_rows WHERE candname LIKE '%,%'),
+  r AS (SELECT DISTINCT lower(trim(id)) AS id, {_LAST("last_name")} AS last, state AS st, substr({_LAST("first_name")}, 1, 3) AS f3 FROM officials WHERE last_name IS NOT NULL),
+  p AS (SELECT candid, id, (l.st = r.st) IS TRUE AS a, (l.st = r.st AND l.f3 = r.f3) IS TRUE AS b FROM l JOIN r USING (last)),
+  c AS (SELECT candid, count(*) AS n0, min(id) AS m0, count(*) FILTER (WHERE a) AS n1, min(id) FILTER (WHERE a) AS m1, count(*) FILTER (WHERE b) AS n2, min(id) FILTER (WHERE b) AS m2 FROM p GROUP BY candid)
+  SELECT candid, CASE WHEN n0 = 1 THEN m0 WHEN n1 = 1 THEN m1 ELSE m2 END AS id, CAST(CASE WHEN n0 = 1 THEN 0 WHEN n1 = 1 THEN 1 ELSE 2 END AS INTEGER) AS stage FROM c WHERE n0 = 1 OR n1 = 1 OR n2 = 1""")
+def candidate_matches(spark, d):
+    """Family name, narrowed by state and by the first letters of the given name until one official is left."""
+    from polispark.operators.matching import narrow
+
+    letters = lambda c: F.upper(F.regexp_replace(c, "[^A-Za-z]", ""))
+    part = lambda i: F.coalesce(F.get(F.split("candname", ","), F.lit(i)), F.lit(""))
+    left = table(spark, d, "weball_rows").where(F.col("candname").contains(",")).select("candid", letters(part(0)).alias("last"), F.substring("candid", 3, 2).alias("st"), F.substring(letters(part(1)), 1, 3).alias("f3")).distinct()
+    right = table(spark, d, "officials").where("last_name IS NOT NULL").select(F.lower(F.trim("id")).alias("id"), letters(F.col("last_name")).alias("last"), F.col("state").alias("st"), F.substring(letters(F.col("first_name")), 1, 3).alias("f3")).distinct()
+    return narrow(left, right, ["last"], ["st", "f3"], "candid", "id")
+
+
+@query("""WITH p AS (SELECT c_custkey, c_acctbal / 100.0 AS x, CAST(c_custkey % 97 AS DOUBLE) AS y FROM customer)
+  SELECT c_custkey FROM p WHERE 10 * x - 60 * y < 0 AND 70 * (x - 60) + 40 * (y - 10) < 0 AND -80 * x + 20 * y < 0""")
+def points_in_area(spark, d):
+    """Points of a plane in a triangle, by grid cells and ray casting."""
+    from polispark.operators.places import contained
+
+    points = table(spark, d, "customer").select("c_custkey", (F.col("c_acctbal") / 100.0).alias("x"), (F.col("c_custkey") % 97).cast("double").alias("y"))
+    ring = F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y")) for a, b in ((0.0, 0.0), (60.0, 10.0), (20.0, 80.0))])
+    area = spark.range(1).select(F.lit("triangle").alias("area_id"), ring.alias("ring"))
+    return contained(points, area, 10.0).select("c_custkey")
+
+
+@query("SELECT c_custkey, floor(c_acctbal / 7.0 * 100 + 0.5) / 100 AS x FROM customer")
+def coarse_points(spark, d):
+    return table(spark, d, "customer").select("c_custkey", C.coarse(F.col("c_acctbal") / 7.0).alias("x"))
+
+
+def universal(off: DataFrame, text: str, limit: int = 50) -> DataFrame:
+    """Officials by what the text says: a party, a role, a two-letter state, else a part of the name."""
+    t = text.strip().lower()
+    roles = {"senator": "%senator%", "representative": "%representative%", "mayor": "%mayor%"}
+    if t in ("democrat", "republican", "independent", "green", "libertarian"):
+        hit = F.col("party") == t
+    elif t in roles:
+        hit = F.col("role_title").ilike(roles[t])
+    elif len(t) == 2:
+        hit = F.col("state") == t.upper()
+    else:
+        hit = F.lower("full_name").contains(t)
+    return off.where(hit).orderBy("full_name", "id").limit(limit).select("id", "full_name")
+
+
+@query(sql("off") + """(SELECT 'role' AS intent, id, full_name FROM off WHERE role_title ILIKE '%mayor%' ORDER BY full_name, id LIMIT 50) UNION ALL (SELECT 'state', id, full_name FROM off WHERE state = 'OH' ORDER BY full_name, id LIMIT 50)
+  UNION ALL (SELECT 'name', id, full_name FROM off WHERE contains(lower(full_name), 'frost') ORDER BY full_name, id LIMIT 50)""")
+def universal_search(spark, d):
+    off = rows(spark, d, "off")
+    one = lambda intent, text: universal(off, text).select(F.lit(intent).alias("intent"), "id", "full_name")
+    return one("role", "mayor").unionByName(one("state", "oh")).unionByName(one("name", "frost"))
+
+
+@query(sql("ent", "con") + "SELECT id, name FROM ent WHERE NOT EXISTS (SELECT 1 FROM con WHERE from_id = ent.id) AND NOT EXISTS (SELECT 1 FROM con WHERE to_id = ent.id)")
+def unconnected_donors(spark, d):
+    """Anti-joins against either end."""
+    con = rows(spark, d, "con")
+    ent = rows(spark, d, "ent").select("id", "name")
+    for end in ("from_id", "to_id"):
+        ent = ent.join(con.select(F.col(end).alias("id")).distinct(), "id", "left_anti")
+    return ent
+
+
+@query(sql("off") + """, o AS (SELECT id, full_name, CASE party WHEN 'democrat' THEN 0 WHEN 'republican' THEN 1 ELSE 2 END AS r FROM off WHERE is_active)
+  SELECT id, CAST(row_number() OVER (ORDER BY r, lower(full_name), id) AS INTEGER) AS place FROM o ORDER BY place LIMIT 100""")
+def officials_ranked(spark, d):
+    """Order by a declared rank of values, then by name. Places are given to the kept rows only."""
+    off = rows(spark, d, "off").where("is_active").select("id", C.rank_of(F.col("party"), ["democrat", "republican"]).alias("r"), F.lower("full_name").alias("n"))
+    top = off.orderBy("r", "n", "id").limit(100)
+    return top.select("id", F.row_number().over(Window.orderBy("r", "n", "id")).alias("place"))
+
+
+@query("""SELECT committee_id, donor, cents, n FROM (SELECT *, row_number() OVER (PARTITION BY committee_id ORDER BY cents DESC, donor) AS rn FROM (SELECT committee_id, upper(trim(contributor_name)) AS donor,
+  CAST(sum(CAST(floor(contribution_receipt_amount * 100 + 0.5) AS BIGINT)) AS BIGINT) AS cents, count(*) AS n FROM (SELECT DISTINCT * FROM fec_contributions) f WHERE contributor_name IS NOT NULL GROUP BY 1, 2) g) k WHERE rn <= 5""")
+def committee_donors(spark, d):
+    f = table(spark, d, "fec_contributions").distinct().where("contributor_name IS NOT NULL")
+    g = f.groupBy("committee_id", F.upper(F.trim("contributor_name")).alias("donor")).agg(F.sum(C.half_up(F.col("contribution_receipt_amount") * 100)).alias("cents"), F.count("*").alias("n"))
+    return G.top_per_group(g, ["committee_id"], [F.desc("cents"), F.col("donor")], 5)
+
+
+@query("""SELECT DISTINCT lower(trim(id)) AS id, lower(regexp_extract(regexp_replace(bill_number, '[. ]', '', 'g'), '^([A-Za-z]+)0*([0-9]+)$', 1)) || '-' || regexp_extract(regexp_replace(bill_number, '[. ]', '', 'g'), '^([A-Za-z]+)0*([0-9]+)$', 2) AS bill
+  FROM proposals WHERE regexp_matches(regexp_replace(bill_number, '[. ]', '', 'g'), '^[A-Za-z]+[0-9]+$')""")
+def bill_numbers(spark, d):
+    """Dotted, spaced and plain notations of one bill in one form."""
+    flat = F.regexp_replace("bill_number", "[. ]", "")
+    pattern = "^([A-Za-z]+)0*([0-9]+)$"
+    bill = F.concat_ws("-", F.lower(F.regexp_extract(flat, pattern, 1)), F.regexp_extract(flat, pattern, 2))
+    return table(spark, d, "proposals").where(flat.rlike("^[A-Za-z]+[0-9]+$")).select(F.lower(F.trim("id")).alias("id"), bill.alias("bill")).distinct()
+
+
+@query(sql("off", "con") + """, v AS (SELECT from_id, count(*) AS n FROM con WHERE connection_type LIKE 'vote%' GROUP BY 1) SELECT id, full_name, n FROM off JOIN v ON from_id = id WHERE is_active ORDER BY n DESC, id LIMIT 4""")
+def home_officials(spark, d):
+    v = rows(spark, d, "con").where(F.col("connection_type").startswith("vote")).groupBy(F.col("from_id").alias("id")).agg(F.count("*").alias("n"))
+    return rows(spark, d, "off").where("is_active").join(v, "id").select("id", "full_name", "n").orderBy(F.desc("n"), "id").limit(4)
+
+
+@query(sql("con") + "SELECT id FROM con WHERE from_id NOT IN (SELECT node FROM (SELECT from_id AS node FROM con UNION ALL SELECT to_id FROM con) GROUP BY node ORDER BY count(*) DESC, node LIMIT 3) AND to_id NOT IN (SELECT node FROM (SELECT from_id AS node FROM con UNION ALL SELECT to_id FROM con) GROUP BY node ORDER BY count(*) DESC, node LIMIT 3)")
+def graph_without_hubs(spark, d):
+    """The edges left when focus entities are removed."""
+    con = rows(spark, d, "con")
+    return G.without(con, G.top_connected(con, 3)).select("id")
