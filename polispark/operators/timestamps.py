@@ -2,8 +2,8 @@
 
 A value is split by one pattern per layout into a date, a time and a zone. What names its zone, or is an epoch number, is an
 instant at once. What names none is a local time of an unknown zone: for a whole source, estimate_zone() tries offset
-histories (zones with their daylight-saving changes) and counts, for each, the local times that would fall outside
-the instants of their neighbours in the source's own sequence; the history with the fewest such violations is
+histories (zones with their daylight-saving changes) and counts, for each, the local times that would fall out of the
+order of the source's own sequence; the history with the fewest such violations is
 chosen, and the declared one where the evidence does not clearly speak against it. All of it is built-in expressions.
 """
 
@@ -12,7 +12,7 @@ from __future__ import annotations
 import functools
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from polispark.session import durable, table
@@ -117,15 +117,24 @@ def estimate_zone(rows: DataFrame, candidates: tuple[str, ...] = CANDIDATE_ZONES
     """The offset history of the local times in rows (series, seq, epoch_ms, local_ms).
 
     Rows of one series whose seq lies in the same stretch of `width` are neighbours. A local time violates a history if it
-    would come before or after all instants that its neighbours name. The default wins unless another history has
-    fewer violations by more than three standard deviations of their number. Rows without a seq say nothing. One
-    row per stretch is kept of the instants, and one count per candidate reaches the driver.
+    would come before the last instant known ahead of it or after the first one known behind it. The default wins unless
+    another history has fewer violations by more than three standard deviations of their number. Rows without a seq say
+    nothing. Windows run over the distinct numbers of a stretch, so never over more than `width` rows, and one count per
+    candidate reaches the driver.
     """
-    at = rows.where(F.col("seq").isNotNull()).withColumn("stretch", F.floor(F.col("seq") / width))
-    known = at.where(F.col("epoch_ms").isNotNull()).groupBy("series", "stretch").agg(F.min("epoch_ms").alias("lo"), F.max("epoch_ms").alias("hi"))
-    local = at.where(F.col("local_ms").isNotNull()).join(known, ["series", "stretch"])
-    worse = [F.sum(F.when(~to_instant(F.col("local_ms"), z).between(F.col("lo"), F.col("hi")), 1).otherwise(0)).alias(f"z{i}") for i, z in enumerate(candidates)]
-    got = local.agg(*worse).first()
+    at = rows.where(F.col("seq").isNotNull())
+    per = at.groupBy("series", "seq").agg(F.min("epoch_ms").alias("lo"), F.max("epoch_ms").alias("hi"))
+    w = Window.partitionBy("series", F.floor(F.col("seq") / width)).orderBy("seq")
+    ahead = F.last("hi", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    behind = F.first("lo", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    bounds = per.select("series", "seq", ahead.alias("lo"), behind.alias("hi")).where("lo IS NOT NULL OR hi IS NOT NULL")
+    local = at.where(F.col("local_ms").isNotNull()).select("series", "seq", "local_ms").distinct().join(bounds, ["series", "seq"])
+
+    def broken(zone: str):
+        t = to_instant(F.col("local_ms"), zone)
+        return F.sum(F.when((t < F.col("lo")) | (t > F.col("hi")), 1).otherwise(0))
+
+    got = local.agg(*[broken(z).alias(f"z{i}") for i, z in enumerate(candidates)]).first()
     counts = {z: got[f"z{i}"] or 0 for i, z in enumerate(candidates)}
     best = min(candidates, key=lambda z: counts[z])
     return best if counts[default] - counts[best] > 3 * math.sqrt(counts[default] + 1) else default
