@@ -175,14 +175,22 @@ class Matcher:
             self.automaton.make_automaton()
 
     def merge(self, words: list[str]) -> list[str]:
-        """Words of the list that were typed in two."""
-        out: list[str] = []
+        """Words of the list that were typed in two, or together with "and"; a misspelt "and" is left out."""
+        split: list[str] = []
         for w in words:
+            if w not in self.vocabulary and len(words) + len(split) > 1:
+                if 1 < len(w) < 5 and one_slip(w, "and"):
+                    continue
+                ends = [(w[:-3], w.endswith("and")), (w[3:], w.startswith("and"))]
+                w = next((x for x, there in ends if there and x in self.vocabulary), w)
+            split.append(w)
+        out: list[str] = []
+        for w in split:
             if out and out[-1] + w in self.vocabulary and out[-1] not in self.vocabulary:
                 out[-1] += w
             else:
                 out.append(w)
-        return out
+        return out or words
 
     def mention(self, text: str) -> tuple[int, float] | None:
         """The entry of the longest mention and the share of the text that it covers."""
