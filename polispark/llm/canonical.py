@@ -8,6 +8,7 @@ list is bounded and is checked to be.
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 from collections import defaultdict
@@ -134,6 +135,7 @@ def abbreviates(short: str, word: str) -> bool:
     return all(c in it for c in short)
 
 
+@functools.lru_cache(maxsize=500_000)
 def token_likeness(t: str, u: str) -> float:
     """t as typed, u as in the list."""
     if t == u:
@@ -179,7 +181,7 @@ class Matcher:
         split: list[str] = []
         for w in words:
             if w not in self.vocabulary and len(words) + len(split) > 1:
-                if 1 < len(w) < 5 and one_slip(w, "and"):
+                if 1 < len(w) < 5 and set(w) <= set("and") and one_slip(w, "and"):
                     continue
                 ends = [(w[:-3], w.endswith("and")), (w[3:], w.startswith("and"))]
                 w = next((x for x, there in ends if there and x in self.vocabulary), w)
