@@ -57,9 +57,9 @@ def parse(df: DataFrame, value: str) -> DataFrame:
     The steps are separate projections, so that no expression is computed twice. Columns of df with the names
     epoch_ms and local_ms are replaced.
     """
-    cols = [F.col(f"`{c}`") for c in df.columns if c not in ("epoch_ms", "local_ms")]
-    s = F.col("_s")
-    df = df.select(*cols, F.trim(F.col(value), F.lit(" \t\r\n")).alias("_s"))
+    kept = [c for c in df.columns if c not in ("epoch_ms", "local_ms")]
+    cols, s = [F.col("_row")], F.col("_s")  # the row travels as a struct, so that no name of it can clash
+    df = df.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), F.trim(F.col(f"`{value}`"), F.lit(" \t\r\n")).alias("_s"))
     digits = F.when(s.rlike(r"^\d{7,8}$"), F.lpad(s, 8, "0"))
     monthfirst = _num(F.substring(digits, 1, 2)).between(1, 12)
     packed = F.when(monthfirst, F.concat_ws("-", F.substring(digits, 5, 4), F.substring(digits, 1, 2), F.substring(digits, 3, 2))).otherwise(F.concat_ws("-", F.substring(digits, 1, 4), F.substring(digits, 5, 2), F.substring(digits, 7, 2)))
@@ -98,7 +98,7 @@ def parse(df: DataFrame, value: str) -> DataFrame:
     lo, hi = _epoch_ms(YEARS[0]), _epoch_ms(YEARS[1] + 1)
     number = F.when(s.rlike(r"^\d{10}$"), s.try_cast("bigint") * 1000).when(s.rlike(r"^\d{13}$"), s.try_cast("bigint"))
     dated = F.when(F.col("_bare"), F.col("_day")).when(zone != "", at)
-    return df.select(*cols, F.coalesce(F.when((number >= lo) & (number < hi), number), dated).alias("epoch_ms"), F.when(zone == "", local).alias("local_ms"))
+    return df.select(*[F.col(f"_row.`{c}`") for c in kept], F.coalesce(F.when((number >= lo) & (number < hi), number), dated).alias("epoch_ms"), F.when(zone == "", local).alias("local_ms"))
 
 
 def _epoch_ms(year: int) -> int:

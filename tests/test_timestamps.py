@@ -69,7 +69,7 @@ CASES = [
 
 
 def test_cases(spark):
-    df = spark.createDataFrame([(i, v) for i, v in enumerate(CASES)], "i int, v string").selectExpr("*", "1 AS epoch_ms", "'a' AS local_ms")
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(CASES)], "i int, v string").selectExpr("*", "1 AS epoch_ms", "'a' AS local_ms", "2 AS _s", "3 AS _row", "4 AS `a.b`")
     got = {r.i: r.epoch_ms for r in T.normalise(df, "v").collect()}
     assert [(c, got[i]) for i, c in enumerate(CASES)] == [(c, brute(c)) for c in CASES]
 
