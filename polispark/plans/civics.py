@@ -23,17 +23,22 @@ _COLUMNS = {
 _SHORT = {"off": "officials", "fin": "financial_relationships", "ent": "financial_entities", "pro": "proposals", "bod": "governing_bodies", "con": "entity_connections"}
 
 
-def rows(spark: SparkSession, sf_dir: str, short: str) -> DataFrame:
-    """A table by its short name: repeated rows once, keys clean, strength as double."""
+def rows(spark: SparkSession, sf_dir: str, short: str, columns: str = "") -> DataFrame:
+    """A table by its short name: repeated rows once, keys clean, strength as double.
+
+    `columns` names what is wanted besides the id; without it all are taken. Repeated rows are equal in every column, so they
+    can be told by the id and those alone, and the shuffle that removes them carries no other.
+    """
     name = _SHORT[short]
-    cols = [clean_key(c).alias(c) if c in _KEYS[name] else F.col(c).cast("double").alias(c) if c == "strength" else F.col(c) for c in _COLUMNS[name]]
+    take = ["id", *(c for c in columns.split() if c != "id")] if columns else _COLUMNS[name]
+    cols = [clean_key(c).alias(c) if c in _KEYS[name] else F.col(c).cast("double").alias(c) if c == "strength" else F.col(c) for c in take]
     return table(spark, sf_dir, name).select(*cols).distinct()
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """type, id, label of all entities; of an agency the acronym, else the name, of its current row."""
     agencies = table(spark, sf_dir, "agencies").groupBy(clean_key("id").alias("id")).agg(F.max_by(F.struct(F.col("acronym").alias("a"), F.col("name").alias("n")), F.struct("updated_at", F.coalesce("acronym", F.lit("")), F.coalesce("name", F.lit("")))).alias("x"))
-    one = lambda short, kind, col: rows(spark, sf_dir, short).groupBy("id").agg(F.min(col).alias("label")).select(F.lit(kind).alias("type"), "id", "label")
+    one = lambda short, kind, col: rows(spark, sf_dir, short, col).groupBy("id").agg(F.min(col).alias("label")).select(F.lit(kind).alias("type"), "id", "label")
     out = agencies.select(F.lit("agency").alias("type"), "id", F.coalesce("x.a", F.trim("x.n")).alias("label"))
     for short, kind, col in (("off", "official", "full_name"), ("pro", "proposal", "title"), ("ent", "financial_entity", "name"), ("bod", "governing_body", "name")):
         out = out.unionByName(one(short, kind, col))

@@ -55,19 +55,19 @@ MONEY = View(("donation", "contract_award"), least_cents=1_000_000, first="2020-
 
 @query(sql("con") + "SELECT id FROM con WHERE connection_type IN ('donation', 'contract_award') AND amount_cents >= 1000000 AND occurred_at BETWEEN DATE '2020-01-01' AND DATE '2023-12-31'")
 def view_edges(spark, d):
-    return MONEY.edges(rows(spark, d, "con")).select("id")
+    return MONEY.edges(rows(spark, d, "con", "from_id to_id connection_type amount_cents occurred_at")).select("id")
 
 
 @query(sql("con") + ", e AS (SELECT * FROM con WHERE connection_type IN ('donation', 'contract_award') AND amount_cents >= 1000000 AND occurred_at BETWEEN DATE '2020-01-01' AND DATE '2023-12-31') SELECT DISTINCT node FROM (SELECT from_id AS node FROM e UNION ALL SELECT to_id FROM e)")
 def view_nodes(spark, d):
     """The nodes that the kept edges name."""
-    return MONEY.edges(rows(spark, d, "con")).select(F.explode(F.array("from_id", "to_id")).alias("node")).distinct()
+    return MONEY.edges(rows(spark, d, "con", "from_id to_id connection_type amount_cents occurred_at")).select(F.explode(F.array("from_id", "to_id")).alias("node")).distinct()
 
 
 @query(sql("con") + """, deg AS (SELECT node, count(*) AS n, sum(coalesce(cents, 0)) AS cents FROM (SELECT from_id AS node, amount_cents AS cents FROM con UNION ALL SELECT to_id, amount_cents FROM con) GROUP BY node)
   SELECT node, round(CASE WHEN cents > 0 THEN sqrt(cents / 100.0 / 100000.0) * 2 ELSE sqrt(n) * 2 END, 4)::DOUBLE AS size FROM deg""")
 def node_sizes(spark, d):
-    ends = rows(spark, d, "con").select(F.explode(F.array("from_id", "to_id")).alias("node"), "amount_cents")
+    ends = rows(spark, d, "con", "from_id to_id amount_cents").select(F.explode(F.array("from_id", "to_id")).alias("node"), "amount_cents")
     g = ends.groupBy("node").agg(F.count("*").alias("n"), F.sum(F.coalesce("amount_cents", F.lit(0))).alias("cents"))
     return g.select("node", F.round(F.when(F.col("cents") > 0, F.sqrt(F.col("cents") / 100.0 / 100000.0) * 2).otherwise(F.sqrt("n") * 2), 4).alias("size"))
 
@@ -76,7 +76,7 @@ def node_sizes(spark, d):
   SELECT t AS type, count(*) AS nodes, CAST(sum(n) AS BIGINT) AS ends, count(*) FILTER (WHERE nod.id IS NULL) AS orphans FROM d LEFT JOIN nod ON nod.type = t AND nod.id = i GROUP BY 1""")
 def force_stats(spark, d):
     """Per kind of node: nodes, ends, and nodes of the edges that no table has."""
-    con = rows(spark, d, "con")
+    con = rows(spark, d, "con", "from_type from_id to_type to_id")
     ends = con.select(F.inline(F.array(F.struct(F.col("from_type").alias("type"), F.col("from_id").alias("id")), F.struct(F.col("to_type").alias("type"), F.col("to_id").alias("id")))))
     deg = ends.groupBy("type", "id").agg(F.count("*").alias("n"))
     got = deg.join(nodes(spark, d).select("type", "id", F.lit(1).alias("there")), ["type", "id"], "left")
@@ -98,8 +98,8 @@ _ISSUE_SQL = " UNION ALL ".join(f"SELECT id, '{k}' AS issue FROM pro WHERE regex
   FROM v JOIN i ON i.id = v.to_id GROUP BY 1""")
 def issue_stats(spark, d):
     """A title can name several issues; proposals are exploded, votes are not."""
-    issue = rows(spark, d, "pro").select(F.col("id").alias("to_id"), F.explode(C.all_matches(F.col("title"), _ISSUES)).alias("issue"))
-    v = rows(spark, d, "con").where(F.col("connection_type").isin("vote_yes", "vote_no")).select("from_id", "to_id", "connection_type").distinct()
+    issue = rows(spark, d, "pro", "title").select(F.col("id").alias("to_id"), F.explode(C.all_matches(F.col("title"), _ISSUES)).alias("issue"))
+    v = rows(spark, d, "con", "from_id to_id connection_type").where(F.col("connection_type").isin("vote_yes", "vote_no")).select("from_id", "to_id", "connection_type").distinct()
     g = skew_join(v, issue, ["to_id"], "inner").groupBy("issue").agg(F.count_if(F.col("connection_type") == "vote_yes").alias("yes"), F.count_if(F.col("connection_type") == "vote_no").alias("no"))
     return g.withColumn("yes_rate", F.round(F.col("yes") / (F.col("yes") + F.col("no")), 6))
 
@@ -108,8 +108,8 @@ def issue_stats(spark, d):
   count(*) FILTER (WHERE vote_category = 'procedural') AS procedural, count(*) FILTER (WHERE vote_category = 'substantive') AS substantive
   FROM con LEFT JOIN (SELECT id, min(vote_category) AS vote_category FROM pro GROUP BY id) p ON p.id = to_id WHERE connection_type LIKE 'vote%' GROUP BY 1""")
 def vote_breakdown(spark, d):
-    cat = rows(spark, d, "pro").groupBy(F.col("id").alias("to_id")).agg(F.min("vote_category").alias("cat"))
-    v = skew_join(rows(spark, d, "con").where(F.col("connection_type").startswith("vote")).select("from_id", "to_id", "connection_type"), cat, ["to_id"], "left")
+    cat = rows(spark, d, "pro", "vote_category").groupBy(F.col("id").alias("to_id")).agg(F.min("vote_category").alias("cat"))
+    v = skew_join(rows(spark, d, "con", "from_id to_id connection_type").where(F.col("connection_type").startswith("vote")).select("from_id", "to_id", "connection_type"), cat, ["to_id"], "left")
     n = lambda c, x: F.count_if(F.col(c) == x)
     return v.groupBy("from_id").agg(n("connection_type", "vote_yes").alias("yes"), n("connection_type", "vote_no").alias("no"), n("connection_type", "vote_abstain").alias("abstain"), n("cat", "procedural").alias("procedural"), n("cat", "substantive").alias("substantive"))
 
@@ -117,35 +117,35 @@ def vote_breakdown(spark, d):
 @query(sql("fin") + """, s AS (SELECT official_id, coalesce(industry, 'Other') AS sector, CAST(sum(amount_cents) AS BIGINT) AS cents FROM fin WHERE official_id IS NOT NULL GROUP BY 1, 2)
   SELECT official_id, sector, cents FROM (SELECT *, row_number() OVER (PARTITION BY official_id ORDER BY cents DESC, sector) AS rn FROM s) WHERE rn <= 3""")
 def sunburst_industries(spark, d):
-    g = rows(spark, d, "fin").where("official_id IS NOT NULL").groupBy("official_id", F.coalesce("industry", F.lit("Other")).alias("sector")).agg(F.sum("amount_cents").alias("cents"))
+    g = rows(spark, d, "fin", "official_id industry amount_cents").where("official_id IS NOT NULL").groupBy("official_id", F.coalesce("industry", F.lit("Other")).alias("sector")).agg(F.sum("amount_cents").alias("cents"))
     return G.top_per_group(g, ["official_id"], [F.desc("cents"), F.col("sector")], 3)
 
 
 @query(sql("con", "off") + """SELECT connection_type, to_id, CAST(sum(amount_cents) AS BIGINT) AS cents, max(strength) AS strength FROM con WHERE from_id IN (SELECT id FROM off WHERE state = 'AL') GROUP BY 1, 2""")
 def sunburst_group(spark, d):
-    m = rows(spark, d, "off").where("state = 'AL'").select(F.col("id").alias("from_id"))
-    return skew_join(rows(spark, d, "con"), m, ["from_id"], "left_semi").groupBy("connection_type", "to_id").agg(F.sum("amount_cents").alias("cents"), F.max("strength").alias("strength"))
+    m = rows(spark, d, "off", "state").where("state = 'AL'").select(F.col("id").alias("from_id"))
+    return skew_join(rows(spark, d, "con", "from_id to_id connection_type strength amount_cents"), m, ["from_id"], "left_semi").groupBy("connection_type", "to_id").agg(F.sum("amount_cents").alias("cents"), F.max("strength").alias("strength"))
 
 
 @query(sql("fin") + """, t AS (SELECT official_id, donor_type, count(*) AS n FROM fin WHERE official_id IS NOT NULL AND donor_type IS NOT NULL GROUP BY 1, 2),
   k AS (SELECT *, row_number() OVER (PARTITION BY official_id ORDER BY n DESC, donor_type) AS rn FROM t) SELECT official_id, string_agg(donor_type, ', ' ORDER BY n DESC, donor_type) AS types FROM k WHERE rn <= 3 GROUP BY 1""")
 def donor_type_profile(spark, d):
     """The three most frequent donor types in one string; a group has as many types as there are."""
-    t = rows(spark, d, "fin").where("official_id IS NOT NULL AND donor_type IS NOT NULL").groupBy("official_id", "donor_type").agg(F.count("*").alias("n"))
+    t = rows(spark, d, "fin", "official_id donor_type").where("official_id IS NOT NULL AND donor_type IS NOT NULL").groupBy("official_id", "donor_type").agg(F.count("*").alias("n"))
     order = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), F.col("donor_type").alias("t"))))
     return t.groupBy("official_id").agg(F.array_join(F.transform(F.slice(order, 1, 3), lambda x: x["t"]), ", ").alias("types"))
 
 
 @query(sql("fin") + """SELECT donor_name, CASE WHEN m < 500000 THEN 'small' WHEN m < 5000000 THEN 'medium' ELSE 'large' END AS size FROM (SELECT donor_name, max(amount_cents) AS m FROM fin WHERE donor_name IS NOT NULL GROUP BY 1)""")
 def donation_size(spark, d):
-    m = rows(spark, d, "fin").where("donor_name IS NOT NULL").groupBy("donor_name").agg(F.max("amount_cents").alias("m"))
+    m = rows(spark, d, "fin", "donor_name amount_cents").where("donor_name IS NOT NULL").groupBy("donor_name").agg(F.max("amount_cents").alias("m"))
     return m.select("donor_name", F.when(F.col("m") < 500_000, "small").when(F.col("m") < 5_000_000, "medium").otherwise("large").alias("size"))
 
 
 @query(sql("fin") + """, g AS (SELECT official_id, donor_name, min(donor_type) AS donor_type, CAST(sum(amount_cents) AS BIGINT) AS cents FROM fin WHERE official_id IS NOT NULL AND donor_name IS NOT NULL GROUP BY 1, 2)
   SELECT official_id, donor_name, donor_type, cents FROM (SELECT *, row_number() OVER (PARTITION BY official_id ORDER BY cents DESC, donor_name) AS rn FROM g) WHERE rn <= 20""")
 def top_donors(spark, d):
-    g = rows(spark, d, "fin").where("official_id IS NOT NULL AND donor_name IS NOT NULL").groupBy("official_id", "donor_name").agg(F.min("donor_type").alias("donor_type"), F.sum("amount_cents").alias("cents"))
+    g = rows(spark, d, "fin", "official_id donor_name donor_type amount_cents").where("official_id IS NOT NULL AND donor_name IS NOT NULL").groupBy("official_id", "donor_name").agg(F.min("donor_type").alias("donor_type"), F.sum("amount_cents").alias("cents"))
     return G.top_per_group(g, ["official_id"], [F.desc("cents"), F.col("donor_name")], 20)
 
 
@@ -163,7 +163,7 @@ def entity_resolve(spark, d):
   UNION ALL SELECT 'no_self_edges', count(*) FILTER (WHERE from_id = to_id) = 0 FROM con UNION ALL SELECT 'ids_unique', count(*) = count(DISTINCT id) FROM con""")
 def self_tests(spark, d):
     """Named checks from one pass."""
-    con = rows(spark, d, "con")
+    con = rows(spark, d, "con", "from_id to_id connection_type strength")
     one = con.agg((F.count_if(~F.col("strength").between(0, 1)) == 0).alias("strength_in_range"), (F.count_if(F.col("connection_type").startswith("vote")) > 10).alias("has_votes"), (F.count_if(F.col("from_id") == F.col("to_id")) == 0).alias("no_self_edges"), (F.count("*") == F.countDistinct("id")).alias("ids_unique"))
     return one.unpivot([], ["strength_in_range", "has_votes", "no_self_edges", "ids_unique"], "name", "passed")
 
@@ -172,7 +172,7 @@ def self_tests(spark, d):
 def edge_kinds(spark, d):
     """Database kinds mapped to shown kinds, with a fallback."""
     shown = F.create_map(*[F.lit(x) for x in ("vote_yes", "voted", "vote_no", "voted", "donation", "money", "contract_award", "money")])
-    return rows(spark, d, "con").groupBy(F.coalesce(F.try_element_at(shown, F.col("connection_type")), F.lit("other")).alias("kind")).agg(F.count("*").alias("n"))
+    return rows(spark, d, "con", "connection_type").groupBy(F.coalesce(F.try_element_at(shown, F.col("connection_type")), F.lit("other")).alias("kind")).agg(F.count("*").alias("n"))
 
 
 _EV = "WITH e AS (SELECT event_id, ts, user_id, event_type = 'error' AS is_bot, CASE WHEN event_type = 'error' AND user_id % 2 = 0 THEN 'crawler' END AS bot, CASE WHEN user_id % 4 = 0 THEN NULL ELSE 'c' || CAST(user_id % 4 AS VARCHAR) END AS country, CASE WHEN user_id % 5 = 0 THEN 'direct' WHEN user_id % 5 < 3 THEN 'search' ELSE 'internal' END AS referrer FROM events)\n"
@@ -220,9 +220,9 @@ def json_fields(spark, d):
 def delta_totals(spark, d):
     """Incremental run: totals of the officials that changed, from all of their rows and not from the new ones only."""
     at = F.lit("2024-09-01 00:00:00").cast("timestamp")
-    con, fin = rows(spark, d, "con"), rows(spark, d, "fin").where("official_id IS NOT NULL")
+    con, fin = rows(spark, d, "con", "from_id connection_type amount_cents created_at"), rows(spark, d, "fin", "official_id amount_cents created_at").where("official_id IS NOT NULL")
     new = con.where(F.col("connection_type").startswith("vote") & (F.col("created_at") > at)).select(F.col("from_id").alias("id"))
     new = new.unionByName(fin.where(F.col("created_at") > at).select(F.col("official_id").alias("id"))).distinct()
-    off = rows(spark, d, "off").select("id").join(new, "id", "left_semi")
+    off = rows(spark, d, "off", "created_at").select("id").join(new, "id", "left_semi")
     total = skew_join(fin, off.withColumnRenamed("id", "official_id"), ["official_id"], "left_semi").groupBy(F.col("official_id").alias("id")).agg(F.count("*").alias("gifts"), F.sum("amount_cents").alias("cents"))
     return off.join(total, "id", "left").select("id", F.coalesce("gifts", F.lit(0)).alias("gifts"), F.coalesce("cents", F.lit(0)).alias("cents"))

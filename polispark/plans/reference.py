@@ -32,10 +32,10 @@ def query(text: str | None = None):
     return register
 
 
-def _fin_off(spark, d) -> DataFrame:
+def _fin_off(spark, d, columns: str) -> DataFrame:
     """Contributions with their official; skew-proof, as one official may hold a large share."""
-    off = rows(spark, d, "off").select(F.col("id").alias("official_id"), "full_name", "party", "role_title", "state", "is_active")
-    return skew_join(rows(spark, d, "fin"), off, ["official_id"], "inner")
+    off = rows(spark, d, "off", "full_name role_title party state is_active").select(F.col("id").alias("official_id"), "full_name", "party", "role_title", "state", "is_active")
+    return skew_join(rows(spark, d, "fin", f"official_id {columns}"), off, ["official_id"], "inner")
 
 
 # -- officials and money ---------------------------------------------------------------------------------------------
@@ -44,7 +44,7 @@ def _fin_off(spark, d) -> DataFrame:
 @query(sql("off") + "SELECT id FROM off WHERE role_title ILIKE '%representative%' AND party = 'democrat' AND state = 'AL' ORDER BY id LIMIT 1000")
 def officials_by_filter(spark, d):
     """Optional filters become predicates only where given; a total order comes before the limit."""
-    off = rows(spark, d, "off")
+    off = rows(spark, d, "off", "role_title party state")
     return off.where(F.col("role_title").ilike("%representative%") & (F.col("party") == "democrat") & (F.col("state") == "AL")).select("id").orderBy("id").limit(1000)
 
 
@@ -52,7 +52,7 @@ def officials_by_filter(spark, d):
 def officials_breakdown(spark, d):
     """Grouped by the presence of a key in a JSON column, then by title."""
     level = F.when(F.get_json_object("source_ids", "$.roster").isNotNull(), "rostered").when(F.col("role_title").like("State%"), "state").otherwise("other")
-    return rows(spark, d, "off").groupBy(level.alias("level")).agg(F.count("*").alias("n"))
+    return rows(spark, d, "off", "full_name role_title party state is_active source_ids").groupBy(level.alias("level")).agg(F.count("*").alias("n"))
 
 
 _TREEMAP = sql("off", "fin") + """, tree AS (SELECT o.id, o.full_name AS name, coalesce(o.party, 'nonpartisan') AS party, coalesce(o.state, 'Unknown') AS state,
@@ -63,8 +63,8 @@ _TREEMAP = sql("off", "fin") + """, tree AS (SELECT o.id, o.full_name AS name, c
 
 
 def _treemap(spark, d, limit=200):
-    off = rows(spark, d, "off").where("is_active")
-    total = rows(spark, d, "fin").groupBy("official_id").agg(F.sum("amount_cents").alias("total_cents")).where("total_cents > 0")  # before the join
+    off = rows(spark, d, "off", "full_name role_title party state is_active").where("is_active")
+    total = rows(spark, d, "fin", "official_id amount_cents").groupBy("official_id").agg(F.sum("amount_cents").alias("total_cents")).where("total_cents > 0")  # before the join
     chamber = F.when(F.col("role_title").ilike("%senator%"), "senate").when(F.col("role_title").ilike("%representative%"), "house").otherwise("unknown")
     got = off.join(total, off.id == total.official_id).select("id", F.col("full_name").alias("name"), F.coalesce("party", F.lit("nonpartisan")).alias("party"), F.coalesce("state", F.lit("Unknown")).alias("state"), chamber.alias("chamber"), "total_cents")
     return got.orderBy(F.desc("total_cents"), "id").limit(limit)
@@ -97,7 +97,7 @@ def _top_official(fin: DataFrame) -> DataFrame:
   FROM fin WHERE official_id = {_TOP1} GROUP BY 1, 2 ORDER BY usd DESC, donor_name, donor_type LIMIT 100""")
 def official_donors(spark, d):
     """Donors of the official who received most; the first industry by name stands for the group."""
-    fin = rows(spark, d, "fin")
+    fin = rows(spark, d, "fin", "official_id donor_name donor_type industry amount_cents")
     own = fin.join(F.broadcast(_top_official(fin)), "official_id", "left_semi")  # a single key
     got = own.groupBy("donor_name", "donor_type").agg(F.coalesce(F.min("industry"), F.lit("Other")).alias("industry"), C.dollars(F.sum("amount_cents")).alias("usd"), F.count("*").alias("n"))
     return got.orderBy(F.desc("usd"), "donor_name", "donor_type").limit(100)
@@ -107,7 +107,7 @@ def official_donors(spark, d):
   FROM fin WHERE official_id = {_TOP1} GROUP BY 1 ORDER BY cents DESC, sector LIMIT 8""")
 def profile_sector_share(spark, d):
     """Share of the total over all groups, then the top ones; the window runs over groups, not rows."""
-    fin = rows(spark, d, "fin")
+    fin = rows(spark, d, "fin", "official_id donor_type industry amount_cents")
     own = fin.join(F.broadcast(_top_official(fin)), "official_id", "left_semi")
     got = own.groupBy(F.coalesce("industry", "donor_type", F.lit("Other")).alias("sector")).agg(F.sum("amount_cents").alias("cents"))
     total = got.agg(F.sum("cents").alias("all"))
@@ -116,7 +116,7 @@ def profile_sector_share(spark, d):
 
 @query(sql("fin") + "SELECT coalesce(industry, 'Unknown') AS industry, CAST(sum(amount_cents) AS BIGINT) AS cents, count(*) AS n FROM fin GROUP BY 1")
 def donations_by_industry(spark, d):
-    return rows(spark, d, "fin").groupBy(F.coalesce("industry", F.lit("Unknown")).alias("industry")).agg(F.sum("amount_cents").alias("cents"), F.count("*").alias("n"))
+    return rows(spark, d, "fin", "donor_name donor_type industry amount_cents").groupBy(F.coalesce("industry", F.lit("Unknown")).alias("industry")).agg(F.sum("amount_cents").alias("cents"), F.count("*").alias("n"))
 
 
 _AGG = "f.donor_type = 'pac' AND f.donor_name NOT ILIKE '%aggregate%' AND f.donor_name NOT ILIKE '%unitemized%'"
@@ -125,7 +125,7 @@ _AGG = "f.donor_type = 'pac' AND f.donor_name NOT ILIKE '%aggregate%' AND f.dono
 @query(sql("off", "fin") + f"SELECT coalesce(o.party, 'other') AS party, f.donor_name, CAST(sum(f.amount_cents) AS BIGINT) AS cents, count(*) AS n FROM fin f JOIN off o ON o.id = f.official_id WHERE {_AGG} GROUP BY o.party, f.donor_name")
 def pac_by_party(spark, d):
     """Grouped by the raw party, shown with a default: a null party is a group of its own."""
-    got = _fin_off(spark, d).where((F.col("donor_type") == "pac") & ~F.col("donor_name").ilike("%aggregate%") & ~F.col("donor_name").ilike("%unitemized%"))
+    got = _fin_off(spark, d, "donor_type donor_name amount_cents").where((F.col("donor_type") == "pac") & ~F.col("donor_name").ilike("%aggregate%") & ~F.col("donor_name").ilike("%unitemized%"))
     return got.groupBy("party", "donor_name").agg(F.sum("amount_cents").alias("cents"), F.count("*").alias("n")).select(F.coalesce("party", F.lit("other")).alias("party"), "donor_name", "cents", "n")
 
 
@@ -143,7 +143,7 @@ def pac_hierarchy_party(spark, d):
   kept AS (SELECT *, row_number() OVER (PARTITION BY sector ORDER BY cents DESC, donor_name) AS rn FROM leaf)
   SELECT sector, donor_name, cents FROM kept WHERE rn <= 20 AND sector IN (SELECT sector FROM kept WHERE rn <= 20 GROUP BY sector ORDER BY sum(cents) DESC, sector LIMIT 15)""")
 def pac_hierarchy_sector(spark, d):
-    got = rows(spark, d, "fin").where("donor_type = 'pac'").groupBy(F.coalesce("industry", F.lit("Other")).alias("sector"), "donor_name").agg(F.sum("amount_cents").alias("cents"))
+    got = rows(spark, d, "fin", "official_id donor_name donor_type industry amount_cents").where("donor_type = 'pac'").groupBy(F.coalesce("industry", F.lit("Other")).alias("sector"), "donor_name").agg(F.sum("amount_cents").alias("cents"))
     kept = G.top_per_group(got, ["sector"], [F.desc("cents"), F.col("donor_name")], 20)
     top = kept.groupBy("sector").agg(F.sum("cents").alias("s")).orderBy(F.desc("s"), "sector").limit(15).select("sector")
     return kept.join(F.broadcast(top), "sector", "left_semi").select("sector", "donor_name", "cents")  # 15 rows
@@ -157,8 +157,8 @@ _CHORD = sql("off", "fin", "ent") + """, cell AS (SELECT coalesce(e.entity_type,
 
 def _chord(spark, d):
     """Several entities of one name count the amount once per match, as a join does; donors of no entity are untagged."""
-    ent = rows(spark, d, "ent").select(F.col("name").alias("donor_name"), "entity_type")
-    money = _fin_off(spark, d).where("amount_cents > 0")
+    ent = rows(spark, d, "ent", "name entity_type").select(F.col("name").alias("donor_name"), "entity_type")
+    money = _fin_off(spark, d, "donor_name amount_cents").where("amount_cents > 0")
     tagged = skew_join(money, ent, ["donor_name"], "left")
     chamber = F.when(F.col("role_title").ilike("%representative%"), "House").otherwise("Senate")
     keys = (F.coalesce("entity_type", F.lit("untagged")).alias("industry"), F.concat_ws("-", F.coalesce("party", F.lit("other")), chamber).alias("party_chamber"))
@@ -191,8 +191,8 @@ def chord_normalised(spark, d):
   GROUP BY 1 HAVING sum(amount_cents) >= 100000 ORDER BY cents DESC, sector LIMIT 12""")
 def group_sector_totals(spark, d):
     """A group is a stored predicate: its members are a semi-join, not a list of ids."""
-    members = rows(spark, d, "off").where("state = 'AL'").select(F.col("id").alias("official_id"))
-    money = rows(spark, d, "fin").where("industry IS NOT NULL AND lower(industry) <> 'other'")
+    members = rows(spark, d, "off", "state").where("state = 'AL'").select(F.col("id").alias("official_id"))
+    money = rows(spark, d, "fin", "official_id industry amount_cents").where("industry IS NOT NULL AND lower(industry) <> 'other'")
     got = skew_join(money, members, ["official_id"], "left_semi").groupBy(F.col("industry").alias("sector")).agg(F.sum("amount_cents").alias("cents"))
     return got.where("cents >= 100000").orderBy(F.desc("cents"), "sector").limit(12)
 
@@ -202,7 +202,7 @@ def group_sector_totals(spark, d):
   FROM fin JOIN g ON g.id = official_id WHERE (a OR b) AND industry IS NOT NULL GROUP BY 1 ORDER BY a_cents + b_cents DESC, sector LIMIT 12""")
 def crossgroup_sector_totals(spark, d):
     """A member of both groups counts in both."""
-    got = _fin_off(spark, d).where("(state = 'AL' OR party = 'democrat') AND industry IS NOT NULL")
+    got = _fin_off(spark, d, "industry amount_cents").where("(state = 'AL' OR party = 'democrat') AND industry IS NOT NULL")
     part = lambda p: F.sum(F.when(F.expr(p), F.col("amount_cents")).otherwise(0))
     got = got.groupBy(F.col("industry").alias("sector")).agg(part("state = 'AL'").alias("a_cents"), part("party = 'democrat'").alias("b_cents"))
     return got.orderBy((F.col("a_cents") + F.col("b_cents")).desc(), "sector").limit(12)
@@ -211,7 +211,7 @@ def crossgroup_sector_totals(spark, d):
 @query(sql("fin") + """SELECT upper(trim(donor_name)) AS donor, donor_type, official_id, CAST(sum(amount_cents) AS BIGINT) AS cents, coalesce(array_to_string(list_sort(list(DISTINCT cycle_year) FILTER (WHERE cycle_year IS NOT NULL)), ','), '') AS cycles
   FROM fin WHERE official_id IS NOT NULL AND donor_name IS NOT NULL GROUP BY 1, 2, 3""")
 def donor_rollup(spark, d):
-    fin = rows(spark, d, "fin").where("official_id IS NOT NULL AND donor_name IS NOT NULL")
+    fin = rows(spark, d, "fin", "official_id donor_name donor_type amount_cents cycle_year").where("official_id IS NOT NULL AND donor_name IS NOT NULL")
     got = fin.groupBy(F.upper(F.trim("donor_name")).alias("donor"), "donor_type", "official_id").agg(F.sum("amount_cents").alias("cents"), F.collect_set("cycle_year").alias("c"))
     return got.select("donor", "donor_type", "official_id", "cents", F.array_join(F.transform(F.sort_array("c"), lambda x: x.cast("string")), ",").alias("cycles"))
 
@@ -221,7 +221,7 @@ def donor_rollup(spark, d):
   SELECT name, donor_type, industry, CAST(total AS BIGINT) AS cents FROM p WHERE rn = 1""")
 def donor_entities(spark, d):
     """One entity per name and type; its industry is that of the largest amount."""
-    r = rows(spark, d, "fin").where("donor_name IS NOT NULL").groupBy(F.col("donor_name").alias("name"), "donor_type", "industry").agg(F.sum("amount_cents").alias("cents"))
+    r = rows(spark, d, "fin", "donor_name donor_type industry amount_cents").where("donor_name IS NOT NULL").groupBy(F.col("donor_name").alias("name"), "donor_type", "industry").agg(F.sum("amount_cents").alias("cents"))
     return r.groupBy("name", "donor_type").agg(F.max_by("industry", F.struct("cents", F.coalesce("industry", F.lit("")))).alias("industry"), F.sum("cents").alias("cents"))
 
 
@@ -230,15 +230,15 @@ def donor_entities(spark, d):
   SELECT entity AS from_id, official_id AS to_id, cents, round(CASE WHEN cents > 0 THEN greatest(0.0, least(1.0, log10(cents / 100000.0) / 4)) ELSE 0.0 END, 6)::DOUBLE AS strength FROM p JOIN e USING (donor)""")
 def donation_edges(spark, d):
     """Contributions rolled up per donor and official before they meet the entities."""
-    pairs = rows(spark, d, "fin").where("official_id IS NOT NULL AND donor_name IS NOT NULL").groupBy(F.upper(F.trim("donor_name")).alias("donor"), "official_id").agg(F.sum("amount_cents").alias("cents"))
-    ent = rows(spark, d, "ent").groupBy(F.upper(F.trim("name")).alias("donor")).agg(F.min("id").alias("from_id"))
+    pairs = rows(spark, d, "fin", "official_id donor_name amount_cents").where("official_id IS NOT NULL AND donor_name IS NOT NULL").groupBy(F.upper(F.trim("donor_name")).alias("donor"), "official_id").agg(F.sum("amount_cents").alias("cents"))
+    ent = rows(spark, d, "ent", "name").groupBy(F.upper(F.trim("name")).alias("donor")).agg(F.min("id").alias("from_id"))
     return skew_join(pairs, ent, ["donor"], "inner").select("from_id", F.col("official_id").alias("to_id"), "cents", F.round(C.donation_strength(F.col("cents")), 6).alias("strength"))
 
 
 @query(sql("fin") + "SELECT official_id, count(*) AS n FROM fin WHERE created_at > TIMESTAMP '2024-06-01 00:00:00' AND official_id IS NOT NULL GROUP BY 1")
 def delta_officials(spark, d):
     """Incremental run: officials with rows after the watermark; the filter is pushed to the scan."""
-    got = U.changed_since(rows(spark, d, "fin"), "created_at", "2024-06-01 00:00:00").where("official_id IS NOT NULL")
+    got = U.changed_since(rows(spark, d, "fin", "official_id created_at"), "created_at", "2024-06-01 00:00:00").where("official_id IS NOT NULL")
     return got.groupBy("official_id").agg(F.count("*").alias("n"))
 
 
@@ -270,13 +270,13 @@ _DEG = sql("con") + """, deg AS (SELECT node, count(*) AS degree, max(CAST(conne
 
 @query(_DEG + "SELECT * FROM deg")
 def degree(spark, d):
-    return G.degree(rows(spark, d, "con"))
+    return G.degree(rows(spark, d, "con", "from_id to_id connection_type"))
 
 
 @query(_DEG + ", top AS (SELECT node FROM deg ORDER BY degree DESC, node LIMIT 10) SELECT con.id FROM con WHERE from_id IN (SELECT node FROM top) OR to_id IN (SELECT node FROM top)")
 def top_connected(spark, d):
     """The ten best connected nodes and all their edges."""
-    con = rows(spark, d, "con")
+    con = rows(spark, d, "con", "from_id to_id connection_type")
     return G.touching(con, G.top_connected(con, 10)).select("id")
 
 
@@ -296,7 +296,7 @@ _EGO1 = _DEG + f""", own AS (SELECT * FROM con WHERE from_id = {_MID} OR to_id =
 
 @query(_EGO1 + "SELECT id FROM e1")
 def ego_depth1(spark, d):
-    con = durable(rows(spark, d, "con"), "con")
+    con = durable(rows(spark, d, "con", "from_id to_id connection_type occurred_at"), "con")
     return G.ego_one(con, _middle(con), 20).select("id")
 
 
@@ -308,13 +308,13 @@ _EGO2 = _EGO1 + f""", nb AS (SELECT DISTINCT n FROM (SELECT from_id AS n FROM e1
 @query(_EGO2 + "SELECT id FROM e1 UNION SELECT id FROM con WHERE from_id IN (SELECT n FROM ex) OR to_id IN (SELECT n FROM ex)")
 def ego_depth2(spark, d):
     """Hubs among the neighbours are not expanded; nobody expands a node before its degree is known."""
-    con = durable(rows(spark, d, "con"), "con")
+    con = durable(rows(spark, d, "con", "from_id to_id connection_type occurred_at"), "con")
     return G.ego_two(con, _middle(con), 20)[0].select("id")
 
 
 @query(_EGO2 + "SELECT n AS node, degree, degree >= 50 AS collapsed FROM nb JOIN deg ON node = n")
 def ego_neighbours(spark, d):
-    con = durable(rows(spark, d, "con"), "con")
+    con = durable(rows(spark, d, "con", "from_id to_id connection_type occurred_at"), "con")
     return G.ego_two(con, _middle(con), 20)[1]
 
 
@@ -326,7 +326,7 @@ _FAR = "(SELECT node FROM deg WHERE has_donations = 1 AND node <> " + _MID + " O
   SELECT CAST(min(hop) AS INTEGER) AS hops FROM bfs WHERE node = {_FAR} HAVING min(hop) IS NOT NULL""")
 def path_hops(spark, d):
     """Length of a shortest path between two entities."""
-    con = durable(rows(spark, d, "con"), "con")
+    con = durable(rows(spark, d, "con", "from_id to_id connection_type"), "con")
     start = _middle(con)
     goal = G.degree(con).where("has_donations = 1").where(F.col("node") != start).orderBy("degree", "node").limit(1).collect()
     path = G.shortest_path(con, start, goal[0].node if goal else "", 4)
@@ -335,8 +335,8 @@ def path_hops(spark, d):
 
 @query(sql("con", "off") + "SELECT id, to_id, amount_cents, strength FROM con WHERE from_id IN (SELECT id FROM off WHERE state = 'AL') ORDER BY amount_cents DESC NULLS LAST, strength DESC NULLS LAST, id LIMIT 500")
 def group_connections(spark, d):
-    members = rows(spark, d, "off").where("state = 'AL'").select(F.col("id").alias("from_id"))
-    got = skew_join(rows(spark, d, "con"), members, ["from_id"], "left_semi")
+    members = rows(spark, d, "off", "state").where("state = 'AL'").select(F.col("id").alias("from_id"))
+    got = skew_join(rows(spark, d, "con", "from_id to_id strength amount_cents"), members, ["from_id"], "left_semi")
     return got.select("id", "to_id", "amount_cents", "strength").orderBy(F.col("amount_cents").desc_nulls_last(), F.col("strength").desc_nulls_last(), "id").limit(500)
 
 
@@ -345,8 +345,8 @@ def group_connections(spark, d):
   SELECT donor_name, cents, n, members, round(least(cents / 100.0 / 1000000.0, 1.0), 6)::DOUBLE AS strength, CAST(floor(100.0 * n / (SELECT count(*) FROM m) + 0.5) AS BIGINT) AS pct FROM g""")
 def group_network(spark, d):
     """A virtual group node with its top donors."""
-    m = rows(spark, d, "off").where("state = 'AL'").select(F.col("id").alias("official_id"))
-    money = skew_join(rows(spark, d, "fin").where("donor_name IS NOT NULL"), m, ["official_id"], "left_semi")
+    m = rows(spark, d, "off", "state").where("state = 'AL'").select(F.col("id").alias("official_id"))
+    money = skew_join(rows(spark, d, "fin", "official_id donor_name amount_cents").where("donor_name IS NOT NULL"), m, ["official_id"], "left_semi")
     g = money.groupBy("donor_name").agg(F.sum("amount_cents").alias("cents"), F.count("*").alias("n"), F.countDistinct("official_id").alias("members")).orderBy(F.desc("cents"), "donor_name").limit(25)
     g = g.crossJoin(F.broadcast(m.agg(F.count("*").alias("size"))))  # a single row
     return g.select("donor_name", "cents", "n", "members", F.round(F.least(C.dollars(F.col("cents")) / 1_000_000.0, F.lit(1.0)), 6).alias("strength"), C.half_up(F.lit(100.0) * F.col("n") / F.col("size")).alias("pct"))
@@ -355,7 +355,7 @@ def group_network(spark, d):
 @query(sql("off", "fin") + """SELECT o.id, o.full_name, CAST(sum(amount_cents) AS BIGINT) AS cents, count(*) AS n FROM fin JOIN off o ON o.id = official_id WHERE donor_type = 'pac' AND industry = 'Crop Farming'
   GROUP BY 1, 2 ORDER BY cents DESC, o.id LIMIT 25""")
 def pac_group_network(spark, d):
-    got = _fin_off(spark, d).where("donor_type = 'pac' AND industry = 'Crop Farming'")
+    got = _fin_off(spark, d, "donor_type industry amount_cents").where("donor_type = 'pac' AND industry = 'Crop Farming'")
     return got.groupBy(F.col("official_id").alias("id"), "full_name").agg(F.sum("amount_cents").alias("cents"), F.count("*").alias("n")).orderBy(F.desc("cents"), "id").limit(25)
 
 
@@ -363,19 +363,19 @@ def pac_group_network(spark, d):
   FROM con LEFT JOIN nod a ON a.type = from_type AND a.id = from_id LEFT JOIN nod b ON b.type = to_type AND b.id = to_id""")
 def node_labels(spark, d):
     """Both ends of every edge resolved against the table that their type names."""
-    return G.labelled(rows(spark, d, "con"), nodes(spark, d)).select("id", "from_label", "to_label")
+    return G.labelled(rows(spark, d, "con", "from_type from_id to_type to_id connection_type"), nodes(spark, d)).select("id", "from_label", "to_label")
 
 
 @query(sql("con") + "SELECT connection_type, count(*) AS n, CAST(sum(amount_cents) AS BIGINT) AS cents, round(avg(strength), 6) AS mean_strength FROM con GROUP BY 1")
 def graph_metadata(spark, d):
-    return rows(spark, d, "con").groupBy("connection_type").agg(F.count("*").alias("n"), F.sum("amount_cents").alias("cents"), F.round(F.avg("strength"), 6).alias("mean_strength"))
+    return rows(spark, d, "con", "connection_type strength amount_cents").groupBy("connection_type").agg(F.count("*").alias("n"), F.sum("amount_cents").alias("cents"), F.round(F.avg("strength"), 6).alias("mean_strength"))
 
 
 @query(sql("con", "pro") + "SELECT con.id FROM con WHERE NOT (to_type = 'proposal' AND to_id IN (SELECT id FROM pro WHERE vote_category = 'procedural'))")
 def substantive_edges(spark, d):
     """Edges to procedural proposals are left out by an anti-join that only proposals enter."""
-    con = rows(spark, d, "con")
-    dull = rows(spark, d, "pro").where("vote_category = 'procedural'").select(F.col("id").alias("to_id")).distinct()
+    con = rows(spark, d, "con", "to_type to_id")
+    dull = rows(spark, d, "pro", "vote_category").where("vote_category = 'procedural'").select(F.col("id").alias("to_id")).distinct()
     votes = skew_join(con.where("to_type = 'proposal'"), dull, ["to_id"], "left_anti")
     return con.where("to_type IS NULL OR to_type <> 'proposal'").unionByName(votes.select(*con.columns)).select("id")
 
@@ -384,24 +384,24 @@ def substantive_edges(spark, d):
   k AS (SELECT *, row_number() OVER (PARTITION BY connection_type ORDER BY v DESC NULLS LAST, to_id) AS rn FROM r) SELECT connection_type, to_id, v FROM k WHERE rn <= 10""")
 def sunburst_types(spark, d):
     """Two rings: type, and the ten largest targets of each."""
-    got = rows(spark, d, "con").groupBy("connection_type", "to_id").agg(F.coalesce(F.sum("amount_cents"), C.half_up(F.max("strength") * 1_000_000)).alias("v"))
+    got = rows(spark, d, "con", "from_id to_id connection_type strength amount_cents").groupBy("connection_type", "to_id").agg(F.coalesce(F.sum("amount_cents"), C.half_up(F.max("strength") * 1_000_000)).alias("v"))
     return G.top_per_group(got, ["connection_type"], [F.col("v").desc_nulls_last(), F.col("to_id")], 10)
 
 
 @query(sql("con") + "SELECT connection_type, count(*) AS children, count(DISTINCT to_id) AS targets FROM con WHERE connection_type LIKE 'vote%' GROUP BY 1")
 def sunburst_votes(spark, d):
-    return rows(spark, d, "con").where(F.col("connection_type").startswith("vote")).groupBy("connection_type").agg(F.count("*").alias("children"), F.countDistinct("to_id").alias("targets"))
+    return rows(spark, d, "con", "to_id connection_type").where(F.col("connection_type").startswith("vote")).groupBy("connection_type").agg(F.count("*").alias("children"), F.countDistinct("to_id").alias("targets"))
 
 
 @query(sql("con") + """, t AS (SELECT from_id, to_id, connection_type, min(id) AS id, count(*) AS n FROM con GROUP BY 1, 2, 3) SELECT id, n FROM t WHERE n > 1""")
 def parallel_edges(spark, d):
     """Triples that occur more than once; the merge keeps the smallest id."""
-    return rows(spark, d, "con").groupBy("from_id", "to_id", "connection_type").agg(F.min("id").alias("id"), F.count("*").alias("n")).where("n > 1").select("id", "n")
+    return rows(spark, d, "con", "from_id to_id connection_type").groupBy("from_id", "to_id", "connection_type").agg(F.min("id").alias("id"), F.count("*").alias("n")).where("n > 1").select("id", "n")
 
 
 @query(sql("con") + "SELECT min(id) AS id FROM con WHERE connection_type IN ('donation', 'lobbying') GROUP BY from_id, to_id, connection_type")
 def merged_graph(spark, d):
-    con = rows(spark, d, "con")
+    con = rows(spark, d, "con", "from_id to_id connection_type")
     return G.merge([con.where("connection_type = 'donation'"), con.where("connection_type = 'lobbying'"), con.where("connection_type = 'donation'")]).select("id")
 
 
@@ -412,7 +412,7 @@ def merged_graph(spark, d):
   ORDER BY from_id, to_id, connection_type, occurred_at DESC NULLS LAST, id""")
 def vote_edges(spark, d):
     """One edge per official, proposal and vote: the latest; partial aggregation instead of a window."""
-    con = rows(spark, d, "con").where(F.col("connection_type").startswith("vote") & (F.col("to_type") == "proposal"))
+    con = rows(spark, d, "con", "from_id to_type to_id connection_type occurred_at").where(F.col("connection_type").startswith("vote") & (F.col("to_type") == "proposal"))
     first = F.min_by("id", F.struct(F.coalesce(-F.unix_date("occurred_at"), F.lit(10**9)), F.col("id")))
     return con.groupBy("from_id", "to_id", "connection_type").agg(first.alias("id"))
 
@@ -422,7 +422,7 @@ def vote_edges(spark, d):
 def appointment_edges(spark, d):
     """Leaders and the agencies of their governing body."""
     b = table(spark, d, "agencies").select(F.lower(F.trim("id")).alias("to_id"), F.lower(F.trim("governing_body_id")).alias("body")).distinct()
-    lead = rows(spark, d, "off").where(F.col("role_title").isin("Secretary", "Commissioner", "Mayor")).select(F.col("id").alias("from_id"), F.lower(F.trim("governing_body_id")).alias("body"))
+    lead = rows(spark, d, "off", "role_title governing_body_id").where(F.col("role_title").isin("Secretary", "Commissioner", "Mayor")).select(F.col("id").alias("from_id"), F.lower(F.trim("governing_body_id")).alias("body"))
     return skew_join(b, lead, ["body"], "inner").select("from_id", "to_id").distinct()
 
 
@@ -431,8 +431,8 @@ def appointment_edges(spark, d):
   SELECT off.id, count(*) AS yes, count(*) FILTER (WHERE parties > 1 OR sole <> off.party) AS crossed FROM v JOIN off ON off.id = v.from_id JOIN c ON c.to_id = v.to_id WHERE party IS NOT NULL GROUP BY 1""")
 def bipartisan(spark, d):
     """Whether anyone of another party agreed: votes are reduced to (proposal, party) before they meet, voters are not paired."""
-    party = rows(spark, d, "off").where("party IS NOT NULL").select(F.col("id").alias("from_id"), "party")
-    v = skew_join(rows(spark, d, "con").where("connection_type = 'vote_yes'").select("from_id", "to_id").distinct(), party, ["from_id"], "inner")
+    party = rows(spark, d, "off", "party").where("party IS NOT NULL").select(F.col("id").alias("from_id"), "party")
+    v = skew_join(rows(spark, d, "con", "from_id to_id connection_type").where("connection_type = 'vote_yes'").select("from_id", "to_id").distinct(), party, ["from_id"], "inner")
     c = v.groupBy("to_id").agg(F.countDistinct("party").alias("parties"), F.min("party").alias("only"))
     crossed = (F.col("parties") > 1) | (F.col("only") != F.col("party"))
     return skew_join(v, c, ["to_id"], "inner").groupBy(F.col("from_id").alias("id")).agg(F.count("*").alias("yes"), F.count_if(crossed).alias("crossed"))
@@ -441,7 +441,7 @@ def bipartisan(spark, d):
 @query(sql("fin") + """SELECT official_id, count(*) AS n, round(sum(CASE WHEN donor_type = 'pac' THEN amount_cents ELSE 0 END) / nullif(sum(amount_cents), 0), 6)::DOUBLE + 0.0 AS pac_share, round(avg(amount_cents), 4) AS mean_cents
   FROM fin WHERE official_id IS NOT NULL GROUP BY 1""")
 def donor_pattern(spark, d):
-    g = rows(spark, d, "fin").where("official_id IS NOT NULL").groupBy("official_id").agg(F.count("*").alias("n"), F.sum(F.when(F.col("donor_type") == "pac", F.col("amount_cents")).otherwise(0)).alias("p"), F.sum("amount_cents").alias("s"), F.round(F.avg("amount_cents"), 4).alias("mean_cents"))
+    g = rows(spark, d, "fin", "official_id donor_type amount_cents").where("official_id IS NOT NULL").groupBy("official_id").agg(F.count("*").alias("n"), F.sum(F.when(F.col("donor_type") == "pac", F.col("amount_cents")).otherwise(0)).alias("p"), F.sum("amount_cents").alias("s"), F.round(F.avg("amount_cents"), 4).alias("mean_cents"))
     return g.select("official_id", "n", F.round(F.try_divide("p", "s"), 6).alias("pac_share"), "mean_cents")
 
 
@@ -452,8 +452,8 @@ def prevote_donations(spark, d):
     """Band join: donations 1 to 90 days before a vote of the same official. Both sides are reduced to days first, and days are
     bucketed by 90, so that a pair meets in one of two buckets and no official's rows are all paired."""
     width = 90
-    g = rows(spark, d, "fin").where("official_id IS NOT NULL AND contribution_date IS NOT NULL AND donor_name IS NOT NULL").select("official_id", "donor_name", F.unix_date("contribution_date").alias("g")).distinct()
-    v = rows(spark, d, "con").where(F.col("connection_type").startswith("vote") & F.col("occurred_at").isNotNull()).select(F.col("from_id").alias("official_id"), F.unix_date("occurred_at").alias("v")).distinct()
+    g = rows(spark, d, "fin", "official_id donor_name contribution_date").where("official_id IS NOT NULL AND contribution_date IS NOT NULL AND donor_name IS NOT NULL").select("official_id", "donor_name", F.unix_date("contribution_date").alias("g")).distinct()
+    v = rows(spark, d, "con", "from_id connection_type occurred_at").where(F.col("connection_type").startswith("vote") & F.col("occurred_at").isNotNull()).select(F.col("from_id").alias("official_id"), F.unix_date("occurred_at").alias("v")).distinct()
     g = g.withColumn("bucket", F.explode(F.array(F.floor(F.col("g") / width), F.floor(F.col("g") / width) + 1)))
     v = v.withColumn("bucket", F.floor(F.col("v") / width))
     near = skew_join(g, v, ["official_id", "bucket"], "inner").where((F.col("v") - F.col("g")).between(1, 90))
@@ -466,49 +466,49 @@ _RULES = [("labor", r"union|teachers"), ("finance", r"\bbank|insur|securities|mo
 @query(sql("ent") + "SELECT id, coalesce(" + ", ".join(f"CASE WHEN regexp_matches(lower(name), '{p}') THEN '{k}' END" for k, p in _RULES) + ", 'other') AS sector FROM ent")
 def sector_classify(spark, d):
     """First matching rule in the declared order."""
-    return rows(spark, d, "ent").select("id", C.first_match(F.col("name"), _RULES, "other").alias("sector"))
+    return rows(spark, d, "ent", "name").select("id", C.first_match(F.col("name"), _RULES, "other").alias("sector"))
 
 
 @query(sql("ent") + " SELECT tag, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS tag FROM ent WHERE regexp_matches(lower(name), '{p}')" for k, p in _RULES) + ") GROUP BY tag")
 def industry_tags(spark, d):
     """All matching rules, one row each."""
-    return rows(spark, d, "ent").select(F.explode(C.all_matches(F.col("name"), _RULES)).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
+    return rows(spark, d, "ent", "name").select(F.explode(C.all_matches(F.col("name"), _RULES)).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
 
 
 @query(sql("pro") + f"""SELECT id, CAST(datediff('day', DATE '{AS_OF[:10]}', CAST(comment_period_end AS DATE)) AS INTEGER) AS days FROM pro WHERE comment_period_end >= TIMESTAMPTZ '{AS_OF}+00' AND comment_period_end < TIMESTAMPTZ '2024-07-30 00:00:00+00'""")
 def closing_soon(spark, d):
     """Relative times take an explicit instant; the range predicate reaches the scan."""
-    p = rows(spark, d, "pro").where((F.col("comment_period_end") >= F.lit(AS_OF).cast("timestamp")) & (F.col("comment_period_end") < F.lit("2024-07-30 00:00:00").cast("timestamp")))
+    p = rows(spark, d, "pro", "comment_period_end").where((F.col("comment_period_end") >= F.lit(AS_OF).cast("timestamp")) & (F.col("comment_period_end") < F.lit("2024-07-30 00:00:00").cast("timestamp")))
     return p.select("id", F.datediff(F.col("comment_period_end"), F.lit(AS_OF[:10]).cast("date")).alias("days"))
 
 
 @query(sql("off") + f"SELECT id, round(datediff('day', term_start, DATE '{AS_OF[:10]}') / 365.25, 4)::DOUBLE AS years FROM off WHERE term_start IS NOT NULL")
 def tenure(spark, d):
-    return rows(spark, d, "off").where("term_start IS NOT NULL").select("id", F.round(F.datediff(F.lit(AS_OF[:10]).cast("date"), "term_start") / 365.25, 4).alias("years"))
+    return rows(spark, d, "off", "term_start").where("term_start IS NOT NULL").select("id", F.round(F.datediff(F.lit(AS_OF[:10]).cast("date"), "term_start") / 365.25, 4).alias("years"))
 
 
 @query(sql("con") + """SELECT to_id, count(*) FILTER (WHERE connection_type = 'vote_yes') AS yes, count(*) FILTER (WHERE connection_type = 'vote_no') AS no, count(*) FILTER (WHERE connection_type = 'vote_abstain') AS abstain
   FROM con WHERE connection_type LIKE 'vote%' GROUP BY 1""")
 def vote_summary(spark, d):
     k = F.col("connection_type")
-    return rows(spark, d, "con").where(k.startswith("vote")).groupBy("to_id").agg(F.count_if(k == "vote_yes").alias("yes"), F.count_if(k == "vote_no").alias("no"), F.count_if(k == "vote_abstain").alias("abstain"))
+    return rows(spark, d, "con", "to_id connection_type").where(k.startswith("vote")).groupBy("to_id").agg(F.count_if(k == "vote_yes").alias("yes"), F.count_if(k == "vote_no").alias("no"), F.count_if(k == "vote_abstain").alias("abstain"))
 
 
 @query(sql("pro") + "SELECT governing_body_id AS body, count(*) AS n, count(*) FILTER (WHERE status = 'open_comment') AS open FROM pro GROUP BY 1")
 def body_counts(spark, d):
-    return rows(spark, d, "pro").groupBy(F.col("governing_body_id").alias("body")).agg(F.count("*").alias("n"), F.count_if(F.col("status") == "open_comment").alias("open"))
+    return rows(spark, d, "pro", "governing_body_id status").groupBy(F.col("governing_body_id").alias("body")).agg(F.count("*").alias("n"), F.count_if(F.col("status") == "open_comment").alias("open"))
 
 
 @query(sql("pro") + "SELECT id, title, (SELECT count(*) FROM pro) AS total, CAST(ceil((SELECT count(*) FROM pro) / 20.0) AS BIGINT) AS pages FROM pro ORDER BY introduced_at DESC NULLS LAST, id LIMIT 20 OFFSET 40")
 def proposals_page(spark, d):
-    return U.page(rows(spark, d, "pro"), [F.col("introduced_at").desc_nulls_last(), F.col("id")], 2).select("id", "title", "total", "pages")
+    return U.page(rows(spark, d, "pro", "title introduced_at"), [F.col("introduced_at").desc_nulls_last(), F.col("id")], 2).select("id", "title", "total", "pages")
 
 
 @query(sql("pro", "bod") + "SELECT pro.id, bod.name AS body, bod.state FROM pro LEFT JOIN bod ON bod.id = lower(trim(pro.governing_body_id))")
 def embedded_parent(spark, d):
     """A parent row fetched with each child. The parents are few and fixed; their number is checked by the optimizer's size."""
-    bod = rows(spark, d, "bod").select(F.col("id").alias("k"), F.col("name").alias("body"), "state")
-    pro = rows(spark, d, "pro").withColumn("k", F.lower(F.trim("governing_body_id")))
+    bod = rows(spark, d, "bod", "name state").select(F.col("id").alias("k"), F.col("name").alias("body"), "state")
+    pro = rows(spark, d, "pro", "governing_body_id").withColumn("k", F.lower(F.trim("governing_body_id")))
     return skew_join(pro, bod, ["k"], "left").select("id", "body", "state")
 
 
@@ -525,8 +525,8 @@ def table_counts(spark, d):
 @query(sql("off", "con") + """SELECT (SELECT round(100.0 * count(*) FILTER (WHERE state IS NULL) / count(*), 4)::DOUBLE FROM off) AS no_state_pct,
   (SELECT count(*) FROM con WHERE connection_type LIKE 'vote%') AS vote_edges, (SELECT count(*) FROM con WHERE strength < 0 OR strength > 1) AS bad_strength""")
 def quality_ratios(spark, d):
-    off = rows(spark, d, "off").agg(F.round(F.lit(100.0) * F.count_if(F.col("state").isNull()) / F.count("*"), 4).alias("no_state_pct"))
-    con = rows(spark, d, "con").agg(F.count_if(F.col("connection_type").startswith("vote")).alias("vote_edges"), F.count_if(~F.col("strength").between(0, 1)).alias("bad_strength"))
+    off = rows(spark, d, "off", "state").agg(F.round(F.lit(100.0) * F.count_if(F.col("state").isNull()) / F.count("*"), 4).alias("no_state_pct"))
+    con = rows(spark, d, "con", "connection_type strength").agg(F.count_if(F.col("connection_type").startswith("vote")).alias("vote_edges"), F.count_if(~F.col("strength").between(0, 1)).alias("bad_strength"))
     return off.crossJoin(F.broadcast(con))  # single rows
 
 
@@ -538,7 +538,7 @@ def quality_ratios(spark, d):
   SELECT coalesce(o.name, n.name) AS name, coalesce(o.entity_type, n.entity_type) AS entity_type, coalesce(n.cents, o.cents) AS cents, CASE WHEN o.name IS NULL THEN 'insert' WHEN n.name IS NULL THEN 'none' ELSE 'update' END AS action
   FROM old o FULL JOIN new n ON n.name = o.name AND n.entity_type = o.entity_type""")
 def upsert_entities(spark, d):
-    ent = rows(spark, d, "ent")
+    ent = rows(spark, d, "ent", "name entity_type total_donated_cents")
     old = ent.where("entity_type <> 'pac'").groupBy("name", "entity_type").agg(F.min_by("total_donated_cents", "id").alias("cents"))
     new = ent.where("entity_type IN ('pac', 'corporation')").select("name", "entity_type", (F.col("total_donated_cents") + 1).alias("cents"))
     return U.upsert(old, new, ["name", "entity_type"])
@@ -547,7 +547,7 @@ def upsert_entities(spark, d):
 @query(sql("con") + "SELECT from_id, to_id, connection_type FROM con WHERE connection_type = 'oversight' UNION SELECT from_id, to_id, connection_type FROM con WHERE connection_type IN ('oversight', 'appointment')")
 def insert_missing_edges(spark, d):
     keys = ["from_id", "to_id", "connection_type"]
-    con = rows(spark, d, "con")
+    con = rows(spark, d, "con", "from_id to_id connection_type")
     old = con.where("connection_type = 'oversight'").select(*keys).distinct()
     return U.insert_missing(old, con.where("connection_type IN ('oversight', 'appointment')").select(*keys), keys)
 
@@ -578,7 +578,7 @@ def entity_search(spark, d):
 def ranked_search(spark, d):
     """Tiers of relevance, then degree; only what matched is joined with the degrees."""
     hit = _scored(spark, d).where(F.col("label").ilike(f"%{_Q}%"))
-    got = hit.join(G.degree(rows(spark, d, "con")).select(F.col("node").alias("id"), "degree"), "id", "left")
+    got = hit.join(G.degree(rows(spark, d, "con", "from_id to_id connection_type")).select(F.col("node").alias("id"), "degree"), "id", "left")
     low = F.lower("label")
     tier = F.when(low == _Q, 0).when(low.startswith(_Q), 1).when(F.col("degree") > 0, 2).otherwise(3)
     return got.select("type", "id", "label", F.coalesce("degree", F.lit(0)).alias("degree"), tier.alias("tier")).orderBy("tier", F.desc("degree"), "label", "id").limit(50)
@@ -588,7 +588,7 @@ def ranked_search(spark, d):
 def fulltext_search(spark, d):
     """All query words must occur as words; there is no stemming."""
     words = F.split(F.lower("title"), "[^\\p{L}\\p{N}]+")
-    return rows(spark, d, "pro").where(F.array_contains(words, "wildfire") & F.array_contains(words, "act")).select("id")
+    return rows(spark, d, "pro", "title").where(F.array_contains(words, "wildfire") & F.array_contains(words, "act")).select("id")
 
 
 # -- traffic, spending, usage -----------------------------------------------------------------------------------------------
@@ -720,7 +720,7 @@ def universal(off: DataFrame, text: str, limit: int = 50) -> DataFrame:
 @query(sql("off") + """(SELECT 'role' AS intent, id, full_name FROM off WHERE role_title ILIKE '%mayor%' ORDER BY full_name, id LIMIT 50) UNION ALL (SELECT 'state', id, full_name FROM off WHERE state = 'OH' ORDER BY full_name, id LIMIT 50)
   UNION ALL (SELECT 'name', id, full_name FROM off WHERE contains(lower(full_name), 'frost') ORDER BY full_name, id LIMIT 50)""")
 def universal_search(spark, d):
-    off = rows(spark, d, "off")
+    off = rows(spark, d, "off", "full_name state")
     one = lambda intent, text: universal(off, text).select(F.lit(intent).alias("intent"), "id", "full_name")
     return one("role", "mayor").unionByName(one("state", "oh")).unionByName(one("name", "frost"))
 
@@ -728,8 +728,8 @@ def universal_search(spark, d):
 @query(sql("ent", "con") + "SELECT id, name FROM ent WHERE NOT EXISTS (SELECT 1 FROM con WHERE from_id = ent.id) AND NOT EXISTS (SELECT 1 FROM con WHERE to_id = ent.id)")
 def unconnected_donors(spark, d):
     """Anti-joins against either end."""
-    con = rows(spark, d, "con")
-    ent = rows(spark, d, "ent").select("id", "name")
+    con = rows(spark, d, "con", "from_id to_id")
+    ent = rows(spark, d, "ent", "name").select("id", "name")
     for end in ("from_id", "to_id"):
         ent = ent.join(con.select(F.col(end).alias("id")).distinct(), "id", "left_anti")
     return ent
@@ -739,7 +739,7 @@ def unconnected_donors(spark, d):
   SELECT id, CAST(row_number() OVER (ORDER BY r, lower(full_name), id) AS INTEGER) AS place FROM o ORDER BY place LIMIT 100""")
 def officials_ranked(spark, d):
     """Order by a declared rank of values, then by name. Places are given to the kept rows only."""
-    off = rows(spark, d, "off").where("is_active").select("id", C.rank_of(F.col("party"), ["democrat", "republican"]).alias("r"), F.lower("full_name").alias("n"))
+    off = rows(spark, d, "off", "full_name party is_active").where("is_active").select("id", C.rank_of(F.col("party"), ["democrat", "republican"]).alias("r"), F.lower("full_name").alias("n"))
     top = off.orderBy("r", "n", "id").limit(100)
     return top.select("id", F.row_number().over(Window.orderBy("r", "n", "id")).alias("place"))
 
@@ -764,12 +764,12 @@ def bill_numbers(spark, d):
 
 @query(sql("off", "con") + """, v AS (SELECT from_id, count(*) AS n FROM con WHERE connection_type LIKE 'vote%' GROUP BY 1) SELECT id, full_name, n FROM off JOIN v ON from_id = id WHERE is_active ORDER BY n DESC, id LIMIT 4""")
 def home_officials(spark, d):
-    v = rows(spark, d, "con").where(F.col("connection_type").startswith("vote")).groupBy(F.col("from_id").alias("id")).agg(F.count("*").alias("n"))
-    return rows(spark, d, "off").where("is_active").join(v, "id").select("id", "full_name", "n").orderBy(F.desc("n"), "id").limit(4)
+    v = rows(spark, d, "con", "from_id connection_type").where(F.col("connection_type").startswith("vote")).groupBy(F.col("from_id").alias("id")).agg(F.count("*").alias("n"))
+    return rows(spark, d, "off", "full_name is_active").where("is_active").join(v, "id").select("id", "full_name", "n").orderBy(F.desc("n"), "id").limit(4)
 
 
 @query(sql("con") + "SELECT id FROM con WHERE from_id NOT IN (SELECT node FROM (SELECT from_id AS node FROM con UNION ALL SELECT to_id FROM con) GROUP BY node ORDER BY count(*) DESC, node LIMIT 3) AND to_id NOT IN (SELECT node FROM (SELECT from_id AS node FROM con UNION ALL SELECT to_id FROM con) GROUP BY node ORDER BY count(*) DESC, node LIMIT 3)")
 def graph_without_hubs(spark, d):
     """The edges left when focus entities are removed."""
-    con = rows(spark, d, "con")
+    con = rows(spark, d, "con", "from_id to_id connection_type")
     return G.without(con, G.top_connected(con, 3)).select("id")
