@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import io
 import shutil
 import tempfile
 import uuid
@@ -43,13 +44,16 @@ def ship(spark: SparkSession) -> None:
     if app in _SHIPPED:
         return
     _SHIPPED.add(app)
-    root = Path(__file__).resolve().parent
-    target = Path(tempfile.mkdtemp(prefix="polispark-zip-")) / "polispark-workers.zip"
-    atexit.register(shutil.rmtree, target.parent, ignore_errors=True)
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+    root, data = Path(__file__).resolve().parent, io.BytesIO()
+    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, Path("polispark") / p.relative_to(root))
-    spark.sparkContext.addPyFile(str(target))  # served by the driver to every executor
+    name = f"{shared_dir(spark)}/polispark/{app}/polispark-workers.zip"
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
+    out.write(bytearray(data.getvalue()))
+    out.close()
+    spark.sparkContext.addPyFile(name)
 
 
 def durable(df: DataFrame, name: str = "step") -> DataFrame:
