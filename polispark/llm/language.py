@@ -179,11 +179,17 @@ def train(docs: list[tuple[str, str]], path: str = VOCABULARY) -> np.ndarray:
 
 
 def sample(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> list[tuple[str, str]]:
-    """At most TRAIN_DOCS labelled documents of at most TRAIN_CHARS characters, by the hash of their keys."""
+    """At most TRAIN_DOCS labelled documents of at most TRAIN_CHARS characters, by the hash of their keys.
+
+    Documents are counted first; then a range of hashes is read that holds about twice the sample, so that what reaches the
+    driver does not grow with the corpus.
+    """
     codes = F.udf(lambda x: label_language(x), "string")
     labels = docs.select(lang).where(F.col(lang).isNotNull()).distinct().select(F.col(lang).alias("_label"), codes(lang).alias("_lang")).where("_lang is not null")
-    rows = docs.select(key, text, F.col(lang).alias("_label")).where(F.length(text).between(1, TRAIN_CHARS)).join(labels, "_label")
-    got = rows.orderBy(F.xxhash64(key), key).limit(TRAIN_DOCS).select(text, "_lang").collect()
+    rows = docs.select(key, text, F.col(lang).alias("_label"), F.xxhash64(key).alias("_hash")).where(F.length(text).between(1, TRAIN_CHARS) & F.col(lang).isNotNull())
+    n = rows.count()
+    top = -(2**63) + int(2**64 * min(1.0, 2 * TRAIN_DOCS / max(n, 1))) - 1
+    got = rows.where(F.col("_hash") <= F.lit(top)).join(labels, "_label").orderBy("_hash", key).limit(TRAIN_DOCS).select(text, "_lang").collect()
     return [(r[0], r[1]) for r in got]
 
 
