@@ -270,4 +270,5 @@ def map_values(values: DataFrame, entries: DataFrame, aliases: dict | None = Non
             yield pd.DataFrame(out, columns=["kind", "raw_value", "entry_id", "confidence", "way"])
 
     distinct = values.select("kind", "raw_value").where(F.col("raw_value").isNotNull()).distinct()
-    return distinct.mapInPandas(run, "kind string, raw_value string, entry_id bigint, confidence double, way string")
+    tasks = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work: not to be coalesced
+    return distinct.repartition(tasks, "raw_value").mapInPandas(run, "kind string, raw_value string, entry_id bigint, confidence double, way string")
