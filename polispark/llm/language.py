@@ -46,8 +46,8 @@ NAMES = {
 _NAMED = {n: k for k, v in NAMES.items() for n in (k, *v)}
 
 _MARKUP = re.compile(r"</?[a-zA-Z][^<>]{0,200}>|&#?[0-9a-zA-Z]{1,12};|https?://\S+|\S+@\S+")
-_SENTENCE = re.compile(r"[.!?…]+(?=\s|$)|[。!?;]+|[\r\n]+|\x00")
-_WORD = re.compile(r"[^\W\d_]+")
+#: A word, or the end of a sentence.
+_TOKEN = re.compile(r"[^\W\d_]+|[.!?…]+(?=\s|$)|[。!?;\r\n\x00]")
 _HAN = re.compile(r"[㐀-鿿]")
 
 
@@ -59,20 +59,36 @@ def label_language(label: str | None) -> str | None:
     return _NAMED.get(s) or _NAMED.get(re.split(r"[-_ (]", s)[0])
 
 
-def sentences(text: str | None) -> list[list[str]]:
-    """Words of each sentence, in lower case; numbers, markup, addresses and words of other scripts are left out."""
+def tokens(text: str | None) -> tuple[list[str], list[int]]:
+    """Words in lower case, and the place of the first word of each sentence; numbers, markup, addresses and words of other
+    scripts are left out."""
     if not text:
-        return []
-    out = []
-    for part in _SENTENCE.split(_MARKUP.sub("\x00", unicodedata.normalize("NFC", text))):
-        row = []
-        for w in _WORD.findall(part.lower()):
-            c = w[0]
-            if c < "ɐ" or "Ѐ" <= c <= "ӿ" or "㐀" <= c <= "鿿":
-                row += [w] if len(w) <= WORD_CHARS else [w[i : i + WORD_CHARS] for i in range(0, len(w), WORD_CHARS)]
-        if row:
-            out.append(row)
-    return out
+        return [], []
+    if not text.isascii():
+        text = unicodedata.normalize("NFC", text)
+    if "<" in text or "&" in text or "@" in text or "://" in text:
+        text = _MARKUP.sub("\x00", text)
+    words: list[str] = []
+    starts: list[int] = []
+    fresh = True
+    for w in _TOKEN.findall(text.lower()):
+        c = w[0]
+        if "a" <= c < "ɐ" or "Ѐ" <= c <= "ӿ" or "㐀" <= c <= "鿿":
+            if fresh:
+                starts.append(len(words))
+                fresh = False
+            if len(w) <= WORD_CHARS:
+                words.append(w)
+            else:
+                words += [w[i : i + WORD_CHARS] for i in range(0, len(w), WORD_CHARS)]
+        elif not c.isalpha():
+            fresh = True
+    return words, starts
+
+
+def sentences(text: str | None) -> list[list[str]]:
+    words, starts = tokens(text)
+    return [words[i:j] for i, j in zip(starts, [*starts[1:], len(words)])]
 
 
 def n_words(w: str) -> float:
@@ -193,31 +209,66 @@ def sample(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "
     return [(r[0], r[1]) for r in got]
 
 
-def passages(parts: list[list[str]], word: callable) -> list[tuple[int, float, float, int, int]]:
-    """Viterbi over a document's sentences -> (language, words, nats over the next best language, first and last sentence)."""
-    units, costs, sizes, where = [], [], [], []
-    for at, s in enumerate(parts):
-        e = np.array([word(w) for w in s])
-        size = [n_words(w) for w in s]
-        if len(s) > 1 and e.max(1).sum() - e.sum(0).max() > WITHIN:
-            units += list(e)
-            costs += [BETWEEN] + [WITHIN] * (len(s) - 1)
-            sizes += size
-            where += [at] * len(s)
-        else:
-            units.append(e.sum(0))
-            costs.append(BETWEEN)
-            sizes.append(sum(size))
-            where.append(at)
-    if not units:
+class Scorer:
+    """Log-likelihoods of words in all languages, kept in rows of one matrix."""
+
+    def __init__(self, prob: np.ndarray, path: str = VOCABULARY, most: int = 300_000):
+        self.prob, self.vocab, self.most = prob, pieces(path), most
+        self.clear()
+
+    def clear(self) -> None:
+        self.at: dict[str, int] = {}
+        self.rows, self.sizes = np.zeros((1024, len(LANGUAGES))), np.zeros(1024)
+
+    def _add(self, w: str) -> int:
+        i = self.at[w] = len(self.at)
+        if i == len(self.sizes):
+            self.rows, self.sizes = np.concatenate([self.rows, np.zeros_like(self.rows)]), np.concatenate([self.sizes, np.zeros_like(self.sizes)])
+        self.rows[i], self.sizes[i] = log_word(w, self.vocab, self.prob), n_words(w)
+        return i
+
+    def ids(self, words: list[str]) -> np.ndarray:
+        if len(self.at) > self.most:
+            self.clear()
+        get = self.at.get
+        found = [get(w) for w in words]
+        if None in found:
+            found = [i if i is not None else get(w, -1) if get(w, -1) >= 0 else self._add(w) for i, w in zip(found, words)]
+        return np.array(found, dtype=np.int64)
+
+
+def passages(words: list[str], starts: list[int], scorer: Scorer) -> list[tuple[int, float, float, int, int]]:
+    """Viterbi over a document -> (language, words, nats over the next best language, first and last sentence).
+
+    A sentence whose words could not gain by changing the language within it is one unit, in others each word is one. If
+    the units all favour one language, that is the best path.
+    """
+    if not words:
         return []
+    ids = scorer.ids(words)
+    e, size = scorer.rows[ids], scorer.sizes[ids]
+    first = np.array(starts)
+    total, amount = np.add.reduceat(e, first), np.add.reduceat(size, first)
+    gain = np.add.reduceat(e.max(1), first) - total.max(1)
+    ends = np.append(first[1:], len(ids))
+    open_ = (gain > WITHIN) & (ends - first > 1)
+    if not open_.any():
+        units, costs, sizes, where = total, np.full(len(first), BETWEEN), amount, np.arange(len(first))
+        best = units.argmax(1)
+        if (best == best[0]).all():
+            return [_passage(units, sizes, where, int(best[0]), 0, len(units))]
+    else:
+        parts = [(e[i:j], size[i:j]) if o else (total[k: k + 1], amount[k: k + 1]) for k, (i, j, o) in enumerate(zip(first, ends, open_))]
+        units, sizes = np.concatenate([u for u, _ in parts]), np.concatenate([z for _, z in parts])
+        where = np.repeat(np.arange(len(parts)), [len(u) for u, _ in parts])
+        costs = np.where(np.diff(where, prepend=-1) > 0, BETWEEN, WITHIN)
     v, back = units[0].copy(), []
-    for e, cost in zip(units[1:], costs[1:]):
-        best = int(np.argmax(v))
-        move = v[best] - cost > v
-        back.append((best, move))
-        v = np.where(move, v[best] - cost, v) + e
-    k = int(np.argmax(v))
+    for u, cost in zip(units[1:], costs[1:]):
+        k = int(v.argmax())
+        move = v[k] - cost > v
+        back.append((k, move))
+        v = np.where(move, v[k] - cost, v) + u
+    k = int(v.argmax())
     path = [k]
     for best, move in reversed(back):
         k = best if move[k] else k
@@ -228,13 +279,18 @@ def passages(parts: list[list[str]], word: callable) -> list[tuple[int, float, f
         j = i
         while j < len(path) and path[j] == path[i]:
             j += 1
-        total = np.sum(units[i:j], axis=0)
-        nats = total[path[i]] - np.max(np.delete(total, path[i]))
-        out.append((path[i], float(sum(sizes[i:j])), float(nats), where[i], where[j - 1]))
+        out.append(_passage(units, sizes, where, path[i], i, j))
         i = j
     return out
 
 
+def _passage(units: np.ndarray, sizes: np.ndarray, where: np.ndarray, k: int, i: int, j: int) -> tuple[int, float, float, int, int]:
+    total = units[i:j].sum(0)
+    own = total[k]
+    total[k] = -np.inf
+    return k, float(sizes[i:j].sum()), float(own - total.max()), int(where[i]), int(where[j - 1])
+
+
 _SEGMENTS = "lang string, words double, nats double, confidence double, first int, last int, seg int, whole boolean"
 
 
@@ -252,25 +308,16 @@ def segments(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     known = bool(model.std(1).max() > 0)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vocab, prob, cache = pieces(path), shared.value.astype(np.float64), {}
-
-        def word(w: str) -> np.ndarray:
-            x = cache.get(w)
-            if x is None:
-                x = cache[w] = log_word(w, vocab, prob)
-            return x
-
+        scorer = Scorer(shared.value.astype(np.float64), path)
         for pdf in batches:
             rows = []
             for k, t, label in zip(pdf["key"], pdf["text"], pdf["lang"]):
                 if not known or not isinstance(t, str):
                     continue
                 named = label_language(label if isinstance(label, str) else None)
-                for n, (at, words, nats, first, last) in enumerate(passages(sentences(t), word)):
+                for n, (at, words, nats, first, last) in enumerate(passages(*tokens(t), scorer)):
                     whole = words >= MIN_WORDS and nats >= MIN_NATS
                     rows.append((k, named, LANGUAGES[at], words, nats, 1 / (1 + np.exp(-min(nats, 50.0))), first, last, n, whole))
-                if len(cache) > 300_000:
-                    cache.clear()
             yield pd.DataFrame(rows, columns=["key", "label_lang", "lang", "words", "nats", "confidence", "first", "last", "seg", "whole"])
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
