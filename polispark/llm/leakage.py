@@ -41,29 +41,38 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def _hashes(tokens: list[str], cache: dict[str, int]) -> np.ndarray:
-    """uint64 [masks, windows] of a text of at least SPAN words."""
-    get = cache.get
-    h = np.empty(len(tokens), dtype=np.uint64)
-    for i, w in enumerate(tokens):
-        x = get(w)
-        if x is None:
-            x = cache[w] = xxhash.xxh64_intdigest(w)
-        h[i] = x
-    n = len(tokens) - SPAN + 1
-    out = np.zeros((len(MASKS), n), dtype=np.uint64)
-    for m, mask in enumerate(MASKS):
-        for k, bit in enumerate(mask):
-            if bit == "1":
-                part = h[k : k + n] * np.uint64(2 * (0x9E3779B97F4A7C15 * (k + 1) % (1 << 62)) + 1)
-                out[m] += part ^ (part >> np.uint64(29))
-        out[m] += np.uint64((m + 1) * 0xC2B2AE3D27D4EB4F % (1 << 64))
+#: Odd factors and offsets by which the hash of a window tells positions and masks apart.
+_FACTORS = np.array([2 * (0x9E3779B97F4A7C15 * (k + 1) % (1 << 62)) + 1 for k in range(SPAN)], dtype=np.uint64)
+_OFFSETS = np.array([(m + 1) * 0xC2B2AE3D27D4EB4F % (1 << 64) for m in range(len(MASKS))], dtype=np.uint64)
+
+
+def _hashes(h: np.ndarray) -> np.ndarray:
+    """uint64 [masks, windows] of the hashes of at least SPAN words."""
+    n = len(h) - SPAN + 1
+    out = np.repeat(_OFFSETS[:, None], n, axis=1)
+    for k in range(SPAN):
+        part = h[k : k + n] * _FACTORS[k]
+        part ^= part >> np.uint64(29)
+        for m, mask in enumerate(MASKS):
+            if mask[k] == "1":
+                out[m] += part
     return out
 
 
 def _slots(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    low = np.uint64(FILTER_BITS - 1)
     h = h ^ (h >> np.uint64(33))
-    return (h % np.uint64(FILTER_BITS)).astype(np.int64), ((h >> np.uint64(24)) % np.uint64(FILTER_BITS)).astype(np.int64)
+    return (h & low).astype(np.int64), ((h >> np.uint64(24)) & low).astype(np.int64)
+
+
+def _passing(h: np.ndarray, keep: np.ndarray) -> np.ndarray:
+    """Which hashes have both of their bits set; the second is looked up for those only that have the first."""
+    a, b = _slots(h)
+    hit = ((keep[a >> 3] >> (a & 7).astype(np.uint8)) & 1).astype(bool)
+    some = np.nonzero(hit)
+    b = b[some]
+    hit[some] = ((keep[b >> 3] >> (b & 7).astype(np.uint8)) & 1).astype(bool)
+    return hit
 
 
 _WINDOWS = "key bigint, pos int, hash bigint, window string"
@@ -79,26 +88,29 @@ def windows(df: DataFrame, key: str, text: str, keep: np.ndarray | None = None)
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache: dict[str, int] = {}
         for pdf in batches:
-            rows: list[tuple] = []
+            keys, flat, ends = [], [], []  # the words of all texts in a row, and where each text ends
             for k, t in zip(pdf["key"], pdf["text"]):
-                if not isinstance(t, str):
-                    continue
                 forms = [t]
                 if "<" in t or "&" in t:
                     bare = _MARKUP.sub(" ", t)
                     forms += [bare] if bare != t else []
                 for form in forms:
                     tokens = words(form)
-                    if len(tokens) < SPAN:
-                        continue
-                    h = _hashes(tokens, cache)
-                    if keep is None:
-                        hit = np.ones(h.shape, dtype=bool)
-                    else:
-                        a, b = _slots(h)
-                        hit = ((keep[a >> 3] >> (a & 7)) & (keep[b >> 3] >> (b & 7)) & 1).astype(bool)
-                    for m, p in zip(*np.nonzero(hit)):
-                        rows.append((k, int(p), int(h[m, p].astype(np.int64)), " ".join(tokens[p : p + SPAN])))
+                    if len(tokens) >= SPAN:
+                        flat += tokens
+                        keys.append(k)
+                        ends.append(len(flat))
+            rows: list[tuple] = []
+            if flat:
+                for w in set(flat).difference(cache):
+                    cache[w] = xxhash.xxh64_intdigest(w)
+                h = _hashes(np.fromiter(map(cache.__getitem__, flat), dtype=np.uint64, count=len(flat)))
+                own = np.searchsorted(np.array(ends), np.arange(h.shape[1]), side="right")
+                inside = np.arange(h.shape[1]) + SPAN <= np.array(ends)[own]
+                hit = (np.ones(h.shape, dtype=bool) if keep is None else _passing(h, keep)) & inside
+                begin = [0, *ends]
+                for m, p in zip(*(x.tolist() for x in np.nonzero(hit))):
+                    rows.append((keys[own[p]], p - begin[own[p]], int(h[m, p].astype(np.int64)), " ".join(flat[p : p + SPAN])))
                 if len(cache) > 1_000_000:
                     cache.clear()
             yield pd.DataFrame(rows, columns=["key", "pos", "hash", "window"])
