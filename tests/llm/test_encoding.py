@@ -21,6 +21,12 @@ def test_tree_equals_direct(text, size, window):
     assert got.ids.tolist() == direct(text)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.one_of(MIXED, st.text(max_size=60)))
+def test_ranks_equal_merges(text):
+    assert E.ranked().encode_ordinary(text) == direct(text)
+
+
 @settings(max_examples=150, deadline=None)
 @given(MIXED, MIXED, MIXED)
 def test_join_is_associative(a, b, c):
