@@ -36,5 +36,5 @@ def changed_since(df: DataFrame, column: str, after) -> DataFrame:
 
 def page(df: DataFrame, order: list, number: int, size: int = 20) -> DataFrame:
     """Page `number` (from 0) in a total order, with the number of all rows and pages."""
-    total = df.agg(F.count("*").alias("total")).withColumn("pages", F.ceil(F.col("total") / size))
-    return df.orderBy(*order).offset(number * size).limit(size).crossJoin(F.broadcast(total))  # a single row
+    total = df.count()
+    return df.orderBy(*order).offset(number * size).limit(size).withColumns({"total": F.lit(total).cast("bigint"), "pages": F.lit(-(-total // size)).cast("bigint")})

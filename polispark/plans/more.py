@@ -153,10 +153,9 @@ def top_donors(spark, d):
 def entity_resolve(spark, d):
     """An entity by its key, and by its name whatever the case."""
     n = durable(nodes(spark, d), "nodes")
-    least = n.agg(F.min("id").alias("k"), F.min(F.when(F.col("type") == "official", F.lower("label"))).alias("l"))
-    got = n.crossJoin(F.broadcast(least))  # a single row
+    least = n.agg(F.min("id").alias("k"), F.min(F.when(F.col("type") == "official", F.lower("label"))).alias("l")).first()
     cols = ["type", "id", "label"]
-    return got.where("id = k").select(F.lit("key").alias("way"), *cols).unionByName(got.where(F.lower("label") == F.col("l")).select(F.lit("name").alias("way"), *cols))
+    return n.where(F.col("id") == F.lit(least.k)).select(F.lit("key").alias("way"), *cols).unionByName(n.where(F.lower("label") == F.lit(least.l)).select(F.lit("name").alias("way"), *cols))
 
 
 @query(sql("con") + """SELECT 'strength_in_range' AS name, count(*) FILTER (WHERE strength < 0 OR strength > 1) = 0 AS passed FROM con UNION ALL SELECT 'has_votes', count(*) FILTER (WHERE connection_type LIKE 'vote%') > 10 FROM con

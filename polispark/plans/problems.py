@@ -56,9 +56,8 @@ def p4_key_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "entity_connections").agg(F.count("*").alias("_rows"))
-    got = _key_stats(spark, sf_dir).crossJoin(F.broadcast(rows))  # a single row
-    return got.where(F.col("n_rows") >= FOUND_SHARE * F.col("_rows")).select("side", "key_id")
+    n = table(spark, sf_dir, "entity_connections").count()
+    return _key_stats(spark, sf_dir).where(F.col("n_rows") >= FOUND_SHARE * n).select("side", "key_id")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -110,8 +110,8 @@ def profile_sector_share(spark, d):
     fin = rows(spark, d, "fin", "official_id donor_type industry amount_cents")
     own = fin.join(F.broadcast(_top_official(fin)), "official_id", "left_semi")
     got = own.groupBy(F.coalesce("industry", "donor_type", F.lit("Other")).alias("sector")).agg(F.sum("amount_cents").alias("cents"))
-    total = got.agg(F.sum("cents").alias("all"))
-    return got.crossJoin(F.broadcast(total)).select("sector", "cents", F.round(F.lit(100.0) * F.col("cents") / F.col("all"), 6).alias("pct")).orderBy(F.desc("cents"), "sector").limit(8)
+    total = got.agg(F.sum("cents").alias("all")).first().all or 1
+    return got.select("sector", "cents", F.round(F.lit(100.0) * F.col("cents") / F.lit(total), 6).alias("pct")).orderBy(F.desc("cents"), "sector").limit(8)
 
 
 @query(sql("fin") + "SELECT coalesce(industry, 'Unknown') AS industry, CAST(sum(amount_cents) AS BIGINT) AS cents, count(*) AS n FROM fin GROUP BY 1")
@@ -348,8 +348,8 @@ def group_network(spark, d):
     m = rows(spark, d, "off", "state").where("state = 'AL'").select(F.col("id").alias("official_id"))
     money = skew_join(rows(spark, d, "fin", "official_id donor_name amount_cents").where("donor_name IS NOT NULL"), m, ["official_id"], "left_semi")
     g = money.groupBy("donor_name").agg(F.sum("amount_cents").alias("cents"), F.count("*").alias("n"), F.countDistinct("official_id").alias("members")).orderBy(F.desc("cents"), "donor_name").limit(25)
-    g = g.crossJoin(F.broadcast(m.agg(F.count("*").alias("size"))))  # a single row
-    return g.select("donor_name", "cents", "n", "members", F.round(F.least(C.dollars(F.col("cents")) / 1_000_000.0, F.lit(1.0)), 6).alias("strength"), C.half_up(F.lit(100.0) * F.col("n") / F.col("size")).alias("pct"))
+    size = max(m.count(), 1)
+    return g.select("donor_name", "cents", "n", "members", F.round(F.least(C.dollars(F.col("cents")) / 1_000_000.0, F.lit(1.0)), 6).alias("strength"), C.half_up(F.lit(100.0) * F.col("n") / size).alias("pct"))
 
 
 @query(sql("off", "fin") + """SELECT o.id, o.full_name, CAST(sum(amount_cents) AS BIGINT) AS cents, count(*) AS n FROM fin JOIN off o ON o.id = official_id WHERE donor_type = 'pac' AND industry = 'Crop Farming'
@@ -525,9 +525,9 @@ def table_counts(spark, d):
 @query(sql("off", "con") + """SELECT (SELECT round(100.0 * count(*) FILTER (WHERE state IS NULL) / count(*), 4)::DOUBLE FROM off) AS no_state_pct,
   (SELECT count(*) FROM con WHERE connection_type LIKE 'vote%') AS vote_edges, (SELECT count(*) FROM con WHERE strength < 0 OR strength > 1) AS bad_strength""")
 def quality_ratios(spark, d):
+    con = rows(spark, d, "con", "connection_type strength").agg(F.count_if(F.col("connection_type").startswith("vote")).alias("votes"), F.count_if(~F.col("strength").between(0, 1)).alias("bad")).first()
     off = rows(spark, d, "off", "state").agg(F.round(F.lit(100.0) * F.count_if(F.col("state").isNull()) / F.count("*"), 4).alias("no_state_pct"))
-    con = rows(spark, d, "con", "connection_type strength").agg(F.count_if(F.col("connection_type").startswith("vote")).alias("vote_edges"), F.count_if(~F.col("strength").between(0, 1)).alias("bad_strength"))
-    return off.crossJoin(F.broadcast(con))  # single rows
+    return off.select("no_state_pct", F.lit(con.votes).cast("bigint").alias("vote_edges"), F.lit(con.bad).cast("bigint").alias("bad_strength"))
 
 
 # -- upsert --------------------------------------------------------------------------------------------------------------
