@@ -6,9 +6,9 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
-from polispark.plans import more, problems, reference
+from polispark.plans import extra, more, problems, reference
 
-CORE = [n for part in (problems, reference, more) for n in part.QUERIES]
+CORE = [n for part in (problems, reference, more, extra) for n in part.QUERIES]
 
 
 def canon(df):
