@@ -47,14 +47,17 @@ def _as_table(df: DataFrame, cols: list[str], keys: list[tuple]) -> DataFrame:
     return df.sparkSession.createDataFrame(keys, schema)
 
 
-def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left", share: float = HEAVY_SHARE) -> DataFrame:
+def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left", share: float = HEAVY_SHARE, sketch: DataFrame | None = None) -> DataFrame:
     """`left` joined with `right` on `on`, balanced whatever the distribution of `left`'s keys.
 
+    `sketch` may give a cheaper table with about left's distribution of keys (the scan that left starts from), so that heavy
+    keys are found without computing left twice; it only chooses the plan.
+
     Rows of light keys join by an ordinary shuffle. Rows of heavy keys stay where they are: the right side's rows of
     those keys are broadcast once they are counted and are few, else both sides are salted. how: inner, left,
     left_semi or left_anti. Null keys match nothing. Other columns must not clash.
     """
-    heavy = heavy_keys(left, on, share)
+    heavy = heavy_keys(left if sketch is None else sketch, on, share)
     if not heavy:
         return left.join(right, on, how)
     keys = F.broadcast(_as_table(left, on, heavy))  # at most 2 / share rows

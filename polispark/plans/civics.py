@@ -35,6 +35,12 @@ def rows(spark: SparkSession, sf_dir: str, short: str, columns: str = "") -> Dat
     return table(spark, sf_dir, name).select(*cols).distinct()
 
 
+def keys(spark: SparkSession, sf_dir: str, short: str, column: str, name: str | None = None) -> DataFrame:
+    """One key column as it is scanned, repeated rows included: what the search for heavy keys needs."""
+    col = clean_key(column) if column in _KEYS[_SHORT[short]] else F.col(column)
+    return table(spark, sf_dir, _SHORT[short]).select(col.alias(name or column))
+
+
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """type, id, label of all entities; of an agency the acronym, else the name, of its current row."""
     agencies = table(spark, sf_dir, "agencies").groupBy(clean_key("id").alias("id")).agg(F.max_by(F.struct(F.col("acronym").alias("a"), F.col("name").alias("n")), F.struct("updated_at", F.coalesce("acronym", F.lit("")), F.coalesce("name", F.lit("")))).alias("x"))

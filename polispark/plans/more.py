@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from polispark.functions import civic as C
 from polispark.operators import graph as G
 from polispark.operators.skew import skew_join
-from polispark.plans.civics import nodes, rows, sql
+from polispark.plans.civics import keys, nodes, rows, sql
 from polispark.session import durable, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,7 +124,7 @@ def sunburst_industries(spark, d):
 @query(sql("con", "off") + """SELECT connection_type, to_id, CAST(sum(amount_cents) AS BIGINT) AS cents, max(strength) AS strength FROM con WHERE from_id IN (SELECT id FROM off WHERE state = 'AL') GROUP BY 1, 2""")
 def sunburst_group(spark, d):
     m = rows(spark, d, "off", "state").where("state = 'AL'").select(F.col("id").alias("from_id"))
-    return skew_join(rows(spark, d, "con", "from_id to_id connection_type strength amount_cents"), m, ["from_id"], "left_semi").groupBy("connection_type", "to_id").agg(F.sum("amount_cents").alias("cents"), F.max("strength").alias("strength"))
+    return skew_join(rows(spark, d, "con", "from_id to_id connection_type strength amount_cents"), m, ["from_id"], "left_semi", sketch=keys(spark, d, "con", "from_id")).groupBy("connection_type", "to_id").agg(F.sum("amount_cents").alias("cents"), F.max("strength").alias("strength"))
 
 
 @query(sql("fin") + """, t AS (SELECT official_id, donor_type, count(*) AS n FROM fin WHERE official_id IS NOT NULL AND donor_type IS NOT NULL GROUP BY 1, 2),

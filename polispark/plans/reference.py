@@ -11,7 +11,7 @@ from polispark.functions import civic as C
 from polispark.operators import graph as G
 from polispark.operators import upsert as U
 from polispark.operators.skew import skew_join
-from polispark.plans.civics import nodes, rows, sql
+from polispark.plans.civics import keys, nodes, rows, sql
 from polispark.session import durable, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,7 +35,7 @@ def query(text: str | None = None):
 def _fin_off(spark, d, columns: str) -> DataFrame:
     """Contributions with their official; skew-proof, as one official may hold a large share."""
     off = rows(spark, d, "off", "full_name role_title party state is_active").select(F.col("id").alias("official_id"), "full_name", "party", "role_title", "state", "is_active")
-    return skew_join(rows(spark, d, "fin", f"official_id {columns}"), off, ["official_id"], "inner")
+    return skew_join(rows(spark, d, "fin", f"official_id {columns}"), off, ["official_id"], "inner", sketch=keys(spark, d, "fin", "official_id"))
 
 
 # -- officials and money ---------------------------------------------------------------------------------------------
@@ -159,10 +159,10 @@ def _chord(spark, d):
     """Several entities of one name count the amount once per match, as a join does; donors of no entity are untagged."""
     ent = rows(spark, d, "ent", "name entity_type").select(F.col("name").alias("donor_name"), "entity_type")
     money = _fin_off(spark, d, "donor_name amount_cents").where("amount_cents > 0")
-    tagged = skew_join(money, ent, ["donor_name"], "left")
+    tagged = skew_join(money, ent, ["donor_name"], "left", sketch=keys(spark, d, "fin", "donor_name"))
     chamber = F.when(F.col("role_title").ilike("%representative%"), "House").otherwise("Senate")
-    keys = (F.coalesce("entity_type", F.lit("untagged")).alias("industry"), F.concat_ws("-", F.coalesce("party", F.lit("other")), chamber).alias("party_chamber"))
-    return tagged.groupBy(*keys).agg(F.sum("amount_cents").alias("total_cents"), F.countDistinct("official_id").alias("official_count"), F.countDistinct("donor_name").alias("donor_count"))
+    cell = (F.coalesce("entity_type", F.lit("untagged")).alias("industry"), F.concat_ws("-", F.coalesce("party", F.lit("other")), chamber).alias("party_chamber"))
+    return tagged.groupBy(*cell).agg(F.sum("amount_cents").alias("total_cents"), F.countDistinct("official_id").alias("official_count"), F.countDistinct("donor_name").alias("donor_count"))
 
 
 @query(_CHORD + "SELECT * FROM cell")
@@ -193,7 +193,7 @@ def group_sector_totals(spark, d):
     """A group is a stored predicate: its members are a semi-join, not a list of ids."""
     members = rows(spark, d, "off", "state").where("state = 'AL'").select(F.col("id").alias("official_id"))
     money = rows(spark, d, "fin", "official_id industry amount_cents").where("industry IS NOT NULL AND lower(industry) <> 'other'")
-    got = skew_join(money, members, ["official_id"], "left_semi").groupBy(F.col("industry").alias("sector")).agg(F.sum("amount_cents").alias("cents"))
+    got = skew_join(money, members, ["official_id"], "left_semi", sketch=keys(spark, d, "fin", "official_id")).groupBy(F.col("industry").alias("sector")).agg(F.sum("amount_cents").alias("cents"))
     return got.where("cents >= 100000").orderBy(F.desc("cents"), "sector").limit(12)
 
 
@@ -336,7 +336,7 @@ def path_hops(spark, d):
 @query(sql("con", "off") + "SELECT id, to_id, amount_cents, strength FROM con WHERE from_id IN (SELECT id FROM off WHERE state = 'AL') ORDER BY amount_cents DESC NULLS LAST, strength DESC NULLS LAST, id LIMIT 500")
 def group_connections(spark, d):
     members = rows(spark, d, "off", "state").where("state = 'AL'").select(F.col("id").alias("from_id"))
-    got = skew_join(rows(spark, d, "con", "from_id to_id strength amount_cents"), members, ["from_id"], "left_semi")
+    got = skew_join(rows(spark, d, "con", "from_id to_id strength amount_cents"), members, ["from_id"], "left_semi", sketch=keys(spark, d, "con", "from_id"))
     return got.select("id", "to_id", "amount_cents", "strength").orderBy(F.col("amount_cents").desc_nulls_last(), F.col("strength").desc_nulls_last(), "id").limit(500)
 
 
@@ -346,7 +346,7 @@ def group_connections(spark, d):
 def group_network(spark, d):
     """A virtual group node with its top donors."""
     m = rows(spark, d, "off", "state").where("state = 'AL'").select(F.col("id").alias("official_id"))
-    money = skew_join(rows(spark, d, "fin", "official_id donor_name amount_cents").where("donor_name IS NOT NULL"), m, ["official_id"], "left_semi")
+    money = skew_join(rows(spark, d, "fin", "official_id donor_name amount_cents").where("donor_name IS NOT NULL"), m, ["official_id"], "left_semi", sketch=keys(spark, d, "fin", "official_id"))
     g = money.groupBy("donor_name").agg(F.sum("amount_cents").alias("cents"), F.count("*").alias("n"), F.countDistinct("official_id").alias("members")).orderBy(F.desc("cents"), "donor_name").limit(25)
     size = max(m.count(), 1)
     return g.select("donor_name", "cents", "n", "members", F.round(F.least(C.dollars(F.col("cents")) / 1_000_000.0, F.lit(1.0)), 6).alias("strength"), C.half_up(F.lit(100.0) * F.col("n") / size).alias("pct"))
@@ -376,7 +376,7 @@ def substantive_edges(spark, d):
     """Edges to procedural proposals are left out by an anti-join that only proposals enter."""
     con = rows(spark, d, "con", "to_type to_id")
     dull = rows(spark, d, "pro", "vote_category").where("vote_category = 'procedural'").select(F.col("id").alias("to_id")).distinct()
-    votes = skew_join(con.where("to_type = 'proposal'"), dull, ["to_id"], "left_anti")
+    votes = skew_join(con.where("to_type = 'proposal'"), dull, ["to_id"], "left_anti", sketch=keys(spark, d, "con", "to_id"))
     return con.where("to_type IS NULL OR to_type <> 'proposal'").unionByName(votes.select(*con.columns)).select("id")
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
 _SHIPPED: set[str] = set()
+_CLEANED: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,13 +57,23 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(name)
 
 
+def _clean_later(spark: SparkSession) -> None:
+    """Has the application's folder deleted when its driver ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _CLEANED:
+        _CLEANED.add(app)
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/polispark/{app}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+
+
 def durable(df: DataFrame, name: str = "step") -> DataFrame:
     """Writes `df` once to the shared folder and returns a reader of it.
 
     This cuts the lineage, survives the loss of executors, and keeps column pruning and filter push-down, which a
-    checkpointed RDD would lose. The files stay until the application's folder is cleaned.
+    checkpointed RDD would lose. The files stay until the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/polispark/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _clean_later(spark)
     return spark.read.schema(df.schema).parquet(path)
