@@ -40,11 +40,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the Python workers once per application, so that they need not have it installed."""
+    """Sends this package to the Python workers once per application, so that they need not have it installed.
+
+    Without a shared folder nothing is sent: then the workers must have it.
+    """
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
     _SHIPPED.add(app)
+    try:
+        shared_dir(spark)
+    except RuntimeError:
+        return
     root, data = Path(__file__).resolve().parent, io.BytesIO()
     with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
         for p in sorted(root.rglob("*.py")):
