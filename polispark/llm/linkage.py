@@ -36,8 +36,10 @@ STATES = dict(x.split(":") for x in (
     "WV:west_virginia WI:wisconsin WY:wyoming PR:puerto_rico"
 ).split())
 
-#: Records of a block from which it is split by what else its records share.
+#: Records of a block from which its pairs are dealt to several tasks.
 SPLIT_ROWS = 5_000
+#: Pairs that a task holds before it hands them on.
+OUT_PAIRS = 50_000
 
 FIELDS = ["src", "key", "surname", "given", "middle", "tag", "nick", "state", "district", "level", "party", "year"]
 _RECORD = "src string, key string, surname string, given string, middle string, tag string, nick string, state string, district string, level string, party string, year int"
@@ -133,70 +135,71 @@ class _Row:
         self.year = None if pd.isna(self.year) else int(self.year)
 
 
-def _shared(a, b) -> list[str]:
-    """The parts of a split block in which two records meet, in a fixed order."""
-    x, y = (({"d" + r.district} if r.district else set()) | ({f"y{r.year}"} if r.year is not None else set()) | ({f"m{r.middle}{r.party or ''}"} if r.middle else set()) for r in (a, b))
-    return sorted(x & y)
+def _meetings(recs: list[_Row], sides: list[int], open_: bool) -> Iterator[tuple[_Row, _Row]]:
+    """The pairs of a block: all of it (sides 0), or those of its sides 1 and 2 across. In an open block one of two lacks the state."""
+    if any(sides):
+        x, y = ([r for r, s in zip(recs, sides) if s == side] for side in (1, 2))
+        if not open_:
+            return itertools.product(x, y)
+        lack = [r for r in x if not r.state], [r for r in y if not r.state]
+        return itertools.chain(itertools.product(lack[0], y), itertools.product([r for r in x if r.state], lack[1]))
+    if not open_:
+        return itertools.combinations(recs, 2)
+    lack = [r for r in recs if not r.state]
+    return itertools.chain(itertools.combinations(lack, 2), itertools.product(lack, [r for r in recs if r.state]))
 
 
 def _pairs_of_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by block -> pairs of different sources with their votes; each pair in its first common block only."""
+    """Rows (block, side, record) sorted by block -> pairs of different sources with their votes, OUT_PAIRS at a time; each pair
+    in its first common block only."""
     cols = ["key_a", "key_b", "src_a", "src_b", "votes"]
 
-    def solve(block: str, rows: list[tuple]) -> list[tuple]:
-        out = []
-        base, _, part = block.partition("#")
+    def solve(block: str, rows: list[tuple]) -> Iterator[tuple]:
+        base = block.partition("#")[0]
         near = base.rsplit("|", 1)[0]
-        recs = [_Row(r) for r in rows]
-        for a, b in itertools.combinations(recs, 2):
-            if a.src == b.src or (base.endswith("|") and a.state and b.state):
-                continue
-            if part and next(k for k in _shared(a, b)) != part:
+        for a, b in _meetings([_Row(r[1:]) for r in rows], [r[0] for r in rows], base.endswith("|")):
+            if a.src == b.src:
                 continue
             if min(_keys(a.surname, a.given, a.nick) & _keys(b.surname, b.given, b.nick)) != near:
                 continue
             if a.key > b.key:
                 a, b = b, a
             if a.key != b.key:
-                out.append((a.key, b.key, a.src, b.src, "".join(v(a, b) for v in VOTES.values())))
-        return out
+                yield (a.key, b.key, a.src, b.src, "".join(v(a, b) for v in VOTES.values()))
+
+    def rows() -> Iterator[tuple]:
+        for pdf in batches:
+            yield from pdf.itertuples(index=False, name=None)
 
-    rest_key, rest = None, []
-    for pdf in batches:
-        found = []
-        for row in pdf.itertuples(index=False, name=None):
-            if row[0] != rest_key:
-                if len(rest) > 1:
-                    found += solve(rest_key, rest)
-                rest_key, rest = row[0], []
-            rest.append(row[1:])
-        yield pd.DataFrame(found, columns=cols)
-    if len(rest) > 1:
-        yield pd.DataFrame(solve(rest_key, rest), columns=cols)
+    found = itertools.chain.from_iterable(solve(block, [r[1:] for r in group]) for block, group in itertools.groupby(rows(), key=lambda r: r[0]))
+    while part := list(itertools.islice(found, OUT_PAIRS)):
+        yield pd.DataFrame(part, columns=cols)
 
 
 def candidates(recs: DataFrame) -> DataFrame:
     """Pairs of records of different sources with their votes. A block holds the records of one family name, initial and
     state; the blocks without a state hold all records of names of which some record lacks it.
 
-    Where one block holds more than SPLIT_ROWS records, its records meet only if they also share the district, the year, or the
-    initial and party. A pair that shares none of them would tie with thousands of others there and could never match.
+    A block of more than SPLIT_ROWS records is dealt into sub-blocks of half that size, and every two of them (and each with
+    itself) meet in a task of their own: the same pairs, each once, in parallel.
     """
     keys = F.pandas_udf(lambda s, g, n: pd.Series([sorted(_keys(*x)) for x in zip(s, g, n)]), "array<string>")
     keyed = recs.select(F.explode(keys("surname", "given", "nick")).alias("near"), *FIELDS)
     full = keyed.where(F.col("state").isNotNull()).withColumn("block", F.concat_ws("|", "near", "state"))
     lacking = keyed.where(F.col("state").isNull()).select("near").distinct()
     open_ = keyed.join(lacking, "near", "left_semi").withColumn("block", F.concat("near", F.lit("|")))
-    blocks = full.unionByName(open_).select("block", *FIELDS)
+    blocks = full.unionByName(open_).select("block", F.lit(0).alias("side"), *FIELDS)
     # the names themselves are counted first: where none is frequent, no block is large
     most = recs.groupBy("surname", F.substring("given", 1, 1).alias("i")).agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first().n or 0
     n = blocks.count() if 10 * most > SPLIT_ROWS else 0
     heavy = heavy_keys(blocks, ["block"], max(SPLIT_ROWS / n, 0.001)) if n > SPLIT_ROWS else []
     if heavy:
         names = F.broadcast(recs.sparkSession.createDataFrame(heavy, "block string"))  # at most 2,000
-        mark = lambda letter, c: F.when(c.isNotNull(), F.concat(F.lit(letter), c.cast("string")))
-        parts = F.array_compact(F.array(mark("d", F.nullif("district", F.lit(""))), mark("y", F.col("year")), mark("m", F.when(F.col("middle") != "", F.concat("middle", F.coalesce("party", F.lit("")))))))
-        split = blocks.join(names, "block", "left_semi").select("block", F.explode(parts).alias("_part"), *FIELDS).select(F.concat_ws("#", "block", "_part").alias("block"), *FIELDS)
+        sizes = blocks.join(names, "block", "left_semi").groupBy("block").agg(F.ceil(2 * F.count("*") / SPLIT_ROWS).cast("int").alias("_subs"))
+        own = F.pmod(F.xxhash64("src", "key"), F.col("_subs")).cast("int")
+        dealt = blocks.drop("side").join(F.broadcast(sizes), "block").withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_subs") - 1)))
+        side = F.when(F.col("_own") == F.col("_other"), 0).when(F.col("_own") < F.col("_other"), 1).otherwise(2)
+        split = dealt.select(F.concat_ws("#", "block", F.least("_own", "_other"), F.greatest("_own", "_other")).alias("block"), side.alias("side"), *FIELDS)
         blocks = blocks.join(names, "block", "left_anti").unionByName(split)
     return blocks.repartition("block").sortWithinPartitions("block").mapInPandas(_pairs_of_blocks, "key_a string, key_b string, src_a string, src_b string, votes string")
 

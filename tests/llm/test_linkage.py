@@ -55,6 +55,22 @@ def test_hot_blocks_are_split(spark, monkeypatch):
     assert hot <= split and len(plain ^ split) <= 0.05 * len(plain)
 
 
+def test_split_blocks_keep_every_pair(spark, monkeypatch):
+    """A source without district, party and year, years that differ by one, records without a state: as without a split."""
+    rows = []
+    for i in range(50):
+        rows.append(("a", f"h{i:03d}", "Kofi Farnishrude" if i % 2 else f"Kofi {chr(65 + i % 26)} Farnishrude", "OH", str(i), "fl", "D", 1950 + i))
+        rows.append(("b", f"i{i:03d}", "FARNISHRUDE, KOFI", "OH" if i % 5 else None, None, "fl", None, None))
+        rows.append(("c", f"j{i:03d}", f"FARNISHRUDE, KOFI {chr(65 + i % 26)}", "OH", None, "fl", "R", 1951 + i))
+    df, _ = people(spark, 60)
+    recs = K.records(df.unionByName(spark.createDataFrame(rows, ROW)))
+    plain = sorted(map(tuple, K.candidates(recs).collect()))
+    monkeypatch.setattr(K, "SPLIT_ROWS", 40)
+    monkeypatch.setattr(K, "OUT_PAIRS", 700, raising=False)
+    assert sorted(map(tuple, K.candidates(recs).collect())) == plain
+    assert len({p[:2] for p in plain if p[0][0] in "hij" and p[1][0] in "hij"}) == 3 * 50 * 50
+
+
 def test_generations_and_nulls(spark):
     rows = [
         ("a", "1", "Lars Farnishrude Sr.", "OH", "3", "fl", "D", 2000), ("b", "2", "FARNISHRUDE, LARS JR", "OH", "3", "fl", "D", 2000), ("a", "3", None, "OH", None, None, None, None),
