@@ -25,8 +25,14 @@ from polispark.session import durable
 SPAN = 10
 #: Fixed masks; 0 is an ignored position. Every position is ignored by one of them, so any one substitution is survived.
 MASKS = ("1101110101", "1011011011", "0111101110", "1110110111")
+#: Differing words up to which a window counts as an overlap.
+SLIPS = SPAN // 3
+#: The Steiner system S(3, 4, 10) as ignored positions: any three positions are ignored by one of the masks, so any SLIPS substitutions are survived.
+COVER = tuple("".join("0" if (k - i) % SPAN in base else "1" for k in range(SPAN)) for base in ({0, 1, 3, 4}, {0, 1, 2, 6}, {0, 2, 4, 7}) for i in range(SPAN))
 #: Bits of the filter of evaluation hashes (1 MB, whatever the evaluation side holds).
 FILTER_BITS = 1 << 23
+#: Hashes that a task holds at once, but at least those of one text.
+HELD = 1_000_000
 
 _WORD = re.compile(r"[^\W_]+")
 _MARKUP = re.compile(r"</?[a-zA-Z][^<>]{0,200}>|&#?[0-9a-zA-Z]{1,12};")
@@ -43,17 +49,17 @@ def words(text: str | None) -> list[str]:
 
 #: Odd factors and offsets by which the hash of a window tells positions and masks apart.
 _FACTORS = np.array([2 * (0x9E3779B97F4A7C15 * (k + 1) % (1 << 62)) + 1 for k in range(SPAN)], dtype=np.uint64)
-_OFFSETS = np.array([(m + 1) * 0xC2B2AE3D27D4EB4F % (1 << 64) for m in range(len(MASKS))], dtype=np.uint64)
+_OFFSETS = np.array([(m + 1) * 0xC2B2AE3D27D4EB4F % (1 << 64) for m in range(max(len(MASKS), len(COVER)))], dtype=np.uint64)
 
 
-def _hashes(h: np.ndarray) -> np.ndarray:
+def _hashes(h: np.ndarray, masks: tuple[str, ...] = MASKS) -> np.ndarray:
     """uint64 [masks, windows] of the hashes of at least SPAN words."""
     n = len(h) - SPAN + 1
-    out = np.repeat(_OFFSETS[:, None], n, axis=1)
+    out = np.repeat(_OFFSETS[: len(masks), None], n, axis=1)
     for k in range(SPAN):
         part = h[k : k + n] * _FACTORS[k]
         part ^= part >> np.uint64(29)
-        for m, mask in enumerate(MASKS):
+        for m, mask in enumerate(masks):
             if mask[k] == "1":
                 out[m] += part
     return out
@@ -78,7 +84,7 @@ def _passing(h: np.ndarray, keep: np.ndarray) -> np.ndarray:
 _WINDOWS = "key bigint, pos int, hash bigint, window string"
 
 
-def windows(df: DataFrame, key: str, text: str, keep: np.ndarray | None = None) -> DataFrame:
+def windows(df: DataFrame, key: str, text: str, keep: np.ndarray | None = None, masks: tuple[str, ...] = MASKS) -> DataFrame:
     """key, pos, hash, window (its words) per mask and window; with `keep`, only those that pass the filter.
 
     Texts with fewer than SPAN words, and null or empty ones, have none. Where a text holds markup, its windows
@@ -87,8 +93,24 @@ def windows(df: DataFrame, key: str, text: str, keep: np.ndarray | None = None)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache: dict[str, int] = {}
+
+        def solve(keys: list, flat: list[str], ends: list[int]) -> pd.DataFrame:
+            """The windows of some texts: their keys, the words of all in a row, and where each text ends."""
+            for w in set(flat).difference(cache):
+                cache[w] = xxhash.xxh64_intdigest(w)
+            h = _hashes(np.fromiter(map(cache.__getitem__, flat), dtype=np.uint64, count=len(flat)), masks)
+            own = np.searchsorted(np.array(ends), np.arange(h.shape[1]), side="right")
+            inside = np.arange(h.shape[1]) + SPAN <= np.array(ends)[own]
+            hit = (np.ones(h.shape, dtype=bool) if keep is None else _passing(h, keep)) & inside
+            begin, rows = [0, *ends], []
+            for m, p in zip(*(x.tolist() for x in np.nonzero(hit))):
+                rows.append((keys[own[p]], p - begin[own[p]], int(h[m, p].astype(np.int64)), " ".join(flat[p : p + SPAN])))
+            if len(cache) > 1_000_000:
+                cache.clear()
+            return pd.DataFrame(rows, columns=["key", "pos", "hash", "window"])
+
         for pdf in batches:
-            keys, flat, ends = [], [], []  # the words of all texts in a row, and where each text ends
+            keys, flat, ends = [], [], []
             for k, t in zip(pdf["key"], pdf["text"]):
                 forms = [t]
                 if "<" in t or "&" in t:
@@ -100,20 +122,11 @@ def windows(df: DataFrame, key: str, text: str, keep: np.ndarray | None = None)
                         flat += tokens
                         keys.append(k)
                         ends.append(len(flat))
-            rows: list[tuple] = []
+                if len(flat) * len(masks) >= HELD:
+                    yield solve(keys, flat, ends)
+                    keys, flat, ends = [], [], []
             if flat:
-                for w in set(flat).difference(cache):
-                    cache[w] = xxhash.xxh64_intdigest(w)
-                h = _hashes(np.fromiter(map(cache.__getitem__, flat), dtype=np.uint64, count=len(flat)))
-                own = np.searchsorted(np.array(ends), np.arange(h.shape[1]), side="right")
-                inside = np.arange(h.shape[1]) + SPAN <= np.array(ends)[own]
-                hit = (np.ones(h.shape, dtype=bool) if keep is None else _passing(h, keep)) & inside
-                begin = [0, *ends]
-                for m, p in zip(*(x.tolist() for x in np.nonzero(hit))):
-                    rows.append((keys[own[p]], p - begin[own[p]], int(h[m, p].astype(np.int64)), " ".join(flat[p : p + SPAN])))
-                if len(cache) > 1_000_000:
-                    cache.clear()
-            yield pd.DataFrame(rows, columns=["key", "pos", "hash", "window"])
+                yield solve(keys, flat, ends)
 
     return df.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.col("text").isNotNull()).mapInPandas(run, _WINDOWS)
 
@@ -138,19 +151,21 @@ def _filter(tests: DataFrame) -> np.ndarray:
     return out
 
 
-def hits(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text") -> DataFrame:
+def hits(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text", masks: tuple[str, ...] = MASKS) -> DataFrame:
     """doc_key, item_key, pos (of the window in the document), item_pos, slips: every window that meets an item's.
 
+    With MASKS, all windows of at most one differing word are met, and some of up to SLIPS; with COVER, all of up to SLIPS.
+
     Each (document, item, pos, item_pos) comes once, however many masks met. Empty tables give an empty result.
     """
-    tests = durable(windows(items, item_key, text), "tests")
-    found = durable(windows(docs, doc_key, text, _filter(tests)), "windows")
+    tests = durable(windows(items, item_key, text, masks=masks), "tests")
+    found = durable(windows(docs, doc_key, text, _filter(tests), masks), "windows")
     right = tests.select(F.col("hash"), F.col("key").alias(item_key), F.col("pos").alias("item_pos"), F.col("window").alias("item_window"))
     met = skew_join(found.withColumnRenamed("key", doc_key), right, ["hash"], "inner")
     a, b = F.split("window", " "), F.split("item_window", " ")
     slips = F.size(F.filter(F.zip_with(a, b, lambda x, y: x != y), lambda x: x))
     met = met.select(doc_key, item_key, "pos", "item_pos", slips.alias("slips"))
-    return met.where(F.col("slips") <= SPAN // 3).groupBy(doc_key, item_key, "pos", "item_pos").agg(F.min("slips").alias("slips"))
+    return met.where(F.col("slips") <= SLIPS).groupBy(doc_key, item_key, "pos", "item_pos").agg(F.min("slips").alias("slips"))
 
 
 def leaked(met: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id") -> DataFrame:

@@ -1,3 +1,8 @@
+import itertools
+
+import numpy as np
+from pyspark.sql import functions as F
+
 from polispark.llm import leakage as L
 from polispark.llm import queries as Q
 
@@ -34,6 +39,32 @@ def test_every_single_substitution_is_met():
         assert any(mask[at] == "0" for mask in L.MASKS)
 
 
+def test_every_placement_of_three_substitutions_is_met(spark):
+    item = [f"w{i}" for i in range(L.SPAN)]
+    at = list(itertools.combinations(range(L.SPAN), 3))
+    rows = [(n, " ".join("other" if i in gone else w for i, w in enumerate(item))) for n, gone in enumerate(at)]
+    rows.append((len(at), " ".join(w if i > 3 else "other" for i, w in enumerate(item))))  # four are too many
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    met = L.hits(docs, spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string"), masks=L.COVER).collect()
+    assert sorted((r.doc_id, r.slips) for r in met) == [(n, 3) for n in range(len(at))]
+
+
+def test_overlaps_equal_brute_force(spark, sf):
+    """n_windows and slips of some documents, compared window by window."""
+    forms = lambda t: dict.fromkeys((t, L._MARKUP.sub(" ", t)))
+    grams = lambda t: {(i, tuple(w[i : i + L.SPAN])) for f in forms(t) for w in [L.words(f)] for i in range(len(w) - L.SPAN + 1)}
+    items = [(r.item_id, np.array([w for _, w in grams(r.text)]), [i for i, _ in grams(r.text)]) for r in spark.read.parquet(f"{sf}/eval_items.parquet").collect() if len(L.words(r.text)) >= L.SPAN]
+    want = {}
+    some = spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").where("text IS NOT NULL").limit(12).collect()
+    for d in some:
+        for i, words, at in items:
+            found = [(pos, q, n) for pos, w in grams(d.text) for q, n in zip(at, (words != np.array(w)).sum(axis=1).tolist()) if n <= L.SPAN // 3]
+            if found:
+                want[d.doc_id, i] = (len({f[:2] for f in found}), min(f[2] for f in found))
+    got = Q.p9_overlaps(spark, sf).where(F.col("doc_id").isin([d.doc_id for d in some])).collect()
+    assert {(r.doc_id, r.item_id): (r.n_windows, r.slips) for r in got} == want and want
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string")
     items = spark.createDataFrame([], "item_id bigint, text string")
