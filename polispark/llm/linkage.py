@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from polispark.llm import names as N
-from polispark.llm.variants import LEXICON, _given_slot, slips_of
-from polispark.operators.skew import heavy_keys
+from polispark.llm.variants import _given_slot, slips_of, with_known
+from polispark.operators.skew import heavy_keys, skew_join
 from polispark.session import durable
 
 #: Confidence from which a pair is a match.
@@ -54,19 +54,21 @@ def records(rows: DataFrame) -> DataFrame:
         for pdf in batches:
             yield pd.DataFrame({"word": [w for w in map(_given_slot, pdf["name"]) if w]})
 
-    top = rows.select("name").mapInPandas(slot, "word string").groupBy("word").agg(F.count("*").alias("n")).where("n >= 3").orderBy(F.desc("n"), "word").limit(LEXICON)
-    given = frozenset(r.word for r in top.collect())
+    top = rows.select("name").mapInPandas(slot, "word string").groupBy("word").agg(F.count("*").alias("n")).where("n >= 3")
+    lex = top.select("word", F.lit(True).alias("given"), F.lit(False).alias("trade"))
+    known = durable(with_known(rows.select("name", F.lit(False).alias("is_org")).distinct(), lex).select("name", F.col("given").alias("_known")), "known")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for src, key, name, state, district, level, party, year in pdf.itertuples(index=False, name=None):
-                x = N.person(name, given)
+            for src, key, name, state, district, level, party, year, known in pdf.itertuples(index=False, name=None):
+                x = N.person(name, frozenset(() if known is None else known))
                 if x.kind != "none" and x.surname:
                     out.append((src, key, x.surname, x.core, x.middle, x.tag, x.nick, state, district, level, party, None if pd.isna(year) else int(year)))
             yield pd.DataFrame(out, columns=FIELDS).astype({"year": "Int64"})
 
-    return rows.select("src", "key", "name", "state", "district", "level", "party", "year").mapInPandas(run, _RECORD)
+    rows = skew_join(rows.select("src", "key", "name", "state", "district", "level", "party", "year"), known, ["name"], "left")
+    return rows.select("src", "key", "name", "state", "district", "level", "party", "year", "_known").mapInPandas(run, _RECORD)
 
 
 def _given_forms(r) -> set[str]:

@@ -19,12 +19,13 @@ from pyspark.sql import functions as F
 
 from polispark.llm import names as N
 from polispark.operators.hierarchy import resolve_roots
+from polispark.operators.skew import skew_join
 from polispark.session import durable
 
 #: Log-likelihoods of the channel, and the log-prior of a unit being an entity of its own.
 SLIP, NICKNAME, ABBREVIATION, OWN = math.log(0.03), math.log(0.15), math.log(0.2), -6.0
-#: Tokens of the learned lexicons of given names and trades (a model of bounded size, from counts over all strings).
-LEXICON, LEXICON_LEAST = 50_000, 2
+#: Strings from which a word belongs to the learned lexicons of given names and trades.
+LEXICON_LEAST = 2
 
 
 def _given_slot(raw: str) -> str:
@@ -37,8 +38,9 @@ def _given_slot(raw: str) -> str:
     return parts[0][0] if shape == [True, False, True] else parts[0][1] if shape == [True, True, False] else ""
 
 
-def lexicon(strings: DataFrame) -> tuple[frozenset[str], frozenset[str]]:
-    """Given names (from the forms that show their place) and trades (the last word of an organisation) of strings (name, is_org)."""
+def lexicon(strings: DataFrame) -> DataFrame:
+    """word, given, trade: given names (from the forms that show their place) and trades (the last word of an organisation) of
+    strings (name, is_org)."""
 
     def slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -50,21 +52,54 @@ def lexicon(strings: DataFrame) -> tuple[frozenset[str], frozenset[str]]:
                     rows.append((bool(org), w))
             yield pd.DataFrame(rows, columns=["is_org", "word"])
 
-    top = strings.mapInPandas(slots, "is_org boolean, word string").groupBy("is_org", "word").agg(F.count("*").alias("n")).where(F.col("n") >= LEXICON_LEAST)
-    rows = top.orderBy(F.desc("n"), "word", "is_org").limit(LEXICON).collect()
-    return frozenset(r.word for r in rows if not r.is_org), frozenset(r.word for r in rows if r.is_org)
+    found = strings.mapInPandas(slots, "is_org boolean, word string").groupBy("is_org", "word").agg(F.count("*").alias("n")).where(F.col("n") >= LEXICON_LEAST)
+    return found.groupBy("word").agg(F.max(~F.col("is_org")).alias("given"), F.max("is_org").alias("trade"))
+
+
+class _Asked(set):
+    """Stands for a lexicon and keeps the words that are looked up in it."""
+
+    def __contains__(self, word) -> bool:
+        self.add(word)
+        return False
+
+
+def _asked(name: str, org: bool | None) -> list[str]:
+    """The words by whose place in the lexicons a name is parsed. A parse that finds a word asks for no others than one that finds none."""
+    words = _Asked()
+    if org is None:
+        words.add(N.organisation(name, words).core)
+    elif org:
+        N.organisation(name, words)
+    if not org:
+        N.person(name, words)
+    return sorted(words - {""})
+
+
+def with_known(names: DataFrame, lex: DataFrame) -> DataFrame:
+    """names (name, is_org; distinct) joined with lex (word, given, trade): name, given and trades, its words that are in the
+    lexicons; names without any are left out."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame([(n, w) for n, o in zip(pdf["name"], pdf["is_org"]) for w in _asked(n, None if pd.isna(o) else bool(o))], columns=["name", "word"])
+
+    words = durable(names.select("name", "is_org").mapInPandas(run, "name string, word string"), "words")
+    met = skew_join(words, durable(lex, "lexicon"), ["word"], "inner")
+    pick = lambda c: F.collect_set(F.when(F.col(c), F.col("word"))).alias(c)
+    return met.groupBy("name").agg(pick("given"), pick("trade").alias("trades"))  # few words a name
 
 
 def parse(strings: DataFrame) -> DataFrame:
     """strings (name, n, is_org or null; distinct) -> name, n, kind, surname, core, middle, tag; those that name nobody left out."""
-    given, trades = lexicon(strings)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for name, n, org in zip(pdf["name"], pdf["n"], pdf["is_org"]):
+            for name, n, org, given, trades in zip(pdf["name"], pdf["n"], pdf["is_org"], pdf["given"], pdf["trades"]):
                 if N.nobody(name):
                     continue
+                given, trades = (frozenset(() if x is None else x) for x in (given, trades))
                 if pd.isna(org):
                     org = N.looks_legal(name) or N.organisation(name, trades).core in trades - given
                 x = N.organisation(name, trades) if org else N.person(name, given)
@@ -72,7 +107,8 @@ def parse(strings: DataFrame) -> DataFrame:
                     rows.append((name, n, x.kind, x.surname, x.core, x.middle, x.tag))
             yield pd.DataFrame(rows, columns=["name", "n", "kind", "surname", "core", "middle", "tag"])
 
-    return strings.select("name", "n", "is_org").mapInPandas(run, "name string, n bigint, kind string, surname string, core string, middle string, tag string")
+    known = with_known(strings, lexicon(strings))
+    return strings.select("name", "n", "is_org").join(known, "name", "left").mapInPandas(run, "name string, n bigint, kind string, surname string, core string, middle string, tag string")
 
 
 def _blocks(kind: str, surname: str, core: str, tag: str) -> list[str]:

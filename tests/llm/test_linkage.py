@@ -81,6 +81,13 @@ def test_generations_and_nulls(spark):
     assert not {"1", "2", "3", "4", "5"} & {k for r in got for k in (r.key_a, r.key_b)}
 
 
+def test_no_given_name_is_cut_from_the_lexicon(spark, monkeypatch):
+    monkeypatch.setattr(K, "LEXICON", 1, raising=False)
+    names = [f"{s}, {g}" for s in ("Anders", "Bolton", "Carver") for g in ("Ulva", "Kwabena")] + ["Dalton, Ulva", "Yarooque Kwabena"]
+    df = spark.createDataFrame([("a", str(i), n, "OH", None, None, None, None) for i, n in enumerate(names)], ROW)
+    assert {r.key: (r.surname, r.given) for r in K.records(df).collect()}[str(len(names) - 1)] == ("yarooque", "kwabena")
+
+
 def test_empty(spark):
     assert K.link(K.records(spark.createDataFrame([], ROW))).count() == 0
 

@@ -26,6 +26,16 @@ def test_groups(spark):
     assert {(r.name_a, r.name_b) for r in got.collect()} == want
 
 
+def test_no_word_is_cut_from_the_lexicon(spark, monkeypatch):
+    """Given names and trades far down the list of frequent words still tell how a string is parsed."""
+    monkeypatch.setattr(V, "LEXICON", 2, raising=False)
+    rows = [(f"{s}, {g}", False) for s in ("Anders", "Bolton", "Carver", "Dalton") for g in ("Ulva", "Orla")] + [("Emmet, Kwabena", False), ("Fisher, Kwabena", False), ("Yarooque Kwabena", False)]
+    rows += [("Emmet Gravel Pits", True), ("Fisher Gravelpits", True), ("Harlan Gravelpits", True), ("Yarooque Gravelpits", None)]
+    got = {r.name: (r.kind, r.surname, r.core) for r in V.parse(strings(spark, rows)).collect()}
+    assert got["Yarooque Kwabena"] == ("person", "yarooque", "kwabena")
+    assert got["Emmet Gravel Pits"] == ("org", "emmet", "gravelpits") and got["Yarooque Gravelpits"] == ("org", "yarooque", "gravelpits")
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "name string, n bigint, is_org boolean")
     assert V.cluster(none).count() == 0 and V.pairs(V.cluster(none)).count() == 0
