@@ -2,7 +2,7 @@
 
 Every distinct string is parsed to a *unit*: family name, given name or trade, generation or committee. A unit's type
 frequency is the number of distinct strings that spell it so. Units that share a family name up to one slip and a given name
-up to nicknames (a trade up to abbreviations) are candidates for each other; the prior of a canonical unit is its type
+up to nicknames, one slip or its initial (a trade up to abbreviations) are candidates for each other; the prior of a canonical unit is its type
 frequency, the channel gives the likelihood of a slip, a nickname or an abbreviation, and a unit is attached to the
 candidate of maximum posterior, or stays canonical itself. Attachments only lead to higher ranks, so they form a
 forest, whose roots are the entities. Middle initials then part namesakes.
@@ -24,6 +24,8 @@ from polispark.session import durable
 
 #: Log-likelihoods of the channel, and the log-prior of a unit being an entity of its own.
 SLIP, NICKNAME, ABBREVIATION, OWN = math.log(0.03), math.log(0.15), math.log(0.2), -6.0
+#: Share of another given name's family names up to which a given name may be a slip of it; one family name always may.
+RARE = math.exp(SLIP)
 #: Strings from which a word belongs to the learned lexicons of given names and trades.
 LEXICON_LEAST = 2
 
@@ -112,18 +114,24 @@ def parse(strings: DataFrame) -> DataFrame:
 
 
 def _blocks(kind: str, surname: str, core: str, tag: str) -> list[str]:
-    """Keys under which a unit meets its candidates: a slip of the family name, and what the rest may stand for."""
-    forms = {f[:1] for f in [core]} if kind == "org" else N.formal(core)
-    ends = slips_of(surname)
-    return [f"{kind}|{tag}|{s}|{f}" for s in ends for f in forms]
+    """Keys under which a unit meets its candidates: a slip of the family name, and what the rest may stand for.
+
+    Persons also meet by the given name's initial and, under one family name, by its slips, which may change the initial.
+    """
+    forms = {f[:1] for f in [core]} if kind == "org" else N.formal(core) | {f"~{core[:1]}"}
+    keys = [f"{kind}|{tag}|{s}|{f}" for s in slips_of(surname) for f in forms]
+    return keys + ([f"{kind}|{tag}|={surname}|{f}" for f in N.slips(core)] if kind == "person" and len(core) >= 4 else [])
 
 
 def slips_of(surname: str) -> set[str]:
     return N.slips(surname) if len(surname) >= 5 else {surname}
 
 
-def channel(kind: str, v: tuple[str, str], c: tuple[str, str], types: int) -> float | None:
-    """Log-likelihood that (family name, core) c was typed as v in all of `types` strings; None if it can't have been."""
+def channel(kind: str, v: tuple[str, str], c: tuple[str, str], types: int, rare: bool = True) -> float | None:
+    """Log-likelihood that (family name, core) c was typed as v in all of `types` strings; None if it can't have been.
+
+    A given name is a slip of another only if it is rare beside it: Maria is no slip of Mario.
+    """
     score = 0.0
     if v[0] != c[0]:
         if min(len(v[0]), len(c[0])) < 5 or not N.one_slip(v[0], c[0]):
@@ -131,9 +139,14 @@ def channel(kind: str, v: tuple[str, str], c: tuple[str, str], types: int) -> fl
         score += SLIP * (1 + 0.5 * (types - 1))
     if v[1] != c[1]:
         if kind == "person":
-            if not (N.formal(v[1]) & N.formal(c[1])):
+            if N.formal(v[1]) & N.formal(c[1]):
+                score += NICKNAME if c[1] in N.formal(v[1]) or v[1] in N.formal(c[1]) else 2 * NICKNAME
+            elif len(v[1]) == 1 and v[1] == c[1][:1]:
+                score += ABBREVIATION
+            elif rare and v[1] not in N.NICKNAMES and v[1] not in N._FORMAL and min(len(v[1]), len(c[1])) >= 4 and N.one_slip(v[1], c[1]):
+                score += SLIP * (1 + 0.5 * (types - 1))
+            else:
                 return None
-            score += NICKNAME if c[1] in N.formal(v[1]) or v[1] in N.formal(c[1]) else 2 * NICKNAME
         elif N.abbreviates(v[1], c[1]) or N.abbreviates(c[1], v[1]) or (min(len(v[1]), len(c[1])) == 1 and v[1][:1] == c[1][:1]):
             score += ABBREVIATION
         elif min(len(v[1]), len(c[1])) >= 4 and N.one_slip(v[1], c[1]):
@@ -149,11 +162,15 @@ def _attach(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     def solve(block: list[tuple]) -> list[tuple]:
         out = []
-        for _, vid, kind, s, c, t, n in block:
+        for _, vid, kind, s, c, t, n, bearers in block:
             best, top = None, math.log(t) + OWN
-            for _, cid, _, s2, c2, t2, n2 in block:
+            if kind == "person" and len(c) == 1:  # an initial that may stand for several given names is left alone
+                meant = sorted(((t2, n2, c2, b2) for _, _, _, s2, c2, t2, n2, b2 in block if s2 == s and len(c2) > 1 and c2[:1] == c), reverse=True)
+                if any(channel(kind, (s, m[2]), (s, meant[0][2]), m[0], m[3] <= max(1, RARE * meant[0][3])) is None for m in meant):
+                    continue
+            for _, cid, _, s2, c2, t2, n2, bearers2 in block:
                 if (t2, n2, cid) > (t, n, vid):
-                    like = channel(kind, (s, c), (s2, c2), t)
+                    like = channel(kind, (s, c), (s2, c2), t, bearers <= max(1, RARE * bearers2))
                     if like is not None and (math.log(t2) + like, t2, n2, cid) > (top, 0, 0, ""):
                         best, top = cid, math.log(t2) + like
             if best is not None:
@@ -190,7 +207,9 @@ def cluster(strings: DataFrame) -> DataFrame:
     parsed = durable(parse(strings.where(F.col("name").isNotNull())).withColumn("id", F.concat_ws("|", "kind", "tag", "surname", "core")), "parsed")
     units = durable(parsed.groupBy("id", "kind", "tag", "surname", "core").agg(F.count("*").alias("t"), F.sum("n").alias("n")), "units")
     keys = F.pandas_udf(lambda k, s, c, t: pd.Series([_blocks(*x) for x in zip(k, s, c, t)]), "array<string>")
-    keyed = units.select(F.explode(keys("kind", "surname", "core", "tag")).alias("block"), "id", "kind", "surname", "core", "t", "n")
+    cores = durable(units.groupBy("kind", "core").agg(F.count_distinct("surname").alias("bearers")), "cores")
+    units_ = skew_join(units, cores, ["kind", "core"], "inner")
+    keyed = units_.select(F.explode(keys("kind", "surname", "core", "tag")).alias("block"), "id", "kind", "surname", "core", "t", "n", "bearers")
     pairs = keyed.repartition("block").sortWithinPartitions("block").mapInPandas(_attach, "id string, parent string, score double")
     best = pairs.groupBy("id").agg(F.max_by("parent", F.struct("score", "parent")).alias("parent"))
     roots = resolve_roots(durable(units.select("id").join(best, "id", "left"), "attached"))

@@ -26,6 +26,17 @@ def test_groups(spark):
     assert {(r.name_a, r.name_b) for r in got.collect()} == want
 
 
+def test_given_names_with_slips_and_initials(spark):
+    """A slip of the given name (its first letter too) and an initial are attached; names of their own and unclear initials are not."""
+    rows = [(x, False) for x in (
+        "Yarooque, Kwabena", "Kwabena Yarooque", "YAROOQUE, KWABENA", "Yarooque, Kwabnea", "Yarooque, Wkabena", "Yarooque, K.",
+        "Ambrose, Maria", "AMBROSE, MARIA", "Maria Ambrose", "Ambrose, Mario", "Tolliver, Mario", "Ambrose, M",
+    )]
+    got = {(r.name_a, r.name_b) for r in V.pairs(V.cluster(strings(spark, rows))).collect()}
+    names = [n for n, _ in rows]
+    assert got == {tuple(sorted(p)) for g in (names[:6], names[6:9]) for p in itertools.combinations(g, 2)}
+
+
 def test_no_word_is_cut_from_the_lexicon(spark, monkeypatch):
     """Given names and trades far down the list of frequent words still tell how a string is parsed."""
     monkeypatch.setattr(V, "LEXICON", 2, raising=False)
