@@ -101,9 +101,9 @@ def _solve(nodes: DataFrame, rows: int, level: int, loops: list[DataFrame]) -> D
 
 def _nodes(edges: DataFrame, paths: bool) -> DataFrame:
     """Nodes with their parents; a parent that is no node counts as none."""
-    known = edges.select(F.col("id").alias("parent"))
-    live = skew_join(edges.where(F.col("parent").isNotNull()), known, ["parent"], "left_semi").select("id", "parent")
-    nodes = live.unionByName(edges.select("id").join(live.select("id"), "id", "left_anti").withColumn("parent", F.lit(None).cast("string")))
+    edges = durable(edges, "edges")
+    known = edges.select(F.col("id").alias("parent"), F.lit(True).alias("_known"))
+    nodes = skew_join(edges, known, ["parent"], "left").select("id", F.when(F.col("_known"), F.col("parent")).alias("parent"))
     return nodes.select("id", "parent", F.when(F.col("parent").isNull(), F.col("id")).alias("root_id"), F.lit(False).alias("looped"), F.lit(1).alias("hops"), F.col("id").alias("seg_min"), (F.array("id") if paths else F.array().cast("array<string>")).alias("seg"))
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-import itertools
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from polispark.functions.keys import clean_key
 from polispark.operators.hierarchy import current_agencies
 from polispark.operators.skew import skew_join
-from polispark.session import table
+from polispark.session import durable, table
 
 #: The table that each end type names.
 TARGET_TABLES = {"official": "officials", "agency": "agencies", "proposal": "proposals", "financial_entity": "financial_entities", "governing_body": "governing_bodies"}
@@ -28,21 +27,20 @@ def reference_status(refs: DataFrame, targets: DataFrame, key: list[str], at: st
     """
     if match not in ("simple", "partial", "full"):
         raise ValueError(match)
+    bits = functools.reduce(lambda a, b: a + b, [F.when(F.col(c).isNull(), 1 << i).otherwise(0) for i, c in enumerate(key)])
+    found = sorted(r.mask for r in refs.select(bits.alias("mask")).distinct().collect())  # at most 2 ** columns
     parts = []
-    for mask in itertools.product([False, True], repeat=len(key)):
-        part = refs.where(functools.reduce(lambda a, b: a & b, [F.col(c).isNull() == m for c, m in zip(key, mask)]))
-        live = [c for c, m in zip(key, mask) if not m]
-        if not live or (any(mask) and match == "simple"):
+    for mask in found or [0]:
+        part = refs.where(bits == mask)
+        live = [c for i, c in enumerate(key) if not mask >> i & 1]
+        if not live or (mask and match == "simple"):
             parts.append(part.withColumn("status", F.lit("ok")))
-        elif any(mask) and match == "full":
+        elif mask and match == "full":
             parts.append(part.withColumn("status", F.lit("missing")))
         else:
             dim = targets.dropna(subset=live).groupBy(*live).agg(F.min("created_at").alias("_born")).withColumn("_there", F.lit(True))
             status = F.when(F.col("_there").isNull(), "missing").when(F.col("_born") > F.col(at), "late").otherwise("ok")
-            if any(mask):  # rare by declaration: such keys lack a part
-                joined = part.join(dim, live, "left")
-            else:
-                joined = skew_join(part, dim, live, "left")
+            joined = skew_join(part, dim, live, "left")
             parts.append(joined.withColumn("status", status).drop("_there", "_born").select(*refs.columns, "status"))
     return functools.reduce(DataFrame.unionByName, parts)
 
@@ -72,6 +70,9 @@ def source_references(spark, sf_dir: str) -> DataFrame:
 
 
 def broken_references(spark, sf_dir: str) -> DataFrame:
-    """Every reference whose target is missing or late, with its status and the month of its created_at."""
-    found = reference_status(source_references(spark, sf_dir), target_keys(spark, sf_dir), ["ref_type", "key"], "created_at")
+    """Every reference whose target is missing or late, with its status and the month of its created_at.
+
+    The cleaned references are written once, as they are read for their masks, their heavy keys and each join.
+    """
+    found = reference_status(durable(source_references(spark, sf_dir), "references"), target_keys(spark, sf_dir), ["ref_type", "key"], "created_at")
     return found.where(F.col("status") != "ok").withColumn("month", F.date_format("created_at", "yyyy-MM"))

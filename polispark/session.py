@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import io
+import re
 import shutil
 import tempfile
 import uuid
@@ -32,7 +33,7 @@ def shared_dir(spark: SparkSession) -> str:
         return base.rstrip("/")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         _OWN[app] = tempfile.mkdtemp(prefix="polispark-")
         atexit.register(shutil.rmtree, _OWN[app], ignore_errors=True)
