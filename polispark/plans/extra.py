@@ -11,7 +11,7 @@ from polispark.functions import civic as C
 from polispark.operators import graph as G
 from polispark.operators.skew import skew_join
 from polispark.plans.civics import rows, sql
-from polispark.session import durable, table
+from polispark.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -57,7 +57,7 @@ _HOT = "(SELECT from_id FROM con WHERE connection_type LIKE 'vote%' GROUP BY 1 O
   SELECT id FROM (SELECT id FROM v ORDER BY occurred_at DESC NULLS LAST, id LIMIT 40) UNION ALL SELECT id FROM (SELECT id FROM own WHERE connection_type NOT LIKE 'vote%' ORDER BY coalesce(nullif(strength, 0), 0.5) DESC, id LIMIT 200)""")
 def profile_ego(spark, d):
     """A profile's graph: one edge per proposal, the latest, and the strongest other edges."""
-    con = durable(rows(spark, d, "con", "from_id to_id connection_type strength occurred_at"), "con")
+    con = rows(spark, d, "con", "from_id to_id connection_type strength occurred_at")
     vote = F.col("connection_type").startswith("vote")
     top = con.where(vote).groupBy("from_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "from_id").limit(1).collect()
     own = con.where(F.col("from_id") == (top[0].from_id if top else ""))

@@ -12,7 +12,7 @@ from polispark.functions import civic as C
 from polispark.operators import graph as G
 from polispark.operators.skew import skew_join
 from polispark.plans.civics import keys, nodes, rows, sql
-from polispark.session import durable, table
+from polispark.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -152,7 +152,7 @@ def top_donors(spark, d):
 @query(sql("nod") + """SELECT 'key' AS way, type, id, label FROM nod WHERE id = (SELECT min(id) FROM nod) UNION ALL SELECT 'name', type, id, label FROM nod WHERE lower(label) = (SELECT min(lower(label)) FROM nod WHERE type = 'official')""")
 def entity_resolve(spark, d):
     """An entity by its key, and by its name whatever the case."""
-    n = durable(nodes(spark, d), "nodes")
+    n = nodes(spark, d)
     least = n.agg(F.min("id").alias("k"), F.min(F.when(F.col("type") == "official", F.lower("label"))).alias("l")).first()
     cols = ["type", "id", "label"]
     return n.where(F.col("id") == F.lit(least.k)).select(F.lit("key").alias("way"), *cols).unionByName(n.where(F.lower("label") == F.lit(least.l)).select(F.lit("name").alias("way"), *cols))

@@ -277,7 +277,7 @@ def degree(spark, d):
 def top_connected(spark, d):
     """The ten best connected nodes and all their edges."""
     con = rows(spark, d, "con", "from_id to_id connection_type")
-    return G.touching(con, G.top_connected(con, 10)).select("id")
+    return G.at_any(con, [r.node for r in G.top_connected(con, 10).collect()]).select("id")
 
 
 _MID = "(SELECT node FROM deg WHERE degree >= 5 AND degree < 50 AND has_votes = 1 ORDER BY degree DESC, node LIMIT 1)"
@@ -296,7 +296,7 @@ _EGO1 = _DEG + f""", own AS (SELECT * FROM con WHERE from_id = {_MID} OR to_id =
 
 @query(_EGO1 + "SELECT id FROM e1")
 def ego_depth1(spark, d):
-    con = durable(rows(spark, d, "con", "from_id to_id connection_type occurred_at"), "con")
+    con = rows(spark, d, "con", "from_id to_id connection_type occurred_at")
     return G.ego_one(con, _middle(con), 20).select("id")
 
 
@@ -308,13 +308,13 @@ _EGO2 = _EGO1 + f""", nb AS (SELECT DISTINCT n FROM (SELECT from_id AS n FROM e1
 @query(_EGO2 + "SELECT id FROM e1 UNION SELECT id FROM con WHERE from_id IN (SELECT n FROM ex) OR to_id IN (SELECT n FROM ex)")
 def ego_depth2(spark, d):
     """Hubs among the neighbours are not expanded; nobody expands a node before its degree is known."""
-    con = durable(rows(spark, d, "con", "from_id to_id connection_type occurred_at"), "con")
+    con = rows(spark, d, "con", "from_id to_id connection_type occurred_at")
     return G.ego_two(con, _middle(con), 20)[0].select("id")
 
 
 @query(_EGO2 + "SELECT n AS node, degree, degree >= 50 AS collapsed FROM nb JOIN deg ON node = n")
 def ego_neighbours(spark, d):
-    con = durable(rows(spark, d, "con", "from_id to_id connection_type occurred_at"), "con")
+    con = rows(spark, d, "con", "from_id to_id connection_type occurred_at")
     return G.ego_two(con, _middle(con), 20)[1]
 
 
@@ -326,7 +326,7 @@ _FAR = "(SELECT node FROM deg WHERE has_donations = 1 AND node <> " + _MID + " O
   SELECT CAST(min(hop) AS INTEGER) AS hops FROM bfs WHERE node = {_FAR} HAVING min(hop) IS NOT NULL""")
 def path_hops(spark, d):
     """Length of a shortest path between two entities."""
-    con = durable(rows(spark, d, "con", "from_id to_id connection_type"), "con")
+    con = rows(spark, d, "con", "from_id to_id connection_type")
     start = _middle(con)
     goal = G.degree(con).where("has_donations = 1").where(F.col("node") != start).orderBy("degree", "node").limit(1).collect()
     path = G.shortest_path(con, start, goal[0].node if goal else "", 4)
@@ -578,7 +578,9 @@ def entity_search(spark, d):
 def ranked_search(spark, d):
     """Tiers of relevance, then degree; only what matched is joined with the degrees."""
     hit = _scored(spark, d).where(F.col("label").ilike(f"%{_Q}%"))
-    got = hit.join(G.degree(rows(spark, d, "con", "from_id to_id connection_type")).select(F.col("node").alias("id"), "degree"), "id", "left")
+    hit = durable(hit, "hits")
+    near = G.touching(rows(spark, d, "con", "from_id to_id connection_type"), hit.select(F.col("id").alias("node")))
+    got = hit.join(G.degree(near).select(F.col("node").alias("id"), "degree"), "id", "left")
     low = F.lower("label")
     tier = F.when(low == _Q, 0).when(low.startswith(_Q), 1).when(F.col("degree") > 0, 2).otherwise(3)
     return got.select("type", "id", "label", F.coalesce("degree", F.lit(0)).alias("degree"), tier.alias("tier")).orderBy("tier", F.desc("degree"), "label", "id").limit(50)

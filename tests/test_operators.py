@@ -50,6 +50,16 @@ def test_paths(spark):
     assert G.shortest_path(df.limit(0), "a", "b").count() == 0
 
 
+def test_long_lists_are_joined(spark, monkeypatch):
+    rows, df = graph(spark)
+    some = spark.createDataFrame([("hub",), ("n1",), (None,), ("n1",)], "node string")
+    few, rest = G.touching(df, some).count(), G.without(df, some).count()
+    path = G.shortest_path(df, "n1", "n7").collect()
+    assert few + rest == len(rows)
+    monkeypatch.setattr(G, "LISTED", 0)
+    assert (G.touching(df, some).count(), G.without(df, some).count()) == (few, rest) and G.shortest_path(df, "n1", "n7").collect() == path
+
+
 def test_ego_collapses_hubs(spark):
     rows, df = graph(spark)
     edges, near = G.ego_two(df, "n1", 2)
