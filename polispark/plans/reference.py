@@ -654,8 +654,7 @@ def stream_daily(spark, d):
     """The event files as a stream: daily windows, drained once."""
     from polispark.streaming import events as S
 
-    stream = S.read_events(spark, d, "events.parquet")
-    return S.run_complete(S.windowed(stream), "daily").withColumn("value", F.round("value", 4))
+    return S.drained(spark, f"{d}/events.parquet", S.windowed, "daily").withColumn("value", F.round("value", 4))
 
 
 @query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events),
@@ -664,8 +663,7 @@ def stream_daily(spark, d):
 def stream_sessions(spark, d):
     from polispark.streaming import events as S
 
-    stream = S.read_events(spark, d, "events.parquet")
-    return S.run_complete(S.sessions(stream, "6 hours"), "sessions").select("user_id", "start", "n")
+    return S.drained(spark, f"{d}/events.parquet", lambda stream: S.sessions(stream, "6 hours"), "sessions").select("user_id", "start", "n")
 
 
 _LAST = "upper(regexp_replace({}, '[^A-Za-z]', '', 'g'))".format

@@ -168,11 +168,47 @@ def test_streams(spark, tmp_path):
     src, root = tmp_path / "in", str(tmp_path / "out")
     rows = [(1, dt.datetime(2024, 1, 1, 10), 7, "view", 1.0, None), (2, dt.datetime(2024, 1, 1, 10, 20), 7, "view", 2.0, None), (3, dt.datetime(2024, 1, 2, 9), 7, "click", 3.0, None)]
     spark.createDataFrame(rows, S.EVENTS).coalesce(1).write.mode("append").parquet(str(src))
-    first = S.incremental_upsert(S.read_events(spark, str(src)), root, ["event_id"], f"{tmp_path}/cp")
-    assert spark.read.parquet(first).count() == 3
-    spark.createDataFrame([(3, dt.datetime(2024, 1, 2, 9), 8, "click", 9.0, None), (4, dt.datetime(2024, 1, 3), 8, "view", 1.0, None)], S.EVENTS).coalesce(1).write.mode("append").parquet(str(src))
-    second = S.incremental_upsert(S.read_events(spark, str(src)), root, ["event_id"], f"{tmp_path}/cp")
-    assert {r.event_id: r.value for r in spark.read.parquet(second).collect()} == {1: 1.0, 2: 2.0, 3: 9.0, 4: 1.0}
-    assert S.incremental_upsert(S.read_events(spark, str(src)), root, ["event_id"], f"{tmp_path}/cp") is None
-    limited = S.run_complete(S.over_limit(S.read_events(spark, str(src)), 1, "1 hour"), "limited")
-    assert [(r.user_id, r.n) for r in limited.collect()] == [(7, 2)]
+    take = lambda: S.incremental_upsert(S.read_events(spark, str(src)), root, ["event_id"], f"{tmp_path}/cp", "ts")
+    assert take() == 1 and S.upserted(spark, root, S.EVENTS).count() == 3
+    spark.createDataFrame([(3, dt.datetime(2024, 1, 2, 9), 8, "click", 9.0, None), (3, dt.datetime(2024, 1, 2, 8), 8, "click", 99.0, None), (4, dt.datetime(2024, 1, 3), 8, "view", 1.0, None)], S.EVENTS).coalesce(1).write.mode("append").parquet(str(src))
+    assert take() == 2
+    assert {r.event_id: r.value for r in S.upserted(spark, root, S.EVENTS).collect()} == {1: 1.0, 2: 2.0, 3: 9.0, 4: 1.0}
+    assert take() is None
+    again = S.incremental_upsert(S.read_events(spark, str(src)), root, ["event_id"], f"{tmp_path}/cp2", "ts")  # a new checkpoint counts its batches anew
+    assert again == 3 and S.upserted(spark, root, S.EVENTS).count() == 4
+    limited = S.drained(spark, str(src), lambda x: S.over_limit(x, 1, "1 hour"), "limited")
+    assert sorted((r.user_id, r.n) for r in limited.collect()) == [(7, 2)]
+
+
+def test_streams_read_files_and_folders(spark, sf, tmp_path):
+    from polispark.streaming import events as S
+
+    folder = str(tmp_path / "events.parquet")
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    events.repartition(3).write.parquet(folder)
+    want = sorted(map(str, events.groupBy("user_id").count().collect()))
+    for path in (f"{sf}/events.parquet", folder):
+        got = S.drained(spark, path, lambda x: S.sessions(x, "6 hours"), "s")
+        assert sorted(map(str, got.groupBy("user_id").agg(F.sum("n").alias("count")).collect())) == want
+    assert S.drained(spark, folder, lambda x: S.windowed(x.where("event_id < 0")), "none").count() == 0
+
+
+def test_json_is_merged(spark):
+    old = spark.createDataFrame([("a", '{"x": 1, "y": {"z": [1, 2]}}'), ("b", None), ("c", "broken{"), ("d", '{"k": "v"}')], "id string, j string")
+    new = spark.createDataFrame([("a", '{"x": 2, "w": null}'), ("b", '{"q": "r"}'), ("c", "{}")], "id string, p string")
+    got = {r.id: r.j for r in U.merge_json(old, "j", new, ["id"], "p").collect()}
+    import json
+
+    assert json.loads(got["a"]) == {"x": 2, "w": None, "y": {"z": [1, 2]}} and json.loads(got["b"]) == {"q": "r"} and json.loads(got["c"]) == {} and got["d"] == '{"k": "v"}'
+
+
+def test_last_write_and_pages(spark):
+    old = spark.createDataFrame([("a", 1)], "k string, v int")
+    new = spark.createDataFrame([("a", 9, 1), ("a", 2, 2)], "k string, v int, seq int")
+    assert [(r.k, r.v) for r in U.upsert(old, new, ["k"], order="seq").collect()] == [("a", 2)]
+    df = spark.range(25)
+    seen, after = [], None
+    while got := [r.id for r in U.keyset_page(df, "id", after, 10).collect()]:
+        seen, after = seen + got, got[-1]
+    assert seen == list(range(25))
+    assert [r.id for r in U.changed_page(df.selectExpr("id", "-id AS at"), "at", -5, 0, 3).collect()] == [4, 3, 2]
