@@ -36,19 +36,21 @@ def key_hash(cols: list[str]) -> Column:
     return F.when(functools.reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols]), F.xxhash64(*cols))
 
 
-def heavy_share(df: DataFrame, n: int) -> float:
-    """The share of n rows from which a key is heavy: half a shuffle partition, or TASK_ROWS, whichever is less."""
+def heavy_share(df: DataFrame, n: int, most: int | None = None) -> float:
+    """The share of n rows from which a key is heavy: half a shuffle partition, or TASK_ROWS, whichever is less; or `most` rows."""
+    if most is not None:
+        return min(1.0, max(LEAST_SHARE, most / max(n, 1)))
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return min(MOST_SHARE, max(LEAST_SHARE, min(0.5 / max(parts, 1), TASK_ROWS / max(n, 1))))
 
 
-def heavy_hashes(df: DataFrame, cols: list[str], share: float | None = None, tracked: int = TRACKED) -> list[Heavy]:
-    """Hashes of the keys that a sketch estimates at `share` of the rows or more, with their rows; at most 2 / share of them."""
+def heavy_hashes(df: DataFrame, cols: list[str], share: float | None = None, tracked: int = TRACKED, most: int | None = None) -> list[Heavy]:
+    """Hashes of the keys that a sketch estimates at `share` of the rows (or `most` rows) or more, with their rows; at most 2 / share of them."""
     k = math.ceil(2 / (share or LEAST_SHARE))
     got = df.select(key_hash(cols).alias("h")).where("h IS NOT NULL").agg(F.count("*").alias("n"), F.expr(f"approx_top_k(h, {k}, {max(tracked, k)})").alias("top")).first()
     if not got or not got.n:
         return []
-    least = 0.9 * (share or heavy_share(df, got.n)) * got.n
+    least = 0.9 * (share or heavy_share(df, got.n, most)) * got.n
     return [Heavy(x["item"], x["count"]) for x in got.top or [] if x["count"] >= least]
 
 
@@ -70,7 +72,7 @@ def _like(right: DataFrame, left: DataFrame, on: list[str]) -> DataFrame:
     return right.withColumns({c: F.col(c).cast(a[c]) for c in on if a[c] != b[c]})
 
 
-def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left", share: float | None = None, sketch: DataFrame | None = None, many: bool = False) -> DataFrame:
+def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left", share: float | None = None, sketch: DataFrame | None = None, many: bool = False, most: int | None = None) -> DataFrame:
     """`left` joined with `right` on `on`, balanced whatever the distribution of the keys.
 
     `sketch` may give a cheaper table with about left's distribution of keys (the scan that left starts from), so that heavy
@@ -85,8 +87,8 @@ def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left
     right = _like(right, left, on)
     if how in ("left_semi", "left_anti"):
         right = right.select(*on).distinct()
-    heavy = heavy_hashes(left if sketch is None else sketch, on, share)
-    wide = heavy_hashes(right, on, share) if many and how in ("inner", "left") else []
+    heavy = heavy_hashes(left if sketch is None else sketch, on, share, most=most)
+    wide = heavy_hashes(right, on, share, most=most) if many and how in ("inner", "left") else []
     wide = [x for x in wide if x.hash not in {y.hash for y in heavy}]
     parts = [left.where(~_is([*heavy, *wide], on)).join(right.where(~_is([*heavy, *wide], on)), on, how)] if heavy or wide else [left.join(right, on, how)]
     if heavy:
