@@ -1,7 +1,7 @@
 """Records of one person in several sources, linked by a label model.
 
-Records that share a family name up to one slip, an initial and a state (or lack the state) are candidates. On each pair,
-labelling functions compare single attributes and vote match (+), no match (-) or abstain (0). Nothing is labelled: a
+Records that say the same are one profile. Profiles that share a family name up to one slip, an initial and a state (or lack the
+state) are candidates. On each pair, labelling functions compare single attributes and vote match (+), no match (-) or abstain (0). Nothing is labelled: a
 generative model explains the votes by a hidden class and learns, per class, how each function votes and on which other
 function its vote depends (a maximum spanning tree of their conditional mutual information, learnt anew in every
 iteration of expectation maximisation). Its posterior is the confidence. Vote patterns are few, whatever the pairs; only
@@ -10,18 +10,17 @@ their counts reach the driver.
 
 from __future__ import annotations
 
-import functools
 import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from polispark.llm import names as N
-from polispark.llm.variants import _given_slot, slips_of, with_known
-from polispark.operators.skew import heavy_keys, skew_join
+from polispark.llm.variants import _given_slot, with_known
+from polispark.operators.skew import skew_join
 from polispark.session import durable
 
 #: Confidence from which a pair is a match.
@@ -36,18 +35,16 @@ STATES = dict(x.split(":") for x in (
     "WV:west_virginia WI:wisconsin WY:wyoming PR:puerto_rico"
 ).split())
 
-#: Records of a block from which its pairs are dealt to several tasks.
+#: Profiles of a block from which its pairs are spread over several tasks.
 SPLIT_ROWS = 5_000
-#: Pairs that a task holds before it hands them on.
-OUT_PAIRS = 50_000
 
-FIELDS = ["src", "key", "surname", "given", "middle", "tag", "nick", "state", "district", "level", "party", "year"]
-_RECORD = "src string, key string, surname string, given string, middle string, tag string, nick string, state string, district string, level string, party string, year int"
+ATTRIBUTES = ["surname", "given", "middle", "tag", "nick", "state", "district", "level", "party", "year"]
+_RECORD = "src string, key string, surname string, given string, middle string, tag string, nick string, state string, district string, level string, party string, year int, forms array<string>"
 
 
 def records(rows: DataFrame) -> DataFrame:
-    """rows (src, key, name, state, district, level, party, year) with the name parsed; rows without a name or key are left
-    out, repeated rows are merged. Null attributes stay null."""
+    """rows (src, key, name, state, district, level, party, year) with the name parsed, and `forms`, the given names that it may
+    stand for; rows without a name or key are left out, repeated rows are merged. Null attributes stay null."""
     rows = rows.where(F.col("name").isNotNull() & F.col("key").isNotNull()).distinct()
 
     def slot(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -64,153 +61,114 @@ def records(rows: DataFrame) -> DataFrame:
             for src, key, name, state, district, level, party, year, known in pdf.itertuples(index=False, name=None):
                 x = N.person(name, frozenset(() if known is None else known))
                 if x.kind != "none" and x.surname:
-                    out.append((src, key, x.surname, x.core, x.middle, x.tag, x.nick, state, district, level, party, None if pd.isna(year) else int(year)))
-            yield pd.DataFrame(out, columns=FIELDS).astype({"year": "Int64"})
+                    forms = sorted(N.formal(x.core) | (N.formal(x.nick) if x.nick else set()))
+                    out.append((src, key, x.surname, x.core, x.middle, x.tag, x.nick, state, district, level, party, None if pd.isna(year) else int(year), forms))
+            yield pd.DataFrame(out, columns=["src", "key", *ATTRIBUTES, "forms"]).astype({"year": "Int64"})
 
     rows = skew_join(rows.select("src", "key", "name", "state", "district", "level", "party", "year"), known, ["name"], "left")
     return rows.select("src", "key", "name", "state", "district", "level", "party", "year", "_known").mapInPandas(run, _RECORD)
 
 
-def _given_forms(r) -> set[str]:
-    return N.formal(r.given) | (N.formal(r.nick) if r.nick else set())
+def _signature() -> Column:
+    return F.md5(F.to_json(F.struct("src", *ATTRIBUTES)))
 
 
-@functools.lru_cache(maxsize=50_000)
-def _keys(surname: str, given: str, nick: str) -> frozenset[str]:
-    forms = N.formal(given) | (N.formal(nick) if nick else set())
-    return frozenset(f"{s}|{i}" for s in slips_of(surname) for i in {f[:1] for f in forms})
+def profiles(recs: DataFrame) -> DataFrame:
+    """pid, sig, src, ATTRIBUTES, forms, n: what one or more (n) records of a source say. Records that say the same are compared once."""
+    got = recs.groupBy(_signature().alias("sig"), "src", *ATTRIBUTES, "forms").agg(F.count_distinct("key").alias("n"))
+    return durable(got.withColumn("pid", F.monotonically_increasing_id()), "profiles")  # written, so the numbers stay
 
 
-def vote_surname(a, b) -> str:
-    return "+" if a.surname == b.surname else "-"
+def _near() -> Column:
+    """Hashes of the family name, and of what is left of it without one letter, with each initial of the given names."""
+    name, n = F.col("surname"), F.length("surname")
+    less = F.when(n >= 5, F.sequence(F.lit(0), n)).otherwise(F.array(F.lit(0)))  # 0 leaves no letter out
+    cut = lambda i: F.when(i == 0, name).otherwise(F.concat(F.substring(name, F.lit(1), i - 1), F.substring(name, i + 1, n)))
+    initials = F.array_distinct(F.transform("forms", lambda f: F.substring(f, 1, 1)))
+    return F.array_distinct(F.flatten(F.transform(initials, lambda x: F.transform(less, lambda i: F.xxhash64(cut(i), x)))))
 
 
-def vote_given(a, b) -> str:
-    if min(len(a.given), len(b.given)) > 1:
-        x, y = _given_forms(a), _given_forms(b)
-        return "+" if x & y else "-"
-    x, y = {f[:1] for f in _given_forms(a)}, {f[:1] for f in _given_forms(b)}
-    return "0" if x & y else "-"
+def candidate_pairs(prof: DataFrame) -> DataFrame:
+    """pid_a, pid_b of profiles of different sources (src_a < src_b) that share a family name up to one slip and an initial, and
+    the state, or one of which lacks the state. Each pair once.
 
-
-def vote_middle(a, b) -> str:
-    return "0" if not a.middle or not b.middle else "+" if a.middle == b.middle else "-"
-
-
-def vote_generation(a, b) -> str:
-    return "0" if not a.tag and not b.tag else "+" if a.tag == b.tag else "-"
-
-
-def _equal(field: str):
-    def vote(a, b) -> str:
-        x, y = getattr(a, field), getattr(b, field)
-        return "0" if not x or not y else "+" if x == y else "-"
-
-    return vote
-
-
-def vote_office(a, b) -> str:
-    """Levels are two letters: where (f, s or o for others) and chamber (l, u or ?)."""
-    if not a.level or not b.level:
-        return "0"
-    if a.level[0] != b.level[0]:
-        return "-"
-    return "0" if "?" in (a.level[1], b.level[1]) or a.level[1] != b.level[1] else "+"
-
-
-def vote_year(a, b) -> str:
-    return "0" if a.year is None or b.year is None else "+" if abs(a.year - b.year) <= 2 else "-"
-
-
-VOTES = {
-    "surname": vote_surname, "given": vote_given, "middle": vote_middle, "generation": vote_generation, "state": _equal("state"),
-    "district": _equal("district"), "office": vote_office, "party": _equal("party"), "year": vote_year,
-}
-
-
-class _Row:
-    __slots__ = FIELDS
-
-    def __init__(self, values):
-        for f, v in zip(FIELDS, values):
-            setattr(self, f, v)
-        self.year = None if pd.isna(self.year) else int(self.year)
-
-
-def _meetings(recs: list[_Row], sides: list[int], open_: bool) -> Iterator[tuple[_Row, _Row]]:
-    """The pairs of a block: all of it (sides 0), or those of its sides 1 and 2 across. In an open block one of two lacks the state."""
-    if any(sides):
-        x, y = ([r for r, s in zip(recs, sides) if s == side] for side in (1, 2))
-        if not open_:
-            return itertools.product(x, y)
-        lack = [r for r in x if not r.state], [r for r in y if not r.state]
-        return itertools.chain(itertools.product(lack[0], y), itertools.product([r for r in x if r.state], lack[1]))
-    if not open_:
-        return itertools.combinations(recs, 2)
-    lack = [r for r in recs if not r.state]
-    return itertools.chain(itertools.combinations(lack, 2), itertools.product(lack, [r for r in recs if r.state]))
-
-
-def _pairs_of_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows (block, side, record) sorted by block -> pairs of different sources with their votes, OUT_PAIRS at a time; each pair
-    in its first common block only."""
-    cols = ["key_a", "key_b", "src_a", "src_b", "votes"]
-
-    def solve(block: str, rows: list[tuple]) -> Iterator[tuple]:
-        base = block.partition("#")[0]
-        near = base.rsplit("|", 1)[0]
-        for a, b in _meetings([_Row(r[1:]) for r in rows], [r[0] for r in rows], base.endswith("|")):
-            if a.src == b.src:
-                continue
-            if min(_keys(a.surname, a.given, a.nick) & _keys(b.surname, b.given, b.nick)) != near:
-                continue
-            if a.key > b.key:
-                a, b = b, a
-            if a.key != b.key:
-                yield (a.key, b.key, a.src, b.src, "".join(v(a, b) for v in VOTES.values()))
-
-    def rows() -> Iterator[tuple]:
-        for pdf in batches:
-            yield from pdf.itertuples(index=False, name=None)
-
-    found = itertools.chain.from_iterable(solve(block, [r[1:] for r in group]) for block, group in itertools.groupby(rows(), key=lambda r: r[0]))
-    while part := list(itertools.islice(found, OUT_PAIRS)):
-        yield pd.DataFrame(part, columns=cols)
+    Pairs come from joins on the hashed name, with the state where both have it; blocks of more than SPLIT_ROWS are salted. Only
+    numbers travel.
+    """
+    keyed = durable(prof.select("pid", "src", "state", F.explode(_near()).alias("near")), "keyed")
+    named = lambda df, end, *cols: df.select(*cols, F.col("pid").alias(f"pid_{end}"), F.col("src").alias(f"src_{end}"))
+    full, lack = keyed.where("state IS NOT NULL"), keyed.where("state IS NULL")
+    same = skew_join(named(full, "a", "near", "state"), named(full, "b", "near", "state"), ["near", "state"], "inner", most=SPLIT_ROWS)
+    open_ = skew_join(named(keyed, "a", "near"), named(lack, "b", "near"), ["near"], "inner", most=SPLIT_ROWS)
+    back = open_.select(F.col("pid_b").alias("pid_a"), F.col("src_b").alias("src_a"), F.col("pid_a").alias("pid_b"), F.col("src_a").alias("src_b"))
+    cols = ["pid_a", "src_a", "pid_b", "src_b"]
+    return same.select(cols).unionByName(open_.select(cols)).unionByName(back).where("src_a < src_b").select("pid_a", "pid_b").distinct()
+
+
+def _sign(plus: Column, known: Column) -> Column:
+    return F.when(~known, "0").when(plus, "+").otherwise("-")
+
+
+def _votes() -> dict[str, Column]:
+    """What each function says of the profiles a and b: + match, - no match, 0 abstains; of generations 1: only one has any."""
+    a, b = (lambda f, e=e: F.col(f"{e}.{f}") for e in "ab")
+    blank = lambda c: F.coalesce(c, F.lit("")) == ""
+    equal = lambda f: _sign(a(f) == b(f), ~blank(a(f)) & ~blank(b(f)))
+    initials = lambda c: F.transform(c("forms"), lambda f: F.substring(f, 1, 1))
+    written = F.least(F.length(a("given")), F.length(b("given"))) > 1
+    where, chamber = (lambda c: F.substring(c("level"), 1, 1)), (lambda c: F.substring(c("level"), 2, 1))  # level: where (f, s or o for others) and chamber (l, u or ?)
+    office = F.when(blank(a("level")) | blank(b("level")), "0").when(where(a) != where(b), "-").when((chamber(a) == "?") | (chamber(b) == "?") | (chamber(a) != chamber(b)), "0").otherwise("+")
+    return {
+        "surname": F.when(a("surname") == b("surname"), "+").otherwise("-"),
+        "given": F.when(written, F.when(F.arrays_overlap(a("forms"), b("forms")), "+").otherwise("-")).when(F.arrays_overlap(initials(a), initials(b)), "0").otherwise("-"),
+        "middle": equal("middle"),
+        "generation": F.when(blank(a("tag")) & blank(b("tag")), "0").when(blank(a("tag")) | blank(b("tag")), "1").when(a("tag") == b("tag"), "+").otherwise("-"),
+        "state": equal("state"), "district": equal("district"), "office": office, "party": equal("party"),
+        "year": _sign(F.abs(a("year") - b("year")) <= 2, a("year").isNotNull() & b("year").isNotNull()),
+    }
+
+
+#: The functions, in the order of their signs.
+VOTES = ("surname", "given", "middle", "generation", "state", "district", "office", "party", "year")
+
+
+def voted(prof: DataFrame) -> DataFrame:
+    """candidate_pairs with src_a, src_b, n_a, n_b and votes, the signs of all functions in a row."""
+    pairs = durable(candidate_pairs(prof), "candidates")
+    cols = F.struct("src", "n", *ATTRIBUTES, "forms")
+    for end in "ab":
+        pairs = skew_join(pairs, prof.select(F.col("pid").alias(f"pid_{end}"), cols.alias(end)), [f"pid_{end}"], "inner", sketch=pairs if end == "a" else pairs.select("pid_b"))
+    signs = _votes()
+    return pairs.select("pid_a", "pid_b", F.col("a.src").alias("src_a"), F.col("b.src").alias("src_b"), F.col("a.n").alias("n_a"), F.col("b.n").alias("n_b"), F.concat(*[signs[v] for v in VOTES]).alias("votes"))
+
+
+def members(recs: DataFrame, prof: DataFrame) -> DataFrame:
+    """pid, key of all records."""
+    return skew_join(recs.select(_signature().alias("sig"), "key").distinct(), prof.select("sig", "pid"), ["sig"], "inner").select("pid", "key")
+
+
+def expanded(pairs: DataFrame, recs: DataFrame, prof: DataFrame) -> DataFrame:
+    """Pairs of profiles as pairs of records: key_a < key_b, src_a, src_b and the other columns."""
+    at = durable(members(recs, prof), "members")
+    for end in "ab":
+        pairs = skew_join(at.select(F.col("pid").alias(f"pid_{end}"), F.col("key").alias(f"key_{end}")), pairs, [f"pid_{end}"], "inner", many=True)
+    turn = F.col("key_a") > F.col("key_b")
+    pick = lambda x, y: F.when(turn, F.col(y)).otherwise(F.col(x))
+    rest = [c for c in pairs.columns if c not in ("pid_a", "pid_b", "key_a", "key_b", "src_a", "src_b", "n_a", "n_b")]
+    return pairs.where("key_a <> key_b").select(pick("key_a", "key_b").alias("key_a"), pick("key_b", "key_a").alias("key_b"), pick("src_a", "src_b").alias("src_a"), pick("src_b", "src_a").alias("src_b"), *rest)
 
 
 def candidates(recs: DataFrame) -> DataFrame:
-    """Pairs of records of different sources with their votes. A block holds the records of one family name, initial and
-    state; the blocks without a state hold all records of names of which some record lacks it.
-
-    A block of more than SPLIT_ROWS records is dealt into sub-blocks of half that size, and every two of them (and each with
-    itself) meet in a task of their own: the same pairs, each once, in parallel.
-    """
-    keys = F.pandas_udf(lambda s, g, n: pd.Series([sorted(_keys(*x)) for x in zip(s, g, n)]), "array<string>")
-    keyed = recs.select(F.explode(keys("surname", "given", "nick")).alias("near"), *FIELDS)
-    full = keyed.where(F.col("state").isNotNull()).withColumn("block", F.concat_ws("|", "near", "state"))
-    lacking = keyed.where(F.col("state").isNull()).select("near").distinct()
-    open_ = keyed.join(lacking, "near", "left_semi").withColumn("block", F.concat("near", F.lit("|")))
-    blocks = full.unionByName(open_).select("block", F.lit(0).alias("side"), *FIELDS)
-    # the names themselves are counted first: where none is frequent, no block is large
-    most = recs.groupBy("surname", F.substring("given", 1, 1).alias("i")).agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first().n or 0
-    n = blocks.count() if 10 * most > SPLIT_ROWS else 0
-    heavy = heavy_keys(blocks, ["block"], max(SPLIT_ROWS / n, 0.001)) if n > SPLIT_ROWS else []
-    if heavy:
-        names = F.broadcast(recs.sparkSession.createDataFrame(heavy, "block string"))  # at most 2,000
-        sizes = blocks.join(names, "block", "left_semi").groupBy("block").agg(F.ceil(2 * F.count("*") / SPLIT_ROWS).cast("int").alias("_subs"))
-        own = F.pmod(F.xxhash64("src", "key"), F.col("_subs")).cast("int")
-        dealt = blocks.drop("side").join(F.broadcast(sizes), "block").withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_subs") - 1)))
-        side = F.when(F.col("_own") == F.col("_other"), 0).when(F.col("_own") < F.col("_other"), 1).otherwise(2)
-        split = dealt.select(F.concat_ws("#", "block", F.least("_own", "_other"), F.greatest("_own", "_other")).alias("block"), side.alias("side"), *FIELDS)
-        blocks = blocks.join(names, "block", "left_anti").unionByName(split)
-    return blocks.repartition("block").sortWithinPartitions("block").mapInPandas(_pairs_of_blocks, "key_a string, key_b string, src_a string, src_b string, votes string")
+    """All candidate pairs of records with their votes: key_a < key_b, src_a, src_b, votes. link() never writes them out."""
+    prof = profiles(recs)
+    return expanded(voted(prof), recs, prof).distinct()
 
 
 class LabelModel:
     """Two classes; each class has a tree of functions, in which a vote depends on its parent's vote."""
 
     def __init__(self, patterns: list[str], counts: list[int]):
-        self.x = np.array([["-0+".index(c) for c in p] for p in patterns], dtype=np.int64).reshape(len(patterns), len(VOTES))
+        self.x = np.array([["-0+1".index(c) for c in p] for p in patterns], dtype=np.int64).reshape(len(patterns), len(VOTES))
         self.n = np.array(counts, dtype=float)
 
     def _tree(self, w: np.ndarray) -> list[tuple[int, int | None]]:
@@ -219,9 +177,9 @@ class LabelModel:
         total = w.sum() + 1e-9
         info = np.zeros((m, m))
         for i, j in itertools.combinations(range(m), 2):
-            joint = np.zeros((3, 3))
+            joint = np.zeros((4, 4))
             np.add.at(joint, (self.x[:, i], self.x[:, j]), w)
-            p = (joint + 0.1) / (total + 0.9)
+            p = (joint + 0.1) / (total + 1.6)
             info[i, j] = info[j, i] = float((p * np.log(p / (p.sum(1, keepdims=True) * p.sum(0, keepdims=True)))).sum())
         order, seen = [(0, None)], {0}
         while len(seen) < m:
@@ -235,10 +193,10 @@ class LabelModel:
         out = np.zeros(len(self.x))
         for j, i in self._tree(w):
             if i is None:
-                c = np.bincount(self.x[:, j], w, 3) + 1.0
+                c = np.bincount(self.x[:, j], w, 4) + 1.0
                 out += np.log(c / c.sum())[self.x[:, j]]
             else:
-                c = np.full((3, 3), 0.0)
+                c = np.zeros((4, 4))
                 np.add.at(c, (self.x[:, i], self.x[:, j]), w)
                 marginal = c.sum(0) + 1.0
                 c += 3.0 * marginal / marginal.sum()  # a rare parent's vote falls back on the function's own
@@ -246,10 +204,11 @@ class LabelModel:
         return out
 
     def posterior(self) -> np.ndarray:
-        """Of the match, per pattern. The first guess is the balance of votes; any generation that differs is no match."""
+        """Of the match, per pattern. The first guess is the balance of votes. Two different generations are two persons, by the
+        statement of the problem; what it means that only one record has any is learnt."""
         if not len(self.x):
             return np.zeros(0)
-        balance = (self.x - 1).sum(1)
+        balance = np.array([-1.0, 0.0, 1.0, 0.0])[self.x].sum(1)
         post = 1 / (1 + np.exp(-1.5 * (balance - 1.5)))
         barred = self.x[:, list(VOTES).index("generation")] == 0
         post[barred] = 0.0
@@ -265,32 +224,42 @@ def link(recs: DataFrame, many: tuple[str, ...] = ()) -> DataFrame:
     """records() -> key_a < key_b, src_a, src_b, confidence of all pairs of different sources that match.
 
     A record matches at most its best partners in each other source (all of those that tie share the confidence), except in
-    the sources `many`, where one person may have several records. Records that match the same third one match each other,
-    unless their states, initials or generations differ.
+    the sources `many`, where one person may have several records. Records that are linked through one or two others match each other,
+    unless their states, initials or generations differ. Of a key with several different rows each counts as a record.
     Empty tables give an empty result.
+
+    Profiles are compared, not records; the best are chosen by the numbers of records that the profiles stand for; what is
+    chosen is few per record, and only that becomes pairs of records.
     """
-    found = durable(candidates(recs), "pairs")
-    counts = found.groupBy("votes").agg(F.count("*").alias("n")).collect()  # at most 3 ** len(VOTES) patterns
+    prof = profiles(recs)
+    found = durable(voted(prof), "pairs")
+    counts = found.groupBy("votes").agg(F.sum(F.col("n_a") * F.col("n_b")).alias("n")).collect()  # at most 4 ** len(VOTES) patterns
     patterns = sorted((r.votes, r.n) for r in counts)
     post = LabelModel([p for p, _ in patterns], [n for _, n in patterns]).posterior()
     spark = recs.sparkSession
-    scores = spark.createDataFrame([(p, float(x)) for (p, _), x in zip(patterns, post)], "votes string, confidence double")
+    scores = spark.createDataFrame([(p, round(float(x), 9)) for (p, _), x in zip(patterns, post)], "votes string, confidence double")
     scored = durable(found.join(F.broadcast(scores), "votes").where(F.col("confidence") >= MATCH), "scored")
 
-    a = scored.select(F.col("key_a").alias("of"), F.col("src_a").alias("of_src"), F.col("src_b").alias("to_src"), "confidence")
-    b = scored.select(F.col("key_b").alias("of"), F.col("src_b").alias("of_src"), F.col("src_a").alias("to_src"), "confidence")
-    ends = a.unionByName(b).groupBy("of", "of_src", "to_src").agg(F.max("confidence").alias("top"), F.collect_list("confidence").alias("all"))
-    ends = ends.select("of", "of_src", "to_src", "top", F.size(F.filter("all", lambda c: c >= F.col("top") - 1e-9)).alias("ties"))
-    left = ends.select(F.col("of").alias("key_a"), F.col("of_src").alias("src_a"), F.col("to_src").alias("src_b"), F.col("top").alias("top_a"), F.col("ties").alias("ties_a"))
-    right = ends.select(F.col("of").alias("key_b"), F.col("of_src").alias("src_b"), F.col("to_src").alias("src_a"), F.col("top").alias("top_b"), F.col("ties").alias("ties_b"))
-    both = scored.join(left, ["key_a", "src_a", "src_b"]).join(right, ["key_b", "src_b", "src_a"])
+    def best(own: str, other: str) -> DataFrame:
+        """The highest confidence of a profile in another source, and the records that reach it."""
+        per = scored.groupBy(f"pid_{own}", f"src_{other}", "confidence").agg(F.sum(f"n_{other}").alias("n"))
+        top = per.groupBy(f"pid_{own}", f"src_{other}").agg(F.max(F.struct("confidence", "n")).alias("top"))
+        return top.select(f"pid_{own}", f"src_{other}", F.col("top.confidence").alias(f"top_{own}"), F.col("top.n").alias(f"ties_{own}"))
+
+    both = scored.join(best("a", "b"), ["pid_a", "src_b"]).join(best("b", "a"), ["pid_b", "src_a"])
     loose = lambda c: F.col(c).isin(list(many)) if many else F.lit(False)
-    best_a = loose("src_b") | (F.col("confidence") >= F.col("top_a") - 1e-9)
-    best_b = loose("src_a") | (F.col("confidence") >= F.col("top_b") - 1e-9)
+    chosen = (loose("src_b") | (F.col("confidence") >= F.col("top_a"))) & (loose("src_a") | (F.col("confidence") >= F.col("top_b")))
     ties = F.greatest(F.when(loose("src_b"), 1).otherwise(F.col("ties_a")), F.when(loose("src_a"), 1).otherwise(F.col("ties_b")))
-    kept = both.where(best_a & best_b).select("key_a", "key_b", "src_a", "src_b", (F.col("confidence") / ties).alias("confidence"))
-    kept = durable(kept.where(F.col("confidence") >= MATCH), "kept")
+    kept = both.where(chosen).select("pid_a", "pid_b", "src_a", "src_b", (F.col("confidence") / ties).alias("confidence")).where(F.col("confidence") >= MATCH)
+    kept = durable(expanded(kept, recs, prof), "kept")
+    facts = durable(recs.select("key", "src", "state", "middle", "tag"), "facts")
+    for _ in range(2):
+        kept = durable(kept.unionByName(_through(kept, facts)).groupBy("key_a", "key_b", "src_a", "src_b").agg(F.max("confidence").alias("confidence")), "closed")
+    return kept
+
 
+def _through(kept: DataFrame, recs: DataFrame) -> DataFrame:
+    """Pairs of two partners of one record, from different sources, that do not contradict each other."""
     x = kept.select(F.col("key_a").alias("k"), F.col("key_b").alias("o"), F.col("src_b").alias("s"), "confidence")
     x = x.unionByName(kept.select(F.col("key_b").alias("k"), F.col("key_a").alias("o"), F.col("src_a").alias("s"), "confidence"))
     p, q = x.select("k", F.col("o").alias("key_a"), F.col("s").alias("src_a"), F.col("confidence").alias("c1")), x.select("k", F.col("o").alias("key_b"), F.col("s").alias("src_b"), F.col("confidence").alias("c2"))
@@ -299,5 +268,4 @@ def link(recs: DataFrame, many: tuple[str, ...] = ()) -> DataFrame:
     third = third.join(facts("a"), ["key_a", "src_a"]).join(facts("b"), ["key_b", "src_b"])
     clash = lambda f: F.coalesce((F.col(f"f_a.{f}") != F.col(f"f_b.{f}")) & (F.col(f"f_a.{f}") != "") & (F.col(f"f_b.{f}") != ""), F.lit(False))
     third = third.where(~clash("state") & ~clash("middle") & ~clash("tag"))
-    third = third.select("key_a", "key_b", "src_a", "src_b", (F.col("c1") * F.col("c2")).alias("confidence"))
-    return kept.unionByName(third).groupBy("key_a", "key_b", "src_a", "src_b").agg(F.max("confidence").alias("confidence"))
+    return third.select("key_a", "key_b", "src_a", "src_b", (F.col("c1") * F.col("c2")).alias("confidence"))

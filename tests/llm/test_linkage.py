@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from polispark.llm import linkage as K
 
@@ -109,3 +110,35 @@ def test_label_model_learns_who_is_right():
     pick = lambda **kw: "".join(kw.get(n, "0") for n in names)
     assert post[pick(surname="+", given="+", state="+", district="+", party="-", year="-")] > 0.9
     assert post[pick(surname="-", given="-", state="-", district="-", party="+", year="+")] < 0.1
+
+
+def test_links_do_not_depend_on_the_split(spark, monkeypatch):
+    """Records without district, year and middle initial stay in hot blocks, and so do their links."""
+    df, truth = people(spark, 60)
+    recs = K.records(df.withColumn("district", F.when(F.col("src") == "b", None).otherwise(F.col("district"))).withColumn("year", F.when(F.col("src") == "b", None).otherwise(F.col("year"))))
+    out = []
+    for rows in (5_000, 40, 3):
+        monkeypatch.setattr(K, "SPLIT_ROWS", rows)
+        out.append(sorted((r.key_a, r.key_b, round(r.confidence, 6)) for r in K.link(recs).collect()))
+    assert out[0] == out[1] == out[2] and len({p[:2] for p in out[0]} & truth) >= 0.9 * len(truth)
+
+
+def test_equal_records_are_compared_once(spark):
+    """A thousand records of one name: one profile a source, no match, and as many candidates as pairs of records."""
+    rows = [(s, f"{s}{i:04d}", "Kofi Farnishrude", "OH", None, "fl", None, None) for s in "xy" for i in range(40)]
+    df, _ = people(spark, 40)
+    recs = K.records(df.unionByName(spark.createDataFrame(rows, ROW)))
+    prof = K.profiles(recs)
+    assert prof.where("src IN ('x', 'y')").agg(F.sum("n")).first()[0] == 80 and prof.where("src IN ('x', 'y')").count() == 2
+    assert K.candidates(recs).where("src_a = 'x' AND src_b = 'y'").count() == 1600
+    assert K.link(recs).where("src_a = 'x' AND src_b = 'y'").count() == 0
+    assert K.link(recs, many=("y",)).where("src_a = 'x' AND src_b = 'y'").count() == 0
+
+
+def test_links_through_two_records(spark):
+    kept = [("a1", "b1", "a", "b", 0.9), ("b1", "c1", "b", "c", 0.9), ("c1", "d1", "c", "d", 0.9)]
+    df = spark.createDataFrame(kept, "key_a string, key_b string, src_a string, src_b string, confidence double")
+    facts = spark.createDataFrame([(f"{x}1", x, "OH", "", "") for x in "abcd"], "key string, src string, state string, middle string, tag string")
+    once = df.unionByName(K._through(df, facts)).distinct()
+    twice = {(r.key_a, r.key_b) for r in once.unionByName(K._through(once, facts)).collect()}
+    assert ("a1", "d1") in twice and ("a1", "d1") not in {(r.key_a, r.key_b) for r in once.collect()}
