@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from polispark.functions.keys import clean_key
-from polispark.llm import canonical, encoding, language, leakage, linkage, variants
+from polispark.llm import aliases, canonical, encoding, language, leakage, linkage, variants
 from polispark.session import durable, table
 
 
@@ -70,14 +70,14 @@ def _free_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = canonical.map_values(_free_entries(spark, sf_dir), table(spark, sf_dir, "canonical_entries"))
+    got = canonical.map_values(_free_entries(spark, sf_dir), table(spark, sf_dir, "canonical_entries"), aliases.table(spark))
     return got.select("kind", "raw_value", "entry_id")
 
 
 def p7_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per kind and way: distinct values and rows."""
     rows = _free_entries(spark, sf_dir).where(F.col("raw_value").isNotNull()).groupBy("kind", "raw_value").agg(F.count("*").alias("n"))
-    got = canonical.map_values(rows, table(spark, sf_dir, "canonical_entries")).join(rows, ["kind", "raw_value"])
+    got = canonical.map_values(rows, table(spark, sf_dir, "canonical_entries"), aliases.table(spark)).join(rows, ["kind", "raw_value"])
     return got.groupBy("kind", "way").agg(F.count("*").alias("n_values"), F.sum("n").alias("n_rows"))
 
 
