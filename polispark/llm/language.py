@@ -5,8 +5,9 @@ ways of cutting it into pieces, which a forward pass computes for all languages
 and no trained tokenizer, matters. The piece probabilities are learnt by expectation maximisation from a bounded sample
 of labelled documents, whose sentences are labelled anew by the model once, because labels can be wrong.
 
-A document is a sequence of words. A Viterbi pass over it finds the passages: changing the language costs little between
-sentences and much within one.
+A document is a sequence of words of any script. A Viterbi pass over it finds the passages: changing the language costs little between
+sentences and much within one. One more class, OTHER, gives every piece of the vocabulary the same small probability; what it
+explains better than every language that was learnt is in none of them.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,8 +35,10 @@ ROUNDS, ITERATIONS, POOLED = 2, 2, 0.05
 BETWEEN, WITHIN = 3.0, 10.0
 #: A passage counts as a whole sentence from so many words (two Han characters make a word) and nats of evidence.
 MIN_WORDS, MIN_NATS = 5, 20.0
-#: Bytes and characters of the longest piece tried and of a word; longer runs are cut.
-PIECE_BYTES, WORD_CHARS = 16, 12
+#: Code of what is in no language that was learnt, and by how many nats a piece is less likely there than under a uniform distribution.
+OTHER, DISCOUNT = "und", 2.0
+#: Bytes of a word from which its forward pass runs on logarithms, as products would vanish.
+LOG_BYTES = 64
 
 LANGUAGES = ("de", "en", "es", "fr", "it", "pt", "ru", "zh")
 #: Notations of the languages besides the two-letter codes.
@@ -47,8 +51,9 @@ _NAMED = {n: k for k, v in NAMES.items() for n in (k, *v)}
 
 _MARKUP = re.compile(r"</?[a-zA-Z][^<>]{0,200}>|&#?[0-9a-zA-Z]{1,12};|https?://\S+|\S+@\S+")
 #: A word, or the end of a sentence.
-_TOKEN = re.compile(r"[^\W\d_]+|[.!?…]+(?=\s|$)|[。!?;\r\n\x00]")
-_HAN = re.compile(r"[㐀-鿿]")
+_TOKEN = regex.compile(r"\p{L}[\p{L}\p{M}]*|[.!?…]+(?=\s|$)|[。!?;\r\n\x00]")
+#: Scripts written without blanks: two of their characters make a word.
+_DENSE = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\U00020000-\U0003134f]")
 
 
 def label_language(label: str | None) -> str | None:
@@ -60,8 +65,7 @@ def label_language(label: str | None) -> str | None:
 
 
 def tokens(text: str | None) -> tuple[list[str], list[int]]:
-    """Words in lower case, and the place of the first word of each sentence; numbers, markup, addresses and words of other
-    scripts are left out."""
+    """Words in lower case, of any script and length, and the place of the first word of each sentence; numbers, markup and addresses are left out."""
     if not text:
         return [], []
     if not text.isascii():
@@ -72,16 +76,12 @@ def tokens(text: str | None) -> tuple[list[str], list[int]]:
     starts: list[int] = []
     fresh = True
     for w in _TOKEN.findall(text.lower()):
-        c = w[0]
-        if "a" <= c < "ɐ" or "Ѐ" <= c <= "ӿ" or "㐀" <= c <= "鿿":
+        if w[0].isalpha():
             if fresh:
                 starts.append(len(words))
                 fresh = False
-            if len(w) <= WORD_CHARS:
-                words.append(w)
-            else:
-                words += [w[i : i + WORD_CHARS] for i in range(0, len(w), WORD_CHARS)]
-        elif not c.isalpha():
+            words.append(w)
+        else:
             fresh = True
     return words, starts
 
@@ -92,25 +92,39 @@ def sentences(text: str | None) -> list[list[str]]:
 
 
 def n_words(w: str) -> float:
-    return len(w) / 2 if _HAN.match(w) else 1.0
+    return len(w) / 2 if _DENSE.match(w) else 1.0
+
+
+class Vocabulary(dict):
+    """Pieces -> numbers, and all beginnings of pieces."""
+
+    def __init__(self, found):
+        super().__init__(found)
+        self.beginnings = {p[:i] for p in self for i in range(1, len(p) + 1)}
 
 
 @functools.lru_cache(maxsize=2)
-def pieces(path: str = VOCABULARY) -> dict[bytes, int]:
+def pieces(path: str = VOCABULARY) -> Vocabulary:
     with open(path, "rb") as f:
-        return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+        return Vocabulary({base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())})
 
 
 def lattice(word: str, vocab: dict[bytes, int]) -> tuple[int, list[tuple[int, int, int]]]:
-    """Length in bytes and the edges (from, to, piece) of all segmentations, in the order of their ends."""
-    b = word.encode("utf-8") if _HAN.match(word) else b" " + word.encode("utf-8")
-    edges = []
-    for j in range(1, len(b) + 1):
-        for i in range(max(0, j - PIECE_BYTES), j):
-            p = vocab.get(b[i:j])
+    """Length in bytes and the edges (from, to, piece) of all segmentations, in the order of their beginnings. From each byte on, pieces are
+    followed as long as some piece begins so."""
+    if not isinstance(vocab, Vocabulary):
+        vocab = Vocabulary(vocab)
+    b = word.encode("utf-8") if _DENSE.match(word) else b" " + word.encode("utf-8")
+    edges, get, beginnings, n = [], vocab.get, vocab.beginnings, len(b)
+    for i in range(n):
+        for j in range(i + 1, n + 1):
+            piece = b[i:j]
+            if piece not in beginnings:
+                break
+            p = get(piece)
             if p is not None:
                 edges.append((i, j, p))
-    return len(b), edges
+    return n, edges
 
 
 def forward(n: int, edges: list[tuple[int, int, int]], prob: np.ndarray) -> np.ndarray:
@@ -122,9 +136,18 @@ def forward(n: int, edges: list[tuple[int, int, int]], prob: np.ndarray) -> np.n
     return a
 
 
+def forward_log(n: int, edges: list[tuple[int, int, int]], prob: np.ndarray) -> np.ndarray:
+    """The logarithms of forward()."""
+    a = np.full((n + 1, prob.shape[1]), -np.inf)
+    a[0] = 0.0
+    for i, j, p in edges:
+        a[j] = np.logaddexp(a[j], a[i] + np.log(prob[p]))
+    return a
+
+
 def log_word(word: str, vocab: dict[bytes, int], prob: np.ndarray) -> np.ndarray:
     n, edges = lattice(word, vocab)
-    return np.log(np.maximum(forward(n, edges, prob)[n], 1e-300))
+    return np.log(np.maximum(forward(n, edges, prob)[n], 1e-300)) if n <= LOG_BYTES else forward_log(n, edges, prob)[n]
 
 
 def _maximise(counts: dict[str, np.ndarray], prob: np.ndarray, vocab: dict[bytes, int], grids: dict) -> np.ndarray:
@@ -134,6 +157,15 @@ def _maximise(counts: dict[str, np.ndarray], prob: np.ndarray, vocab: dict[bytes
         if w not in grids:
             grids[w] = lattice(w, vocab)
         n, edges = grids[w]
+        if n > LOG_BYTES:
+            a = forward_log(n, edges, prob)
+            b = np.full_like(a, -np.inf)
+            b[n] = 0.0
+            for i, j, p in reversed(edges):
+                b[i] = np.logaddexp(b[i], np.log(prob[p]) + b[j])
+            for i, j, p in edges:
+                soft[p] += np.exp(a[i] + b[j] + np.log(prob[p]) - a[n]) * c
+            continue
         a = forward(n, edges, prob)
         b = np.zeros_like(a)
         b[n] = 1.0
@@ -145,6 +177,11 @@ def _maximise(counts: dict[str, np.ndarray], prob: np.ndarray, vocab: dict[bytes
     return _mix(soft)
 
 
+def with_other(prob: np.ndarray) -> np.ndarray:
+    """The model with one more column, for OTHER."""
+    return np.column_stack([prob, np.full(len(prob), np.exp(-DISCOUNT) / max(len(prob), 1))])
+
+
 def _mix(soft: np.ndarray) -> np.ndarray:
     own = soft / np.maximum(soft.sum(0), 1.0)
     pooled = own.mean(1) + 1e-7
@@ -210,15 +247,15 @@ def sample(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "
 
 
 class Scorer:
-    """Log-likelihoods of words in all languages, kept in rows of one matrix."""
+    """Log-likelihoods of words in all languages and in none of them, kept in rows of one matrix."""
 
     def __init__(self, prob: np.ndarray, path: str = VOCABULARY, most: int = 300_000):
-        self.prob, self.vocab, self.most = prob, pieces(path), most
+        self.prob, self.vocab, self.most = with_other(prob), pieces(path), most
         self.clear()
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}
-        self.rows, self.sizes = np.zeros((1024, len(LANGUAGES))), np.zeros(1024)
+        self.rows, self.sizes = np.zeros((1024, len(LANGUAGES) + 1)), np.zeros(1024)
 
     def _add(self, w: str) -> int:
         i = self.at[w] = len(self.at)
@@ -240,8 +277,9 @@ class Scorer:
 def passages(words: list[str], starts: list[int], scorer: Scorer) -> list[tuple[int, float, float, int, int]]:
     """Viterbi over a document -> (language, words, nats over the next best language, first and last sentence).
 
-    A sentence whose words could not gain by changing the language within it is one unit, in others each word is one. If
-    the units all favour one language, that is the best path.
+    A sentence is one unit where no best path can change the language within it, in others each word is one. A path that changes
+    it there gains at most what the best single change gains, or, with more changes, what each word's best language gives; against it
+    stands a path that keeps one language and changes at both borders. If the units all favour one language, that is the best path.
     """
     if not words:
         return []
@@ -249,9 +287,11 @@ def passages(words: list[str], starts: list[int], scorer: Scorer) -> list[tuple[
     e, size = scorer.rows[ids], scorer.sizes[ids]
     first = np.array(starts)
     total, amount = np.add.reduceat(e, first), np.add.reduceat(size, first)
-    gain = np.add.reduceat(e.max(1), first) - total.max(1)
     ends = np.append(first[1:], len(ids))
-    open_ = (gain > WITHIN) & (ends - first > 1)
+    most = np.add.reduceat(e.max(1), first) - total.max(1)  # any number of changes
+    so_far = np.cumsum(e, 0) - np.repeat(np.concatenate([np.zeros((1, e.shape[1])), np.cumsum(total, 0)[:-1]]), ends - first, 0)
+    once = np.maximum.reduceat(so_far.max(1) + (np.repeat(total, ends - first, 0) - so_far).max(1), first) - total.max(1)  # one change
+    open_ = ((once > WITHIN - 2 * BETWEEN) | (most > 2 * WITHIN - 2 * BETWEEN)) & (ends - first > 1)
     if not open_.any():
         units, costs, sizes, where = total, np.full(len(first), BETWEEN), amount, np.arange(len(first))
         best = units.argmax(1)
@@ -294,21 +334,22 @@ def _passage(units: np.ndarray, sizes: np.ndarray, where: np.ndarray, k: int, i:
 _SEGMENTS = "lang string, words double, nats double, confidence double, first int, last int, seg int, whole boolean"
 
 
-def segments(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", path: str = VOCABULARY) -> DataFrame:
+def segments(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", path: str = VOCABULARY, labelled: DataFrame | None = None) -> DataFrame:
     """key, label_lang and, per passage: seg, lang, words, nats, confidence, first and last sentence, whole.
 
+    The model is learnt from `labelled`, by default from docs themselves. lang is OTHER for passages in no language of the model.
     confidence is the posterior of the language against the next best one. whole is true if the passage holds at least one
     whole sentence by MIN_WORDS and MIN_NATS. Texts without words (null, empty, blank, symbols) have no passage; other
     columns are ignored; whole texts are read. Without any labelled document there is no model, hence no passage.
     """
-    model = train(sample(docs, text, lang, key), path).astype(np.float32)
+    model = train(sample(docs if labelled is None else labelled, text, lang, key), path).astype(np.float32)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # pieces x languages, whatever the corpus holds
     kind = dict(docs.dtypes)[key]
     known = bool(model.std(1).max() > 0)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = Scorer(shared.value.astype(np.float64), path)
+        scorer, codes = Scorer(shared.value.astype(np.float64), path), (*LANGUAGES, OTHER)
         for pdf in batches:
             rows = []
             for k, t, label in zip(pdf["key"], pdf["text"], pdf["lang"]):
@@ -317,7 +358,7 @@ def segments(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
                 named = label_language(label if isinstance(label, str) else None)
                 for n, (at, words, nats, first, last) in enumerate(passages(*tokens(t), scorer)):
                     whole = words >= MIN_WORDS and nats >= MIN_NATS
-                    rows.append((k, named, LANGUAGES[at], words, nats, 1 / (1 + np.exp(-min(nats, 50.0))), first, last, n, whole))
+                    rows.append((k, named, codes[at], words, nats, 1 / (1 + np.exp(-min(nats, 50.0))), first, last, n, whole))
             yield pd.DataFrame(rows, columns=["key", "label_lang", "lang", "words", "nats", "confidence", "first", "last", "seg", "whole"])
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
@@ -326,8 +367,8 @@ def segments(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
 
 
 def unnamed(found: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, lang of whole passages in a language that the document's label does not name."""
-    return found.where("whole AND (label_lang IS NULL OR label_lang <> lang)").select(key, "lang").distinct()
+    """key, lang of whole passages in a language that the document's label does not name; OTHER is no language."""
+    return found.where(f"whole AND lang <> '{OTHER}' AND (label_lang IS NULL OR label_lang <> lang)").select(key, "lang").distinct()
 
 
 def documents(found: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -50,11 +50,69 @@ def test_passages(spark):
 
 
 def test_held_out_labels(spark):
-    """Most labels are right: the model must agree with nearly all of those of plain documents."""
+    """Most labels are right: a model learnt from half of the documents must agree with nearly all of those of the other half."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    main = {r.doc_id: r.lang for r in L.documents(L.segments(docs)).collect()}
-    pairs = [(L.label_language(r.lang), main[r.doc_id]) for r in docs.collect() if L.label_language(r.lang) and r.doc_id in main]
-    assert sum(a == b for a, b in pairs) > 0.85 * len(pairs)
+    learn, rest = docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1").collect()
+    held = docs.where("doc_id % 2 = 1")
+    main = {r.doc_id: r.lang for r in L.documents(L.segments(held, labelled=learn)).collect()}
+    pairs = [(L.label_language(r.lang), main[r.doc_id]) for r in rest if L.label_language(r.lang) and r.doc_id in main]
+    assert len(pairs) > 300 and sum(a == b for a, b in pairs) > 0.85 * len(pairs)
+
+
+def test_words_of_any_script_and_length(spark):
+    base = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    rows = [
+        (-1, "قرر مجلس المدينة أمس أن الجسر الجديد لن يبنى قبل العام المقبل.", None), (-2, "Το δημοτικό συμβούλιο αποφάσισε χθες ότι η νέα γέφυρα θα χτιστεί του χρόνου.", None),
+        (-3, "시의회는 어제 새 다리를 내년까지 짓지 않기로 결정했습니다.", "en"), (-4, TEXT["zh"].replace("。", "") * 40, None), (-5, "x" * 30_000 + " " + TEXT["de"], None), (-6, "市議会は昨日、新しい橋を来年まで建設しないことを決定しました。", None),
+    ]
+    found = L.segments(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), labelled=base).cache()
+    main = {r.doc_id: r.lang for r in L.documents(found).collect()}
+    assert main[-1] == main[-2] == main[-3] == L.OTHER and main[-4] == "zh" and -6 in main
+    assert {(r.doc_id, r.lang) for r in L.unnamed(found).collect()} >= {(-4, "zh"), (-5, "de")} and L.unnamed(found).where(f"lang = '{L.OTHER}'").count() == 0
+
+
+def test_every_piece_is_tried():
+    """A word is summed over its segmentations into pieces of any length, on logarithms where it is long."""
+    vocab = L.pieces()
+    longest = max(vocab, key=lambda p: (len(p), p))
+    assert any(longest == longest[i:j] for i, j, p in [(0, len(longest), 0)]) and len(longest) > 16
+    n, edges = L.lattice("ab" * 20, L.Vocabulary({b" ": 0, b"a": 1, b"b": 2, b"ab" * 20: 3}))
+    assert (1, 41, 3) in edges
+    rng = np.random.default_rng(4)
+    prob = rng.random((len(vocab), len(L.LANGUAGES))) / len(vocab)
+    for word in ("verantwortung", "没有人问过护士"):
+        n, edges = L.lattice(word, vocab)
+        assert np.allclose(np.log(L.forward(n, edges, prob)[n]), L.forward_log(n, edges, prob)[n])
+    assert np.isfinite(L.log_word("没有人问过护士" * 300, vocab, prob)).all()
+
+
+class _Fixed:
+    def __init__(self, rows):
+        self.rows, self.sizes = rows, np.ones(len(rows))
+
+    def ids(self, words):
+        return np.arange(len(words))
+
+
+def test_shortcut_is_exact():
+    """The best path equals that of a Viterbi pass over single words, also where changes within sentences nearly pay."""
+    rng = np.random.default_rng(3)
+    for _ in range(400):
+        sizes = rng.integers(1, 14, rng.integers(1, 5))
+        starts = [0, *np.cumsum(sizes)[:-1].tolist()]
+        n, k = int(sizes.sum()), 4
+        e = rng.normal(0, 1.2, (n, k)) + 2.0 * (rng.integers(0, k, n // 5 + 1)[np.arange(n) // 5][:, None] == np.arange(k))
+        v = e[0].copy()
+        for t in range(1, n):
+            cost = L.BETWEEN if t in starts else L.WITHIN
+            v = np.maximum(v, v.max() - cost) + e[t]
+        got, total, last = L.passages(["w"] * n, starts, _Fixed(e)), 0.0, None
+        at = 0
+        for lang, words, _, _, _ in got:
+            m = round(words)
+            total += e[at : at + m, lang].sum() - (0 if last is None else L.BETWEEN if at in starts else L.WITHIN)
+            at, last = at + m, lang
+        assert at == n and abs(total - v.max()) < 1e-9
 
 
 def test_no_labels(spark, sf):
