@@ -1,10 +1,10 @@
 """Mixed timestamp formats and zones, normalised to one UTC instant.
 
 A value is split by one pattern per layout into a date, a time and a zone. What names its zone, or is an epoch number, is an
-instant at once. What names none is a local time of an unknown zone: for a whole source, estimate_zone() tries offset
-histories (zones with their daylight-saving changes) and counts, for each, the local times that would fall out of the
-order of the source's own sequence; the history with the fewest such violations is
-chosen, and the declared one where the evidence does not clearly speak against it. All of it is built-in expressions.
+instant at once. What names none is a local time of an unknown zone. estimate_histories() aligns the local times of each
+series with the order of its own sequence and with the times at which they were ingested: per month it counts, for each zone (with its
+daylight-saving changes), the local times that would break that order or be later than their ingestion, and
+chooses the history of zones with the fewest violations, where leaving the declared zone must pay clearly. Parsing is built-in expressions only.
 """
 
 from __future__ import annotations
@@ -12,9 +12,12 @@ from __future__ import annotations
 import functools
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from polispark.operators.skew import skew_join
 from polispark.session import durable, table
 
 #: Names of months and zones.
@@ -30,8 +33,11 @@ NEIGHBOURS = 64
 #: Years in which a value counts as a real date.
 YEARS = (1900, 2099)
 
+#: Violations by which a zone of its own must pay, in standard deviations of the series' number under the declared zone.
+CLEAR = 4.0
+
 _REST = r"(.*)$"
-_LAYOUTS = [  # pattern, groups of year, month, day, rest
+_LAYOUTS = [  # pattern, numbers of the groups of year, month, day, rest
     (r"^(\d{4})-(\d{1,2})-(\d{1,2})" + _REST, (1, 2, 3, 4)),
     (r"^(\d{1,2})/(\d{1,2})/(\d{4}|\d{2})(?!\d)" + _REST, (3, 1, 2, 4)),
     (r"^(\d{1,2})\.(\d{1,2})\.(\d{4}|\d{2})(?!\d)" + _REST, (3, 2, 1, 4)),
@@ -41,6 +47,21 @@ _LAYOUTS = [  # pattern, groups of year, month, day, rest
 _TIME = r"^(?:\s*[Tt,]\s*|\s+)(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,9}))?)?\s*(?:([AaPp])\.?[Mm]\.?)?\s*([A-Za-z]{1,5}|[+-]\d{2}(?::?\d{2})?)?$"
 
 
+#: Put between the groups of a match.
+_MARK = "\u0001"
+
+
+def _marked(c: Column, pattern: str, order: tuple[int, ...]) -> Column:
+    """The groups of a pattern's match in the given order, each behind a mark, an empty text for one that took no part; the text itself where it
+    doesn't match. So patterns can follow each other, as none matches a mark, and each runs once."""
+    return F.regexp_replace(c, pattern, _MARK + _MARK.join(f"${i}" for i in order))
+
+
+def _groups(c: Column) -> Column:
+    """The groups of a marked text, null where nothing matched."""
+    return F.when(c.startswith(_MARK), F.split(F.substring(c, 2, 1_000_000), _MARK))
+
+
 def _num(c: Column) -> Column:
     return F.nullif(c, F.lit("")).try_cast("int")
 
@@ -59,17 +80,15 @@ def parse(df: DataFrame, value: str) -> DataFrame:
     """
     kept = [c for c in df.columns if c not in ("epoch_ms", "local_ms")]
     cols, s = [F.col("_row")], F.col("_s")  # the row travels as a struct, so that no name of it can clash
-    df = df.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), F.trim(F.col(f"`{value}`"), F.lit(" \t\r\n")).alias("_s"))
+    df = df.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), F.trim(F.translate(F.col(f"`{value}`"), _MARK, "?"), F.lit(" \t\r\n")).alias("_s"))
     digits = F.when(s.rlike(r"^\d{7,8}$"), F.lpad(s, 8, "0"))
     monthfirst = _num(F.substring(digits, 1, 2)).between(1, 12)
     packed = F.when(monthfirst, F.concat_ws("-", F.substring(digits, 5, 4), F.substring(digits, 1, 2), F.substring(digits, 3, 2))).otherwise(F.concat_ws("-", F.substring(digits, 1, 4), F.substring(digits, 5, 2), F.substring(digits, 7, 2)))
     df = df.select(*cols, s, F.when(digits.isNotNull(), packed).otherwise(s).alias("_text"))
     text = F.col("_text")
 
-    groups = F.array().cast("array<string>")
-    for pattern, order in reversed(_LAYOUTS):
-        groups = F.when(text.rlike(pattern), F.array(*[F.regexp_extract(text, pattern, g) for g in order])).otherwise(groups)
-    df = df.select(*cols, s, groups.alias("_g"))
+    marked = functools.reduce(lambda c, layout: _marked(c, *layout), _LAYOUTS, text)
+    df = df.select(*cols, s, marked.alias("_text")).select(*cols, s, _groups(text).alias("_g"))
     g = lambda i: F.get("_g", F.lit(i))
     months = {name: i + 1 for i, name in enumerate(MONTHS)} | {name[:3]: i + 1 for i, name in enumerate(MONTHS)} | {"sept": 9}
     year = F.when(F.length(g(0)) == 2, _num(g(0)) + 2000).otherwise(_num(g(0)))
@@ -77,8 +96,8 @@ def parse(df: DataFrame, value: str) -> DataFrame:
     df = df.select(*cols, s, year.alias("_y"), month.alias("_mo"), g(2).alias("_d"), F.rtrim(g(3)).alias("_rest"))
     day = F.when(F.col("_y").between(*YEARS) & F.col("_mo").isNotNull(), F.try_to_date(F.concat_ws("-", F.col("_y").cast("string"), F.col("_mo").cast("string"), F.col("_d")), "y-M-d"))
     rest = F.col("_rest")
-    time = F.when(rest.rlike(_TIME), F.array(*[F.regexp_extract(rest, _TIME, i) for i in range(1, 7)]))
-    df = df.select(*cols, s, (F.unix_date(day).cast("bigint") * 86_400_000).alias("_day"), (rest == "").alias("_bare"), time.alias("_t"))
+    df = df.select(*cols, s, (F.unix_date(day).cast("bigint") * 86_400_000).alias("_day"), (rest == "").alias("_bare"), _marked(rest, _TIME, (1, 2, 3, 4, 5, 6)).alias("_rest"))
+    df = df.select(*cols, s, "_day", "_bare", _groups(rest).alias("_t"))
 
     t = lambda i: F.get("_t", F.lit(i - 1))
     hour, half = _num(t(1)), F.lower(t(5))
@@ -123,12 +142,7 @@ def estimate_zone(rows: DataFrame, candidates: tuple[str, ...] = CANDIDATE_ZONES
     candidate reaches the driver.
     """
     at = rows.where(F.col("seq").isNotNull())
-    per = at.groupBy("series", "seq").agg(F.min("epoch_ms").alias("lo"), F.max("epoch_ms").alias("hi"))
-    w = Window.partitionBy("series", F.floor(F.col("seq") / width)).orderBy("seq")
-    ahead = F.last("hi", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    behind = F.first("lo", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
-    bounds = per.select("series", "seq", ahead.alias("lo"), behind.alias("hi")).where("lo IS NOT NULL OR hi IS NOT NULL")
-    local = at.where(F.col("local_ms").isNotNull()).select("series", "seq", "local_ms").distinct().join(bounds, ["series", "seq"])
+    local = at.where(F.col("local_ms").isNotNull()).select("series", "seq", "local_ms").distinct().join(_bounds(rows, width), ["series", "seq"])
 
     def broken(zone: str):
         t = to_instant(F.col("local_ms"), zone)
@@ -140,19 +154,92 @@ def estimate_zone(rows: DataFrame, candidates: tuple[str, ...] = CANDIDATE_ZONES
     return best if counts[default] - counts[best] > 3 * math.sqrt(counts[default] + 1) else default
 
 
-def normalise(df: DataFrame, value: str, series: list[str] = (), seq: str | None = None, candidates: tuple[str, ...] = CANDIDATE_ZONES, default: str = DEFAULT_ZONE) -> DataFrame:
+def _month(local_ms: Column) -> Column:
+    """Months since the year 0 of a wall time."""
+    at = F.date_from_unix_date(F.floor(local_ms / 86_400_000).cast("int"))
+    return (F.year(at) * 12 + F.month(at)).cast("int")
+
+
+def _bounds(rows: DataFrame, width: int) -> DataFrame:
+    """series, seq, lo, hi: the last instant known ahead of a place of the sequence and the first one known behind it, among its neighbours."""
+    per = rows.where(F.col("seq").isNotNull()).groupBy("series", "seq").agg(F.min("epoch_ms").alias("first"), F.max("epoch_ms").alias("last"))
+    w = Window.partitionBy("series", F.floor(F.col("seq") / width)).orderBy("seq")
+    ahead = F.last("last", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    behind = F.first("first", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    return per.select("series", "seq", ahead.alias("lo"), behind.alias("hi")).where("lo IS NOT NULL OR hi IS NOT NULL")
+
+
+def estimate_histories(rows: DataFrame, candidates: tuple[str, ...] = CANDIDATE_ZONES, default: str = DEFAULT_ZONE, width: int = NEIGHBOURS, delay_ms: int | None = None) -> DataFrame:
+    """series, month, zone of all months of a series whose local times are in another zone than the default.
+
+    rows: series, seq, epoch_ms, local_ms, ingested_ms (either of seq and ingested_ms may be null). A local time violates a zone if it would come before
+    the last instant known ahead of it in the sequence (its neighbours are the same stretch of `width`), after the first one behind it, after its ingestion,
+    or, with delay_ms, longer than that before it. Violations are counted per series, month and zone; the history of a series is
+    the sequence of zones with the least sum of violations and of changes, each of which costs CLEAR standard deviations of the violations under
+    the default zone, as do a first and a last zone other than the default. Equal sums keep the default. A month of a series is one row of
+    counts, so a series has at most 12 a year, however many its rows.
+    """
+    local = rows.where(F.col("local_ms").isNotNull()).select("series", "seq", "local_ms", "ingested_ms").distinct()
+    local = skew_join(local, _bounds(rows, width), ["series", "seq"], "left").where("lo IS NOT NULL OR hi IS NOT NULL OR ingested_ms IS NOT NULL")
+
+    names = [f"t{i}" for i in range(len(candidates))]
+    local = local.select("series", "lo", "hi", "ingested_ms", _month(F.col("local_ms")).alias("month"), *[to_instant(F.col("local_ms"), z).alias(n) for z, n in zip(candidates, names)])
+
+    def broken(t: Column) -> Column:
+        late = (t > F.col("ingested_ms")) if delay_ms is None else (t > F.col("ingested_ms")) | (t < F.col("ingested_ms") - delay_ms)
+        return F.count_if(t < F.col("lo")) + F.count_if(t > F.col("hi")) + F.count_if(late)
+
+    counts = local.groupBy("series", "month").agg(F.array(*[broken(F.col(n)) for n in names]).alias("broken"))
+
+    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("month")
+        n = np.array([list(x) for x in pdf["broken"]], dtype=float)
+        k = candidates.index(default)
+        change = CLEAR * math.sqrt(n[:, k].sum() + 1)
+        edge = np.where(np.arange(len(candidates)) == k, 0.0, change)
+        tie = np.where(np.arange(len(candidates)) == k, 0.0, 1e-6)
+        cost, back = edge + n[0] + tie, []
+        for row in n[1:]:
+            best = int(cost.argmin())
+            move = cost[best] + change < cost
+            back.append(np.where(move, best, np.arange(len(candidates))))
+            cost = np.where(move, cost[best] + change, cost) + row + tie
+        at = int((cost + edge).argmin())
+        path = [at]
+        for step in reversed(back):
+            at = int(step[at])
+            path.append(at)
+        path.reverse()
+        out = [(s, m, candidates[z]) for s, m, z in zip(pdf["series"], pdf["month"], path) if z != k]
+        return pd.DataFrame(out, columns=["series", "month", "zone"])
+
+    return counts.groupBy("series").applyInPandas(choose, "series string, month int, zone string")
+
+
+def normalise(df: DataFrame, value: str, series: list[str] = (), seq: str | None = None, candidates: tuple[str, ...] = CANDIDATE_ZONES, default: str = DEFAULT_ZONE, ingested: str | None = None) -> DataFrame:
     """Adds epoch_ms (bigint, UTC milliseconds; null for what is no real date) to df.
 
-    series and seq name the columns by which the source numbers its rows in time; without a seq, the default zone
+    series and seq name the columns by which the source numbers its rows in time, ingested the timestamp at which a row arrived; without either, the default zone
     holds. df keeps its columns but those named epoch_ms or local_ms. Empty tables give empty results.
     """
-    cols = [F.col(f"`{c}`") for c in df.columns if c not in ("epoch_ms", "local_ms")]
-    parsed = durable(parse(df, value), "parsed")  # read three times; and a filter pushed into its steps would repeat them
-    zone = default
-    if seq is not None:
-        one = F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in series]) if series else F.lit("")
-        zone = estimate_zone(parsed.select(one.alias("series"), F.col(seq).cast("bigint").alias("seq"), "epoch_ms", "local_ms"), candidates, default)
-    return parsed.select(*cols, F.coalesce("epoch_ms", to_instant(F.col("local_ms"), zone)).alias("epoch_ms"))
+    kept = [c for c in df.columns if c not in ("epoch_ms", "local_ms")]
+    # written, as it is read several times, and as a filter that is pushed into the steps of parsing would repeat them
+    parsed = durable(parse(df, value).select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), "epoch_ms", "local_ms"), "parsed")
+    if seq is None and ingested is None:
+        return parsed.select(*[F.col(f"_row.`{c}`") for c in kept], F.coalesce("epoch_ms", to_instant(F.col("local_ms"), default)).alias("epoch_ms"))
+    part = lambda c: F.coalesce(F.col(f"_row.`{c}`").cast("string"), F.lit(""))
+    rows = parsed.select(
+        "_row", "epoch_ms", "local_ms", (F.concat_ws("\u0001", *map(part, series)) if series else F.lit("")).alias("series"),
+        (F.col(f"_row.`{seq}`").cast("bigint") if seq else F.lit(None).cast("bigint")).alias("seq"),
+        (F.unix_millis(F.col(f"_row.`{ingested}`")) if ingested else F.lit(None).cast("bigint")).alias("ingested_ms"),
+    )
+    zones = durable(estimate_histories(rows.drop("_row"), candidates, default), "zones")
+    if zones.limit(1).count():
+        local = skew_join(rows.where("local_ms IS NOT NULL").withColumn("month", _month(F.col("local_ms"))), zones, ["series", "month"], "left")
+        rows = rows.where("local_ms IS NULL").select("_row", "epoch_ms").unionByName(local.select("_row", to_instant(F.col("local_ms"), F.coalesce("zone", F.lit(default))).alias("epoch_ms")))
+    else:
+        rows = rows.select("_row", F.coalesce("epoch_ms", to_instant(F.col("local_ms"), default)).alias("epoch_ms"))
+    return rows.select(*[F.col(f"_row.`{c}`") for c in kept], "epoch_ms")
 
 
 #: The three sources of typed dates: table, value, key columns, series, sequence.
@@ -164,10 +251,10 @@ SOURCES = (
 
 
 def typed_dates(spark, sf_dir: str) -> DataFrame:
-    """src, row_key, epoch_ms of all typed dates, null where unreadable; repeated rows stay."""
+    """src, row_key, value, epoch_ms of all typed dates, null where unreadable; repeated rows stay. A series never spans two sources."""
     parts = []
     for name, value, key, series, seq in SOURCES:
-        src = table(spark, sf_dir, name).select(*key, value)
-        done = normalise(src, value, list(series), seq)
-        parts.append(done.select(F.lit(name).alias("src"), F.concat_ws("|", *[F.col(k).cast("string") for k in key]).alias("row_key"), F.col(value).alias("value"), "epoch_ms"))
-    return functools.reduce(DataFrame.unionByName, parts)
+        part = F.concat_ws("|", F.lit(name), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in series])
+        row = F.concat_ws("|", *[F.col(k).cast("string") for k in key])
+        parts.append(table(spark, sf_dir, name).select(F.lit(name).alias("src"), row.alias("row_key"), F.col(value).alias("value"), part.alias("series"), (F.col(seq) if seq else F.lit(None)).cast("bigint").alias("seq")))
+    return normalise(functools.reduce(DataFrame.unionByName, parts), "value", ["series"], "seq").select("src", "row_key", "value", "epoch_ms")

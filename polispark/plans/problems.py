@@ -105,7 +105,34 @@ _ENDS = f"""WITH con AS (SELECT {_CLEAN('from_id')} AS f, {_CLEAN('to_id')} AS t
 ends AS (SELECT 'from' AS side, f AS key_id, t AS other, amount_cents FROM con UNION ALL SELECT 'to', t, f, amount_cents FROM con),
 st AS (SELECT side, key_id, count(*) AS n_rows, CAST(sum(amount_cents) AS BIGINT) AS amount_cents, count(DISTINCT other) AS n_other FROM ends WHERE key_id IS NOT NULL GROUP BY 1, 2)
 """
+_MONTHS = "['jan', 'feb', 'mar', 'apr', 'may', 'jun', 'jul', 'aug', 'sep', 'oct', 'nov', 'dec']"
+_OFFSETS = "MAP {" + ", ".join(f"'{k}': {v}" for k, v in timestamps.FIXED_ZONES.items()) + "}"
+_REGIONS = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in {**timestamps.REGION_ZONES, "": timestamps.DEFAULT_ZONE}.items()) + "}"
+_TYPED = f"""WITH raw AS (SELECT 'pac_aggregations' AS src, cmteid || '|' || candid AS row_key, latestdate AS value FROM pac_aggregations
+  UNION ALL SELECT 'fec_contributions', CAST(sub_id AS VARCHAR), receipt_date FROM fec_contributions
+  UNION ALL SELECT 'vote_list_items', CAST(congress AS VARCHAR) || '|' || chamber || '|' || CAST(rollnumber AS VARCHAR), date FROM vote_list_items),
+vals AS (SELECT DISTINCT value, trim(value, chr(9) || chr(10) || chr(13) || ' ') AS s FROM raw WHERE value IS NOT NULL),
+packed AS (SELECT value, s, CASE WHEN regexp_full_match(s, '[0-9]{{7,8}}') THEN CASE WHEN CAST(lpad(s, 8, '0')[1:2] AS INT) BETWEEN 1 AND 12
+  THEN lpad(s, 8, '0')[5:8] || '-' || lpad(s, 8, '0')[1:2] || '-' || lpad(s, 8, '0')[3:4] ELSE lpad(s, 8, '0')[1:4] || '-' || lpad(s, 8, '0')[5:6] || '-' || lpad(s, 8, '0')[7:8] END ELSE s END AS x FROM vals),
+forms(k, pat) AS (VALUES (1, '^(?P<y>[0-9]{{4}})-(?P<m>[0-9]{{1,2}})-(?P<d>[0-9]{{1,2}})(?P<r>.*)$'), (2, '^(?P<m>[0-9]{{1,2}})/(?P<d>[0-9]{{1,2}})/(?P<y>[0-9]{{4}}|[0-9]{{2}})(?P<r>[^0-9].*|)$'),
+  (3, '^(?P<d>[0-9]{{1,2}})[.](?P<m>[0-9]{{1,2}})[.](?P<y>[0-9]{{4}}|[0-9]{{2}})(?P<r>[^0-9].*|)$'), (4, '^(?:[A-Za-z]{{3,9}},?[ ]+)?(?P<d>[0-9]{{1,2}})[- ](?P<m>[A-Za-z]{{3,9}})[.]?[- ,]+(?P<y>[0-9]{{4}}|[0-9]{{2}})(?P<r>[^0-9].*|)$'),
+  (5, '^(?:[A-Za-z]{{3,9}},[ ]+)?(?P<m>[A-Za-z]{{3,9}})[.]?[ ]+(?P<d>[0-9]{{1,2}}),?[ ]+(?P<y>[0-9]{{4}})(?P<r>[^0-9].*|)$')),
+cut AS (SELECT value, s, CASE {' '.join(f"WHEN regexp_matches(x, (SELECT pat FROM forms WHERE k = {k})) THEN {k}" for k in range(1, 6))} END AS k, x FROM packed),
+part AS (SELECT value, s, CASE k {' '.join(f"WHEN {k} THEN [{', '.join(f'regexp_extract(x, (SELECT pat FROM forms WHERE k = {k}), {g})' for g in order)}]" for k, order in ((1, (1, 2, 3, 4)), (2, (3, 1, 2, 4)), (3, (3, 2, 1, 4)), (4, (3, 2, 1, 4)), (5, (3, 1, 2, 4))))} END AS g FROM cut),
+num AS (SELECT value, s, CASE WHEN length(g[1]) = 2 THEN 2000 ELSE 0 END + TRY_CAST(g[1] AS INT) AS y, coalesce(TRY_CAST(g[2] AS INT), nullif(list_position({_MONTHS}, lower(g[2])[1:3]), 0)) AS mo, TRY_CAST(g[3] AS INT) AS d, rtrim(g[4]) AS rest FROM part),
+tim AS (SELECT *, CASE WHEN y BETWEEN 1900 AND 2099 THEN TRY_CAST(printf('%04d-%02d-%02d', y, mo, d) AS DATE) END AS day, regexp_extract(rest, '^(?:[ ]*[Tt,][ ]*|[ ]+)([0-9]{{1,2}}):([0-9]{{2}})(?::([0-9]{{2}})(?:[.,]([0-9]{{1,9}}))?)?[ ]*(?:([AaPp])[.]?[Mm][.]?)?[ ]*([A-Za-z]{{1,5}}|[+-][0-9]{{2}}(?::?[0-9]{{2}})?)?$', ['h', 'mi', 'sec', 'frac', 'half', 'zone']) AS t FROM num),
+wall AS (SELECT value, s, day, rest, upper(t.zone) AS zone, TRY_CAST(t.mi AS INT) AS mi, coalesce(TRY_CAST(nullif(t.sec, '') AS INT), 0) AS sec, coalesce(TRY_CAST(rpad(t.frac, 3, '0')[1:3] AS INT), 0) AS ms,
+  CASE WHEN t.half = '' THEN TRY_CAST(t.h AS INT) WHEN TRY_CAST(t.h AS INT) BETWEEN 1 AND 12 THEN TRY_CAST(t.h AS INT) % 12 + CASE WHEN lower(t.half) = 'p' THEN 12 ELSE 0 END END AS h FROM tim),
+loc AS (SELECT value, s, day, rest, zone, CASE WHEN h <= 23 AND mi <= 59 AND sec <= 59 THEN day + to_hours(h) + to_minutes(mi) + to_seconds(sec) + to_milliseconds(ms) END AS local FROM wall),
+shift AS (SELECT *, CASE WHEN zone LIKE '+%' OR zone LIKE '-%' THEN CASE WHEN CAST(zone[2:3] AS INT) <= 18 AND coalesce(TRY_CAST(replace(zone, ':', '')[4:5] AS INT), 0) <= 59
+  THEN CASE WHEN zone LIKE '-%' THEN -1 ELSE 1 END * (CAST(zone[2:3] AS INT) * 60 + coalesce(TRY_CAST(replace(zone, ':', '')[4:5] AS INT), 0)) END ELSE {_OFFSETS}[zone] END AS offs, {_REGIONS}[zone] AS region FROM loc),
+inst AS (SELECT *, CASE WHEN region IS NULL OR local IS NULL THEN NULL WHEN timezone(region, timezone(region, local) - INTERVAL 1 HOUR) = local THEN epoch_ms(timezone(region, local)) - 3600000 ELSE epoch_ms(timezone(region, local)) END AS zoned FROM shift),
+done AS (SELECT value, CASE WHEN regexp_full_match(s, '[0-9]{{10}}|[0-9]{{13}}') THEN CASE WHEN CAST(rpad(s, 13, '0') AS BIGINT) BETWEEN epoch_ms(TIMESTAMP '1900-01-01') AND epoch_ms(TIMESTAMP '2100-01-01') - 1 THEN CAST(rpad(s, 13, '0') AS BIGINT) END
+  WHEN rest = '' THEN epoch_ms(CAST(day AS TIMESTAMP)) WHEN offs IS NOT NULL THEN epoch_ms(local) - offs * 60000 ELSE zoned END AS epoch_ms FROM inst)
+"""
 ORACLE = {
+    "p6_found": _TYPED + "SELECT DISTINCT src, row_key, CAST(epoch_ms AS BIGINT) AS epoch_ms FROM raw JOIN done USING (value) WHERE epoch_ms IS NOT NULL AND row_key <> ''",
+    "p6_unreadable": _TYPED + "SELECT src, count(*) AS n_rows, count(*) FILTER (WHERE raw.value IS NULL) AS n_null, count(*) FILTER (WHERE raw.value IS NOT NULL AND epoch_ms IS NULL) AS n_unreadable FROM raw LEFT JOIN done USING (value) GROUP BY src",
     "p1_found": _TREE + "SELECT id AS agency_id, root_id FROM res",
     "p1_hierarchy": _TREE + "SELECT id AS agency_id, root_id, CAST(len(path) - 1 AS INTEGER) AS depth, array_to_string(path, '/') AS path, in_loop, in_loop AND len(path) = 1 AS on_loop FROM res",
     "p1_descendants": _TREE + """SELECT a AS agency_id, id AS descendant_id, CAST(len(path) - list_position(path, a) AS INTEGER) AS distance

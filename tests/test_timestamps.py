@@ -100,3 +100,42 @@ def test_zone_is_estimated_from_the_sequence(spark):
     scattered = df.withColumn("seq", F.abs(F.hash("seq")).cast("bigint"))
     assert T.estimate_zone(scattered) == T.DEFAULT_ZONE
     assert T.estimate_zone(df.limit(0)) == T.DEFAULT_ZONE
+
+
+def _history(zones, n=120, every=dt.timedelta(minutes=20)):
+    """Rows of a series whose local times (two of three) are in zones[i] in month i; sequence and ingestion follow the true order."""
+    rows, true, seq = [], {}, 0
+    for i, zone in enumerate(zones):
+        base = dt.datetime(2021, 1 + i, 5, 0)
+        for j in range(n):
+            at = base + j * every
+            ms = int((at - EPOCH).total_seconds()) * 1000
+            if j % 3 == 0:
+                rows.append((seq, at.strftime("%Y-%m-%dT%H:%M:%SZ"), ms + 60_000))
+            else:
+                rows.append((seq, at.replace(tzinfo=dt.UTC).astimezone(ZoneInfo(zone)).strftime("%Y-%m-%d %H:%M:%S"), ms + 60_000))
+            true[seq] = ms
+            seq += 1
+    return rows, true
+
+
+def test_histories_per_series_and_period(spark):
+    """Zones differ between series and change within one; each is found from the sequence alone, and from ingestion with a bound of the delay alone."""
+    plans = {"west": ["America/Los_Angeles"] * 4, "moves": ["America/New_York", "America/New_York", "UTC", "UTC", "America/Denver", "America/Denver"], "east": ["America/New_York"] * 3}
+    rows, true = [], {}
+    for name, zones in plans.items():
+        found, want = _history(zones)
+        rows += [(name, seq, v, ingested) for seq, v, ingested in found]
+        true |= {(name, k): v for k, v in want.items()}
+    df = spark.createDataFrame(rows, "series string, seq bigint, v string, at bigint").withColumn("ingested", F.timestamp_millis("at"))
+    got = {(r.series, r.seq): r.epoch_ms for r in T.normalise(df, "v", ["series"], "seq").collect()}
+    assert got == true
+    bare = T.parse(df, "v").selectExpr("series", "CAST(NULL AS BIGINT) AS seq", "epoch_ms", "local_ms", "at AS ingested_ms")
+    zones = {(r.series, r.month): r.zone for r in T.estimate_histories(bare, delay_ms=3_000_000).collect()}
+    assert {s for s, _ in zones} == {"west", "moves"} and zones["moves", 2021 * 12 + 3] == "UTC" and zones["moves", 2021 * 12 + 5] == "America/Denver" and ("moves", 2021 * 12 + 1) not in zones
+    by_arrival = T.normalise(df.where("series = 'west'").selectExpr("series", "v", "seq", "ingested"), "v", ["series"], ingested="ingested")
+    assert by_arrival.count() == 480
+    shuffled = df.withColumn("seq", F.abs(F.hash("seq")).cast("bigint")).selectExpr("series", "seq", "v")
+    east = {(r.series, r.v): r.epoch_ms for r in T.normalise(shuffled, "v", ["series"], "seq").collect()}
+    assert all(east[s, v] == brute(v) for s, v in east)  # no order, no evidence: the declared zone holds
+    assert T.normalise(df.limit(0), "v", ["series"], "seq").count() == 0
