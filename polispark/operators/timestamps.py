@@ -62,6 +62,16 @@ def _groups(c: Column) -> Column:
     return F.when(c.startswith(_MARK), F.split(F.substring(c, 2, 1_000_000), _MARK))
 
 
+def _days(y: Column, m: Column, d: Column) -> Column:
+    """Days since 1970 of a date in YEARS, null if there is no such day: arithmetic of the calendar whose years begin in March."""
+    leap = (y % 4 == 0) & ((y % 100 != 0) | (y % 400 == 0))
+    length = F.when(m == 2, F.when(leap, 29).otherwise(28)).when(m.isin(4, 6, 9, 11), 30).otherwise(31)
+    y2 = y - F.when(m <= 2, 1).otherwise(0)
+    whole = lambda c: F.floor(c).cast("int")
+    days = y2 * 365 + whole(y2 / 4) - whole(y2 / 100) + whole(y2 / 400) + whole((153 * ((m + 9) % 12) + 2) / 5) + d - 719_469
+    return F.when(y.between(*YEARS) & m.between(1, 12) & (d >= 1) & (d <= length), days)
+
+
 def _num(c: Column) -> Column:
     return F.nullif(c, F.lit("")).try_cast("int")
 
@@ -93,10 +103,9 @@ def parse(df: DataFrame, value: str) -> DataFrame:
     months = {name: i + 1 for i, name in enumerate(MONTHS)} | {name[:3]: i + 1 for i, name in enumerate(MONTHS)} | {"sept": 9}
     year = F.when(F.length(g(0)) == 2, _num(g(0)) + 2000).otherwise(_num(g(0)))
     month = F.coalesce(_num(g(1)), _lookup(F.lower(g(1)), months))
-    df = df.select(*cols, s, year.alias("_y"), month.alias("_mo"), g(2).alias("_d"), F.rtrim(g(3)).alias("_rest"))
-    day = F.when(F.col("_y").between(*YEARS) & F.col("_mo").isNotNull(), F.try_to_date(F.concat_ws("-", F.col("_y").cast("string"), F.col("_mo").cast("string"), F.col("_d")), "y-M-d"))
+    df = df.select(*cols, s, year.alias("_y"), month.alias("_mo"), _num(g(2)).alias("_d"), F.rtrim(g(3)).alias("_rest"))
     rest = F.col("_rest")
-    df = df.select(*cols, s, (F.unix_date(day).cast("bigint") * 86_400_000).alias("_day"), (rest == "").alias("_bare"), _marked(rest, _TIME, (1, 2, 3, 4, 5, 6)).alias("_rest"))
+    df = df.select(*cols, s, (_days(F.col("_y"), F.col("_mo"), F.col("_d")).cast("bigint") * 86_400_000).alias("_day"), (rest == "").alias("_bare"), _marked(rest, _TIME, (1, 2, 3, 4, 5, 6)).alias("_rest"))
     df = df.select(*cols, s, "_day", "_bare", _groups(rest).alias("_t"))
 
     t = lambda i: F.get("_t", F.lit(i - 1))
