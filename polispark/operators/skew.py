@@ -26,6 +26,10 @@ TRACKED = 100_000
 BROADCAST_ROWS = 100_000
 
 
+#: Estimated bytes of a side that one task holds easily: no key in it can be too heavy, so none is sought.
+SMALL_BYTES = 16 << 20
+
+
 class Heavy(NamedTuple):
     hash: int
     rows: int
@@ -62,6 +66,11 @@ def heavy_keys(df: DataFrame, cols: list[str], share: float | None = None, track
     return [tuple(r) for r in df.select(*cols).where(_is(found, cols)).distinct().collect()]  # as many as hashes
 
 
+def _small(df: DataFrame) -> bool:
+    """Whether the optimizer's estimate of a table is small. It never estimates a join or an aggregate too low, only too high."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SMALL_BYTES
+
+
 def _is(found: list[Heavy], cols: list[str]) -> Column:
     return F.coalesce(key_hash(cols).isin([x.hash for x in found]), F.lit(False)) if found else F.lit(False)
 
@@ -87,8 +96,9 @@ def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left
     right = _like(right, left, on)
     if how in ("left_semi", "left_anti"):
         right = right.select(*on).distinct()
-    heavy = heavy_hashes(left if sketch is None else sketch, on, share, most=most)
-    wide = heavy_hashes(right, on, share, most=most) if many and how in ("inner", "left") else []
+    seek = lambda df: [] if share is None and most is None and _small(df) else heavy_hashes(df, on, share, most=most)
+    heavy = seek(left if sketch is None else sketch)
+    wide = seek(right) if many and how in ("inner", "left") else []
     wide = [x for x in wide if x.hash not in {y.hash for y in heavy}]
     parts = [left.where(~_is([*heavy, *wide], on)).join(right.where(~_is([*heavy, *wide], on)), on, how)] if heavy or wide else [left.join(right, on, how)]
     if heavy:

@@ -43,6 +43,7 @@ def test_joins_equal_plain_joins(spark, monkeypatch):
     right = spark.createDataFrame([("hot", 1), ("hot", 2), ("k1", 3), (None, 4), ("zz", 5)], "key string, v int")
     for limit in (100, 0):  # broadcast, and salted
         monkeypatch.setattr(S, "BROADCAST_ROWS", limit)
+        monkeypatch.setattr(S, "SMALL_BYTES", -1)
         for how in ("inner", "left", "left_semi", "left_anti"):
             want = sorted(map(str, left.join(right, ["key"], how).collect()))
             assert sorted(map(str, S.skew_join(left, right, ["key"], how).collect())) == want, (limit, how)
