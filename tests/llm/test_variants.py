@@ -70,3 +70,23 @@ def test_channel():
     assert V.channel("person", ("smithson", "bob"), ("smithson", "james"), 1) is None
     assert V.channel("org", ("smithson", "dntl"), ("smithson", "dental"), 1) == V.ABBREVIATION
     assert V.channel("org", ("smithson", "dental"), ("smithson", "glass"), 1) is None
+
+
+def test_short_family_names_and_two_slips(spark):
+    """A rare slip of a family name of four letters, slips in both parts, and a slip with an abbreviation; frequent short names stay apart."""
+    rows = [(x, False) for x in (
+        "Diaz, Kwabena", "DIAZ, KWABENA", "Kwabena Diaz", "Diaz, Orla", "Diaz, Petra", "Dias, Kwabena", "Yarooque, Kwabena", "Kwabena Yarooque", "YAROOQUE, KWABENA", "Yaroque, Kwabnea",
+        "Khan, Tabor", "KHAN, TABOR", "Tabor Khan", "Kahn, Tabor", "Kahn, Ulva", "Kahn, Mirko", "Kahn, Zelda",
+    )] + [("Harlan Gravelpits LLC", True), ("HARLAN GRAVELPITS", True), ("The Harlan Gravelpits Co", True), ("Harlann Grvlpts", True)]
+    got = {(r.name_a, r.name_b) for r in V.pairs(V.cluster(strings(spark, rows))).collect()}
+    assert ("DIAZ, KWABENA", "Dias, Kwabena") in got and ("YAROOQUE, KWABENA", "Yaroque, Kwabnea") in got and ("HARLAN GRAVELPITS", "Harlann Grvlpts") in got
+    assert not {("KHAN, TABOR", "Kahn, Tabor"), ("Kahn, Tabor", "Khan, Tabor")} & got
+
+
+def test_hot_blocks_give_the_same(spark, monkeypatch):
+    rows = [x for g in GROUPS for x in g] + [(f"Yarooque, {a}{b}an", False) for a in ("Kor", "Kel", "Kim", "Kav") for b in "abcdefgh"]
+    out = []
+    for most in (5_000, 3):
+        monkeypatch.setattr(V, "SPLIT_ROWS", most)
+        out.append({(r.name_a, r.name_b) for r in V.pairs(V.cluster(strings(spark, rows))).collect()})
+    assert out[0] == out[1]
