@@ -2,7 +2,7 @@
 
 Both sides are cut into words, and every window of SPAN words is hashed once per mask. A mask ignores fixed positions, so a
 window with substituted words at ignored positions still meets its item. The hashes of the evaluation side are joined
-with those of the corpus; a filter of fixed size lets the corpus side send only windows that may have a partner.
+with those of the corpus; a filter sized by the evaluation side lets the corpus side send only windows that may have a partner.
 Each hit is verified on its words: the number of differing words in the window is the hit's `slips`.
 """
 
@@ -29,8 +29,8 @@ MASKS = ("1101110101", "1011011011", "0111101110", "1110110111")
 SLIPS = SPAN // 3
 #: The Steiner system S(3, 4, 10) as ignored positions: any three positions are ignored by one of the masks, so any SLIPS substitutions are survived.
 COVER = tuple("".join("0" if (k - i) % SPAN in base else "1" for k in range(SPAN)) for base in ({0, 1, 3, 4}, {0, 1, 2, 6}, {0, 2, 4, 7}) for i in range(SPAN))
-#: Bits of the filter of evaluation hashes (1 MB, whatever the evaluation side holds).
-FILTER_BITS = 1 << 23
+#: Bits of the filter for each evaluation hash, and the least and the most that it may have (1 and 64 MB); beyond the most it passes more, and the join stays exact.
+BITS_EACH, LEAST_BITS, MOST_BITS = 16, 1 << 23, 1 << 29
 #: Hashes that a task holds at once, but at least those of one text.
 HELD = 1_000_000
 
@@ -65,15 +65,15 @@ def _hashes(h: np.ndarray, masks: tuple[str, ...] = MASKS) -> np.ndarray:
     return out
 
 
-def _slots(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    low = np.uint64(FILTER_BITS - 1)
+def _slots(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    low = np.uint64(bits - 1)
     h = h ^ (h >> np.uint64(33))
     return (h & low).astype(np.int64), ((h >> np.uint64(24)) & low).astype(np.int64)
 
 
 def _passing(h: np.ndarray, keep: np.ndarray) -> np.ndarray:
     """Which hashes have both of their bits set; the second is looked up for those only that have the first."""
-    a, b = _slots(h)
+    a, b = _slots(h, len(keep) << 3)
     hit = ((keep[a >> 3] >> (a & 7).astype(np.uint8)) & 1).astype(bool)
     some = np.nonzero(hit)
     b = b[some]
@@ -84,8 +84,8 @@ def _passing(h: np.ndarray, keep: np.ndarray) -> np.ndarray:
 _WINDOWS = "key bigint, pos int, hash bigint, window string"
 
 
-def windows(df: DataFrame, key: str, text: str, keep: np.ndarray | None = None, masks: tuple[str, ...] = MASKS) -> DataFrame:
-    """key, pos, hash, window (its words) per mask and window; with `keep`, only those that pass the filter.
+def windows(df: DataFrame, key: str, text: str, keep=None, masks: tuple[str, ...] = MASKS) -> DataFrame:
+    """key, pos, hash, window (its words) per mask and window; with `keep` (the broadcast filter), only those that pass it.
 
     Texts with fewer than SPAN words, and null or empty ones, have none. Where a text holds markup, its windows
     without the markup are added.
@@ -101,7 +101,7 @@ def windows(df: DataFrame, key: str, text: str, keep: np.ndarray | None = None,
             h = _hashes(np.fromiter(map(cache.__getitem__, flat), dtype=np.uint64, count=len(flat)), masks)
             own = np.searchsorted(np.array(ends), np.arange(h.shape[1]), side="right")
             inside = np.arange(h.shape[1]) + SPAN <= np.array(ends)[own]
-            hit = (np.ones(h.shape, dtype=bool) if keep is None else _passing(h, keep)) & inside
+            hit = (np.ones(h.shape, dtype=bool) if keep is None else _passing(h, keep.value)) & inside
             begin, rows = [0, *ends], []
             for m, p in zip(*(x.tolist() for x in np.nonzero(hit))):
                 rows.append((keys[own[p]], p - begin[own[p]], int(h[m, p].astype(np.int64)), " ".join(flat[p : p + SPAN])))
@@ -132,22 +132,26 @@ def windows(df: DataFrame, key: str, text: str, keep: np.ndarray | None = None,
 
 
 def _filter(tests: DataFrame) -> np.ndarray:
-    """The bits of all evaluation hashes: built per task, united on the driver; every part has FILTER_BITS bits."""
+    """The bits of all evaluation hashes, sized by their number: every task sets the bits of a part of the filter, and the parts reach the driver in a row."""
+    n = tests.count()
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_EACH * n - 1).bit_length()))
+    part = LEAST_BITS  # bits of a part: 1 MB a row
 
-    def bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = np.zeros(FILTER_BITS >> 3, dtype=np.uint8)
-        some = False
+    def slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for slots in _slots(pdf["hash"].to_numpy(np.int64).view(np.uint64)):
-                np.bitwise_or.at(own, slots >> 3, (1 << (slots & 7)).astype(np.uint8))
-            some |= len(pdf) > 0
-        if some:
-            yield pd.DataFrame({"bits": [own.tobytes()]})
-
-    parts = tests.select("hash").coalesce(4).mapInPandas(bits, "bits binary").collect()  # at most 4 rows of 1 MB
-    out = np.zeros(FILTER_BITS >> 3, dtype=np.uint8)
-    for row in parts:
-        out |= np.frombuffer(row.bits, dtype=np.uint8)
+            both = np.unique(np.concatenate(_slots(pdf["hash"].to_numpy(np.int64).view(np.uint64), bits)))
+            yield pd.DataFrame({"part": both // part, "slot": both % part})
+
+    def filled(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = np.zeros(part >> 3, dtype=np.uint8)
+        at = pdf["slot"].to_numpy()
+        np.bitwise_or.at(own, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        return pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "bits": [own.tobytes()]})
+
+    rows = tests.select("hash").mapInPandas(slots, "part bigint, slot bigint").distinct().groupBy("part").applyInPandas(filled, "part bigint, bits binary").collect()  # MOST_BITS at most
+    out = np.zeros(bits >> 3, dtype=np.uint8)
+    for row in rows:
+        out[row.part * (part >> 3) : (row.part + 1) * (part >> 3)] = np.frombuffer(row.bits, dtype=np.uint8)
     return out
 
 
@@ -159,9 +163,9 @@ def hits(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: s
     Each (document, item, pos, item_pos) comes once, however many masks met. Empty tables give an empty result.
     """
     tests = durable(windows(items, item_key, text, masks=masks), "tests")
-    found = durable(windows(docs, doc_key, text, _filter(tests), masks), "windows")
+    found = durable(windows(docs, doc_key, text, docs.sparkSession.sparkContext.broadcast(_filter(tests)), masks), "windows")
     right = tests.select(F.col("hash"), F.col("key").alias(item_key), F.col("pos").alias("item_pos"), F.col("window").alias("item_window"))
-    met = skew_join(found.withColumnRenamed("key", doc_key), right, ["hash"], "inner")
+    met = skew_join(found.withColumnRenamed("key", doc_key), right, ["hash"], "inner", many=True)
     a, b = F.split("window", " "), F.split("item_window", " ")
     slips = F.size(F.filter(F.zip_with(a, b, lambda x, y: x != y), lambda x: x))
     met = met.select(doc_key, item_key, "pos", "item_pos", slips.alias("slips"))

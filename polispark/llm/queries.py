@@ -122,4 +122,9 @@ def p10_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_links, p5_found, p5_clusters, p7_found, p7_unmatched, p8_ids, p8_roundtrip, p9_found, p9_overlaps, p10_found, p10_segments, p10_documents)}
 
-ORACLE: dict[str, str] = {}
+_GRAMS = """SELECT DISTINCT {key}, unnest(list_transform(range(1, len(w) - 8), lambda i: array_to_string(w[i:i + 9], ' '))) AS gram FROM (
+  SELECT {key}, regexp_extract_all(lower(strip_accents(regexp_replace(replace(replace(t, 'ﬁ', 'fi'), 'ﬂ', 'fl'), '\\p{{Cf}}', '', 'g'))), '[\\p{{L}}\\p{{N}}]+') AS w
+  FROM (SELECT {key}, unnest([text, regexp_replace(text, '</?[a-zA-Z][^<>]{{0,200}}>|&#?[0-9a-zA-Z]{{1,12}};', ' ', 'g')]) AS t FROM {table} WHERE text IS NOT NULL)) WHERE len(w) >= 10"""
+ORACLE: dict[str, str] = {
+    "p9_found": f"SELECT DISTINCT doc_id, item_id FROM ({_GRAMS.format(key='doc_id', table='documents')}) JOIN ({_GRAMS.format(key='item_id', table='eval_items')}) USING (gram)",
+}
