@@ -43,11 +43,15 @@ def derived_state(spark, d):
     return w.select("candid").distinct().join(got, "candid", "left").select("candid", F.coalesce("state", F.lit("Unknown")).alias("state"))
 
 
-@query("""SELECT DISTINCT bioguideid, trim(split_part(name, ',', 1)) AS last, split_part(trim(split_part(name, ',', 2)), ' ', 1) AS first FROM congress_members WHERE name LIKE '%,%'""")
+@query("""SELECT DISTINCT bioguideid, CASE WHEN contains(name, ',') THEN trim(split_part(name, ',', 1)) ELSE w[-1] END AS last, CASE WHEN contains(name, ',') THEN split_part(trim(split_part(name, ',', 2)), ' ', 1) ELSE w[1] END AS first
+  FROM (SELECT bioguideid, name, list_filter(string_split(name, ' '), lambda x: x <> '') AS w FROM congress_members WHERE name IS NOT NULL)""")
 def name_parts(spark, d):
+    """Family and given name of all names: around the comma, else the last and the first word."""
     part = lambda i: F.trim(F.get(F.split("name", ","), F.lit(i)))
-    m = table(spark, d, "congress_members").where(F.col("name").contains(","))
-    return m.select("bioguideid", part(0).alias("last"), F.get(F.split(part(1), " "), F.lit(0)).alias("first")).distinct()
+    m, comma = table(spark, d, "congress_members").where("name IS NOT NULL"), F.col("name").contains(",")
+    words = F.filter(F.split("name", " "), lambda w: w != "")
+    last, first = F.when(comma, part(0)).otherwise(F.try_element_at(words, F.lit(-1))), F.when(comma, F.get(F.split(part(1), " "), F.lit(0))).otherwise(F.try_element_at(words, F.lit(1)))
+    return m.select("bioguideid", last.alias("last"), first.alias("first")).distinct()
 
 
 _HOT = "(SELECT from_id FROM con WHERE connection_type LIKE 'vote%' GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)"

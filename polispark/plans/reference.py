@@ -666,25 +666,6 @@ def stream_sessions(spark, d):
     return S.drained(spark, f"{d}/events.parquet", lambda stream: S.sessions(stream, "6 hours"), "sessions").select("user_id", "start", "n")
 
 
-_LAST = "upper(regexp_replace({}, '[^A-Za-z]', '', 'g'))".format
-
-
-@query(f"""WITH l AS (SELECT DISTINCT candid, {_LAST("split_part(candname, ',', 1)")} AS last, substr(candid, 3, 2) AS st, substr({_LAST("split_part(candname, ',', 2)")}, 1, 3) AS f3 FROM weball_rows WHERE candname LIKE '%,%'),
-  r AS (SELECT DISTINCT lower(trim(id)) AS id, {_LAST("last_name")} AS last, state AS st, substr({_LAST("first_name")}, 1, 3) AS f3 FROM officials WHERE last_name IS NOT NULL),
-  p AS (SELECT candid, id, (l.st = r.st) IS TRUE AS a, (l.st = r.st AND l.f3 = r.f3) IS TRUE AS b FROM l JOIN r USING (last)),
-  c AS (SELECT candid, count(*) AS n0, min(id) AS m0, count(*) FILTER (WHERE a) AS n1, min(id) FILTER (WHERE a) AS m1, count(*) FILTER (WHERE b) AS n2, min(id) FILTER (WHERE b) AS m2 FROM p GROUP BY candid)
-  SELECT candid, CASE WHEN n0 = 1 THEN m0 WHEN n1 = 1 THEN m1 ELSE m2 END AS id, CAST(CASE WHEN n0 = 1 THEN 0 WHEN n1 = 1 THEN 1 ELSE 2 END AS INTEGER) AS stage FROM c WHERE n0 = 1 OR n1 = 1 OR n2 = 1""")
-def candidate_matches(spark, d):
-    """Family name, narrowed by state and by the first letters of the given name until one official is left."""
-    from polispark.operators.matching import narrow
-
-    letters = lambda c: F.upper(F.regexp_replace(c, "[^A-Za-z]", ""))
-    part = lambda i: F.coalesce(F.get(F.split("candname", ","), F.lit(i)), F.lit(""))
-    left = table(spark, d, "weball_rows").where(F.col("candname").contains(",")).select("candid", letters(part(0)).alias("last"), F.substring("candid", 3, 2).alias("st"), F.substring(letters(part(1)), 1, 3).alias("f3")).distinct()
-    right = table(spark, d, "officials").where("last_name IS NOT NULL").select(F.lower(F.trim("id")).alias("id"), letters(F.col("last_name")).alias("last"), F.col("state").alias("st"), F.substring(letters(F.col("first_name")), 1, 3).alias("f3")).distinct()
-    return narrow(left, right, ["last"], ["st", "f3"], "candid", "id")
-
-
 @query("""WITH p AS (SELECT c_custkey, c_acctbal / 100.0 AS x, CAST(c_custkey % 97 AS DOUBLE) AS y FROM customer)
   SELECT c_custkey FROM p WHERE 10 * x - 60 * y < 0 AND 70 * (x - 60) + 40 * (y - 10) < 0 AND -80 * x + 20 * y < 0""")
 def points_in_area(spark, d):

@@ -74,6 +74,24 @@ def drained(spark: SparkSession, path: str, plan, name: str) -> DataFrame:
     return spark.read.schema(result.schema).parquet(f"{base}/out").select(*result.columns) if there else spark.createDataFrame([], result.schema)
 
 
+def running(spark: SparkSession, path: str, schema: str, keys: list[str], sums: dict, name: str) -> DataFrame:
+    """Running aggregates over landed files, taken one at a time: the state is one row per key; the changed rows of each batch are written under its
+    number, and the last of each key counts."""
+    base = f"{shared_dir(spark)}/polispark/{spark.sparkContext.applicationId}/stream/{name}-{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    result = stream.groupBy(*keys).agg(*[c.alias(n) for n, c in sums.items()])
+
+    def write(batch: DataFrame, n: int) -> None:
+        batch.withColumn("_batch", F.lit(n)).write.mode("overwrite").parquet(f"{base}/out/{n}")
+
+    result.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    done = _numbers(spark, f"{base}/out")
+    if not done:
+        return spark.createDataFrame([], result.schema)
+    got = spark.read.parquet(*[f"{base}/out/{n}" for n in done])
+    return got.groupBy(*keys).agg(F.max_by(F.struct(*sums), "_batch").alias("v")).select(*keys, "v.*")
+
+
 def _numbers(spark: SparkSession, path: str) -> list[int]:
     """The numbers of the finished entries (folders named by a number that hold _SUCCESS) below a path."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -212,3 +212,46 @@ def test_last_write_and_pages(spark):
         seen, after = seen + got, got[-1]
     assert seen == list(range(25))
     assert [r.id for r in U.changed_page(df.selectExpr("id", "-id AS at"), "at", -5, 0, 3).collect()] == [4, 3, 2]
+
+
+def test_archives_and_roll_calls(spark, tmp_path):
+    import zipfile
+
+    a = tmp_path / "pas.zip"
+    with zipfile.ZipFile(a, "w") as z:
+        z.writestr("itpas2.txt", "C1|x|10\nC2|y|20\n")
+        z.writestr("other.txt", "no")
+    assert [r.value for r in files.zipped_lines(spark, str(a)).collect()] == ["C1|x|10", "C2|y|20"] and files.zipped_lines(spark, str(a), "other.txt").count() == 1
+    h = tmp_path / "h.xml"
+    h.write_text("<rollcall-vote><vote-metadata><congress>118</congress><rollcall-num>7</rollcall-num><legis-num>H R 5</legis-num><action-date>9-Jan-2023</action-date><vote-question>On Passage</vote-question><vote-result>Passed</vote-result></vote-metadata></rollcall-vote>")
+    assert [(r.congress, r.roll, r.bill, r["at"], r.question) for r in files.house_roll(spark, str(h)).collect()] == [(118, 7, "H R 5", "9-Jan-2023", "On Passage")]
+    s = tmp_path / "s.xml"
+    s.write_text("<roll_call_vote><congress>118</congress><vote_number>3</vote_number><vote_date>January 9, 2023, 02:54 PM</vote_date><question>On the Nomination</question><vote_result>Confirmed</vote_result><document><document_type>PN</document_type><document_number>12</document_number></document></roll_call_vote>")
+    assert [(r.roll, r.bill, r.question, r.chamber) for r in files.senate_roll(spark, str(s)).collect()] == [(3, "PN 12", "On the Nomination", "Senate")]
+    c = tmp_path / "c.txt"
+    c.write_text("1|C1|500|IND\n2|C1|499|IND\n3|C2|900|ORG\n4|C3|900|PAC\n|C1|900|IND\n")
+    ok = spark.createDataFrame([("C1",), ("C3",)], "cm string")
+    got = files.contributions(spark, str(c), {"id": 0, "cm": 1, "amount": 2, "kind": 3}, "id", "amount", 500.0, ("kind", ("IND", "ORG")), ("cm", ok))
+    assert [r.id for r in got.collect()] == ["1"]
+
+
+def test_texts_and_codes(spark):
+    one = lambda c: spark.range(1).select(c).first()[0]
+    assert [one(C.compact_usd(F.lit(x))) for x in (1_234_567_890_000, 1_250_000_00, 5_500_00, 99_900, -1_234, 0)] == ["$12.3B", "$1.3M", "$6K", "$999", "-$12", "$0"]
+    assert [one(C.bytes_text(F.lit(x))) for x in (2048, 5 << 20, 3 << 30, 1 << 40)] == ["2 KB", "5.0 MB", "3.0 GB", "1.0 TB"]
+    now = F.lit("2024-03-10 12:00:00").cast("timestamp")
+    assert [one(C.ago(F.lit(x).cast("timestamp"), now)) for x in (None, "2024-03-10 11:59:30", "2024-03-10 11:20:00", "2024-03-10 02:00:00", "2024-03-07 12:00:00", "2024-01-05 00:00:00")] == ["Never", "just now", "40m ago", "10h ago", "3d ago", "Jan 5"]
+    assert [one(C.agent_class(F.lit(x))) for x in ("Googlebot/2.1", "Mozilla (iPhone; Mobile)", "Mozilla (iPad)", "Mozilla (X11)", None)] == ["bot", "mobile", "tablet", "desktop", "desktop"]
+    assert one(C.lexemes(F.lit("Bridges repaired, rules ruled ruling: policies"))) == ["bridg", "repair", "rul", "rul", "rul", "policy"]
+    table = spark.createDataFrame([(1, "oil", "gas"), (1, "oil", "petroleum"), (2, "farm", "crop insurance"), (3, "none", None)], "place int, label string, keyword string")
+    found = C.rules(table)
+    assert [one(C.first_match(F.lit(x), found, "other")) for x in ("Gas Pumps", "Gaston", "Petroleums", "the crop insurance fund")] == ["oil", "other", "oil", "farm"]
+
+
+def test_full_text_and_ranks(spark):
+    from polispark.plans import lookup as L
+
+    df = spark.createDataFrame([(1, "Act on repairing bridges", "schools"), (2, "Notice of school meals", ""), (3, "School lunch", "act"), (4, None, None)], "id int, title string, summary string")
+    ask = lambda q: {r.id: r["rank"] for r in L.fulltext(df, {"title": "A", "summary": "C"}, q).collect()}
+    assert ask("school") == {1: 0.2, 2: 1.0, 3: 1.0} and ask('"repaired bridge"') == {1: 1.0} and ask("school -notices") == {1: 0.2, 3: 1.0}
+    assert set(ask("bridge or lunch")) == {1, 3} and ask("acts schools") == {1: 1.2, 3: 1.2} and L.fulltext(df.limit(0), {"title": "A"}, "x").count() == 0
