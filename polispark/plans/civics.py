@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from polispark.functions.keys import clean_key
-from polispark.session import durable, table
+from polispark.session import exists, table, written
 
 _KEYS = {
     "officials": ("id",), "financial_relationships": ("id", "official_id"), "financial_entities": ("id",), "proposals": ("id",),
@@ -23,8 +23,8 @@ _COLUMNS = {
 _SHORT = {"off": "officials", "fin": "financial_relationships", "ent": "financial_entities", "pro": "proposals", "bod": "governing_bodies", "con": "entity_connections"}
 
 
-#: Cleaned tables of a session: (application, folder, table, fingerprint of its files) -> reader.
-_MADE: dict[tuple, DataFrame] = {}
+#: Cleaned tables of a session: (application, folder, table, fingerprint of its files) -> path and schema.
+_MADE: dict[tuple, tuple] = {}
 #: Columns by which the rows of a cleaned file are sorted, so that row groups hold ranges of keys and a lookup skips the others.
 _SORTED = {"entity_connections": ("from_id", "to_id"), "financial_relationships": ("official_id",)}
 
@@ -40,9 +40,11 @@ def _fingerprint(spark: SparkSession, path: str) -> tuple[int, int, int]:
 def _once(spark: SparkSession, sf_dir: str, name: str, sources: list[str], make) -> DataFrame:
     """What make() gives, written once per session and state of its sources."""
     key = (spark.sparkContext.applicationId, sf_dir, name, *[_fingerprint(spark, f"{sf_dir}/{s}.parquet") for s in sources])
-    if key not in _MADE:
-        _MADE[key] = durable(make(), f"clean-{name}")
-    return _MADE[key]
+    if key not in _MADE or not exists(spark, _MADE[key][0]):
+        df = make()
+        _MADE[key] = written(df, f"clean-{name}"), df.schema
+    path, schema = _MADE[key]
+    return spark.read.schema(schema).parquet(path)
 
 
 def clean(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

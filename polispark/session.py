@@ -74,14 +74,24 @@ def _clean_later(spark: SparkSession) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
 
 
-def durable(df: DataFrame, name: str = "step") -> DataFrame:
-    """Writes `df` once to the shared folder and returns a reader of it.
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
-    This cuts the lineage, survives the loss of executors, and keeps column pruning and filter push-down, which a
-    checkpointed RDD would lose. The files stay until the driver ends.
-    """
+
+def written(df: DataFrame, name: str = "step") -> str:
+    """Writes `df` once to the shared folder and returns its path. The files stay until the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/polispark/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _clean_later(spark)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def durable(df: DataFrame, name: str = "step") -> DataFrame:
+    """Writes `df` once to the shared folder and returns a reader of it.
+
+    This cuts the lineage, survives the loss of executors, and keeps column pruning and filter push-down, which a
+    checkpointed RDD would lose.
+    """
+    return df.sparkSession.read.schema(df.schema).parquet(written(df, name))
