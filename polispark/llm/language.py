@@ -289,9 +289,11 @@ def passages(words: list[str], starts: list[int], scorer: Scorer) -> list[tuple[
     total, amount = np.add.reduceat(e, first), np.add.reduceat(size, first)
     ends = np.append(first[1:], len(ids))
     most = np.add.reduceat(e.max(1), first) - total.max(1)  # any number of changes
-    so_far = np.cumsum(e, 0) - np.repeat(np.concatenate([np.zeros((1, e.shape[1])), np.cumsum(total, 0)[:-1]]), ends - first, 0)
-    once = np.maximum.reduceat(so_far.max(1) + (np.repeat(total, ends - first, 0) - so_far).max(1), first) - total.max(1)  # one change
-    open_ = ((once > WITHIN - 2 * BETWEEN) | (most > 2 * WITHIN - 2 * BETWEEN)) & (ends - first > 1)
+    open_ = (most > WITHIN - 2 * BETWEEN) & (ends - first > 1)
+    if open_.any():  # one change gains no more than any number, so the finer bound is looked at here only
+        so_far = np.cumsum(e, 0) - np.repeat(np.concatenate([np.zeros((1, e.shape[1])), np.cumsum(total, 0)[:-1]]), ends - first, 0)
+        once = np.maximum.reduceat(so_far.max(1) + (np.repeat(total, ends - first, 0) - so_far).max(1), first) - total.max(1)
+        open_ &= (once > WITHIN - 2 * BETWEEN) | (most > 2 * WITHIN - 2 * BETWEEN)
     if not open_.any():
         units, costs, sizes, where = total, np.full(len(first), BETWEEN), amount, np.arange(len(first))
         best = units.argmax(1)
