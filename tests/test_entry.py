@@ -6,9 +6,9 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
-from polispark.plans import derive, extra, lookup, more, problems, reference, sqlapi
+from polispark.plans import derive, extra, lookup, more, problems, records, reference, sqlapi
 
-CORE = [n for part in (problems, reference, more, extra, derive, lookup, sqlapi) for n in part.QUERIES]
+CORE = [n for part in (problems, reference, more, extra, derive, lookup, records, sqlapi) for n in part.QUERIES]
 
 
 def canon(df):
