@@ -255,3 +255,14 @@ def test_full_text_and_ranks(spark):
     ask = lambda q: {r.id: r["rank"] for r in L.fulltext(df, {"title": "A", "summary": "C"}, q).collect()}
     assert ask("school") == {1: 0.2, 2: 1.0, 3: 1.0} and ask('"repaired bridge"') == {1: 1.0} and ask("school -notices") == {1: 0.2, 3: 1.0}
     assert set(ask("bridge or lunch")) == {1, 3} and ask("acts schools") == {1: 1.2, 3: 1.2} and L.fulltext(df.limit(0), {"title": "A"}, "x").count() == 0
+
+
+def test_bill_status(spark):
+    from polispark.plans.records import bill_status
+
+    cases = {
+        "Became Public Law No: 118-1.": "enacted", "Signed by the President": "signed", "Vetoed by President.": "vetoed", "Passed Senate and House": "passed_both_chambers", "Passed House by voice vote": "passed_chamber",
+        "Ordered to be Reported": "passed_committee", "Referred to the Committee": "in_committee", "Introduced": "introduced", None: "introduced",
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "a string").withColumn("s", bill_status(F.col("a")))
+    assert {r.a: r.s for r in df.collect()} == cases
