@@ -134,10 +134,10 @@ VOTES = ("surname", "given", "middle", "generation", "state", "district", "offic
 
 def voted(prof: DataFrame) -> DataFrame:
     """candidate_pairs with src_a, src_b, n_a, n_b and votes, the signs of all functions in a row."""
-    pairs = durable(candidate_pairs(prof), "candidates")
+    pairs = found = durable(candidate_pairs(prof), "candidates")
     cols = F.struct("src", "n", *ATTRIBUTES, "forms")
     for end in "ab":
-        pairs = skew_join(pairs, prof.select(F.col("pid").alias(f"pid_{end}"), cols.alias(end)), [f"pid_{end}"], "inner", sketch=pairs if end == "a" else pairs.select("pid_b"))
+        pairs = skew_join(pairs, prof.select(F.col("pid").alias(f"pid_{end}"), cols.alias(end)), [f"pid_{end}"], "inner", sketch=found)
     signs = _votes()
     return pairs.select("pid_a", "pid_b", F.col("a.src").alias("src_a"), F.col("b.src").alias("src_b"), F.col("a.n").alias("n_a"), F.col("b.n").alias("n_b"), F.concat(*[signs[v] for v in VOTES]).alias("votes"))
 
@@ -151,6 +151,7 @@ def expanded(pairs: DataFrame, recs: DataFrame, prof: DataFrame) -> DataFrame:
     """Pairs of profiles as pairs of records: key_a < key_b, src_a, src_b and the other columns."""
     at = durable(members(recs, prof), "members")
     for end in "ab":
+        pairs = durable(pairs, "side")  # read for its hot profiles and for the join
         pairs = skew_join(at.select(F.col("pid").alias(f"pid_{end}"), F.col("key").alias(f"key_{end}")), pairs, [f"pid_{end}"], "inner", many=True)
     turn = F.col("key_a") > F.col("key_b")
     pick = lambda x, y: F.when(turn, F.col(y)).otherwise(F.col(x))
